@@ -140,6 +140,7 @@ def score_versions(rows: DataFrame, models: dict, net: Net, key: str = "id") ->
     ties) against argmax of ``y``.  Each task scores its batch under every
     version and emits one count row per (version, correct)."""
     spark = rows.sparkSession
+    configure(spark)
     if len(models) * net.cells * 8 > broadcast_cap(spark):
         raise ValueError("model versions larger than cellgrad.broadcast.maxBytes")
     bm = spark.sparkContext.broadcast(models)
@@ -172,6 +173,7 @@ def score_versions(rows: DataFrame, models: dict, net: Net, key: str = "id") ->
 def predict_correct(rows: DataFrame, w1: np.ndarray, w2: np.ndarray, net: Net) -> DataFrame:
     """``(i, correct)`` for one model: one narrow stage, no shuffle."""
     spark = rows.sparkSession
+    configure(spark)
     if net.cells * 8 > broadcast_cap(spark):
         raise ValueError("model larger than cellgrad.broadcast.maxBytes")
     bm = spark.sparkContext.broadcast((w1, w2))

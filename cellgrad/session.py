@@ -55,9 +55,36 @@ def build_session(master: str | None = None, app: str = "cellgrad",
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cellgrad`` importable in executor Python workers (the Arrow
+    batch functions live in it): zip the package once per SparkContext and
+    add it with ``addPyFile``, which distributes it to every executor."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="cellgrad-pkg-")
+    path = os.path.join(out_dir, "cellgrad.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where unset.
 
