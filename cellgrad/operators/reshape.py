@@ -147,7 +147,14 @@ def replicate(df: DataFrame, k: int, copy_col: str = "copy") -> DataFrame:
 
 def partition_examples(df: DataFrame, n_partitions: int | None = None,
                        id_col: str = "i") -> DataFrame:
-    """Hash partition example rows by id once; cells exploded from them keep
-    that partitioning, so training joins on i / (i, j) need no exchange."""
+    """Hash partition rows (example rows or their cells) by example id.
+
+    Apply it to the *cells*: a generator (posexplode) does not report its
+    input's partitioning, so cells exploded from partitioned rows would be
+    shuffled again by the first (i, j) aggregate.  With the cells of ``x`` and
+    ``y`` partitioned by ``i`` into the same number of partitions, every
+    product with a broadcast weight matrix, every (i, j) aggregate and every
+    cell-wise join is exchange-free; only contractions over examples shuffle,
+    and those only their partial sums."""
     n = n_partitions or shuffle_partitions(df.sparkSession)
     return df.repartition(n, F.col(id_col))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cellgrad.operators.weights import HO, XH, tag
 from cellgrad.plans.relational import Net, update
-from cellgrad.session import broadcast_cap, configure, ensure_checkpoint_dir
+from cellgrad.session import broadcast_cap, configure, ensure_checkpoint_dir, materialize
 
 GRAD_SCHEMA = "id long, i long, j long, v double"
 
@@ -119,12 +119,12 @@ def train_array(rows: DataFrame, w0: DataFrame, net: Net, lr: float, steps: int,
     train = train.select("x", "y").persist()
     try:
         divisor = float(train.count()) if reduction == "mean" else 1.0
-        w = w0.select("id", "i", "j", "v").checkpoint(eager=True)
+        w = materialize(w0.select("id", "i", "j", "v"), "weights-0")
         history = [tag(w, iter=0)]
         for step in range(1, steps + 1):
             bw = spark.sparkContext.broadcast(weights_to_numpy(w, net))
             g = gradient_cells(train, bw, net)
-            w = update(w, g, lr, net, divisor or 1.0).checkpoint(eager=True)
+            w = materialize(update(w, g, lr, net, divisor or 1.0), f"weights-{step}")
             bw.unpersist()
             history.append(tag(w, iter=step))
     finally:

@@ -64,12 +64,14 @@ class Emb:
 
     def __init__(self, spark: SparkSession, sf: str, partitioned: bool = False):
         ex = TB.embedding_examples(spark, sf)
-        if partitioned:
-            ex = R.partition_examples(ex).persist()
         self.spark = spark
         self.ex = ex
         self.x = TB.embedding_cells(ex)
         self.y = TB.embedding_one_hot(ex, C)
+        if partitioned:
+            # Training / scoring fixtures: cells partitioned by example id once.
+            self.x = R.partition_examples(self.x).persist()
+            self.y = R.partition_examples(self.y).persist()
         self.w_xh = W.init_coo(spark, D, H, W_XH_COEF)
         self.w_ho = W.init_coo(spark, H, C, W_HO_COEF)
 
@@ -490,9 +492,9 @@ def q_train_array_tanh_softmax(spark, sf):
 
 
 def _iris(spark, sf):
-    li = R.partition_examples(TB.lineitem_examples(spark, sf), id_col="id").persist()
-    x = R.to_coo(li, "id", [n for n, _, _, _ in TB.LINEITEM_FEATURES])
-    y = R.one_hot_coo(li, "species", IRIS_NET.n_out, id_col="id")
+    li = TB.lineitem_examples(spark, sf)
+    x = R.partition_examples(R.to_coo(li, "id", [n for n, _, _, _ in TB.LINEITEM_FEATURES])).persist()
+    y = R.partition_examples(R.one_hot_coo(li, "species", IRIS_NET.n_out, id_col="id")).persist()
     w0 = W.stack(W.init_coo(spark, IRIS_D, IRIS_H, W_XH_COEF),
                  W.init_coo(spark, IRIS_H, IRIS_C, W_HO_COEF)).drop("iter")
     return li, x, y, w0

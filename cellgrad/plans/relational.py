@@ -25,7 +25,7 @@ from cellgrad.functions.scalar import d_sigmoid, d_sqloss, d_tanh, sigmoid, tanh
 from cellgrad.operators import coo
 from cellgrad.operators.reshape import first_rows
 from cellgrad.operators.weights import HO, XH, tag, unstack
-from cellgrad.session import bounded_broadcast, configure, ensure_checkpoint_dir
+from cellgrad.session import bounded_broadcast, configure, ensure_checkpoint_dir, materialize
 
 PRESETS = ("sigmoid", "tanh_softmax")
 
@@ -107,9 +107,20 @@ def gradient(x: DataFrame, a_xh: DataFrame, d_xh: DataFrame, d_ho: DataFrame) ->
 
 
 def step_gradient(x: DataFrame, y: DataFrame, w_xh: DataFrame, w_ho: DataFrame,
-                  net: Net) -> DataFrame:
+                  net: Net, keep: list | None = None) -> DataFrame:
+    """Gradient of one step.  With ``keep`` (a list), the hidden activations
+    and the output delta — each read by three later operators — are persisted
+    for the step and appended to ``keep`` so the caller can release them;
+    otherwise Spark recomputes them for every use."""
     a_xh, a_ho = forward(x, w_xh, w_ho, net)
+    if keep is not None:
+        a_xh = a_xh.persist()
+        keep.append(a_xh)
+        a_ho = output_layer(a_xh, w_ho, net)
     d_ho = output_delta(a_ho, y, net)
+    if keep is not None:
+        d_ho = d_ho.persist()
+        keep.append(d_ho)
     d_xh = hidden_delta(d_ho, w_ho, a_xh, net)
     return gradient(x, a_xh, d_xh, d_ho)
 
@@ -145,11 +156,14 @@ def train_relational(x: DataFrame, y: DataFrame, w0: DataFrame, net: Net, lr: fl
     if reduction == "mean":
         divisor = float(n_train if n_train is not None else x_t.select("i").distinct().count())
         divisor = divisor or 1.0
-    w = w0.select("id", "i", "j", "v").checkpoint(eager=True)
+    w = materialize(w0.select("id", "i", "j", "v"), "weights-0")
     history = [tag(w, iter=0)]
     for step in range(1, steps + 1):
-        g = step_gradient(x_t, y, unstack(w, XH), unstack(w, HO), net)
-        w = update(w, g, lr, net, divisor).checkpoint(eager=True)
+        keep: list = []
+        g = step_gradient(x_t, y, unstack(w, XH), unstack(w, HO), net, keep)
+        w = materialize(update(w, g, lr, net, divisor), f"weights-{step}")
+        for df in keep:
+            df.unpersist()
         history.append(tag(w, iter=step))
     out = history[0]
     for h in history[1:]:

@@ -18,6 +18,9 @@ RUNTIME_CONF = {
     # partitioned on the example id i need no extra exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Broadcast only what has a proven bound (explicit hints placed by
+    # ``bounded_broadcast``); never on the planner's size estimate.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
 
 # Upper bound, in bytes, for a side we broadcast on the strength of its shape.
@@ -52,9 +55,15 @@ def build_session(master: str | None = None, app: str = "cellgrad",
     return spark
 
 
+_CONFIGURED: set = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    for k, v in RUNTIME_CONF.items():
-        spark.conf.set(k, v)
+    key = id(spark)
+    if key not in _CONFIGURED:
+        for k, v in RUNTIME_CONF.items():
+            spark.conf.set(k, v)
+        _CONFIGURED.add(key)
     ship_package(spark)
     return spark
 
@@ -96,12 +105,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        try:
-            named = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - conf absent
-            named = None
+    named = sc.getConf().get("spark.checkpoint.dir", None) or \
+        spark.conf.get("spark.checkpoint.dir", None)
     if named:
         sc.setCheckpointDir(named)
         return sc.getCheckpointDir() or named
@@ -114,11 +119,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` as parquet under the shared checkpoint folder
+    and read it back.  One job computes and writes (``Dataset.checkpoint``
+    computes its input twice unless it is cached), and the files survive the
+    loss of any executor."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/cellgrad/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def broadcast_cap(spark: SparkSession) -> int:
-    try:
-        return int(spark.conf.get(BROADCAST_CAP_CONF))
-    except Exception:  # noqa: BLE001 - conf absent
-        return DEFAULT_BROADCAST_CAP
+    return int(spark.conf.get(BROADCAST_CAP_CONF, str(DEFAULT_BROADCAST_CAP)))
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int,
