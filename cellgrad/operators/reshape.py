@@ -100,13 +100,20 @@ def one_hot_coo(examples: DataFrame, label_col: str, n_classes: int,
 
 def densify(grid: DataFrame, labels: DataFrame) -> DataFrame:
     """Right outer join of sparse label cells ``(i, j)`` onto a full grid:
-    ``v = coalesce(label, 0)``, ``dummy`` = 1 or NULL.  Both sides are
-    keyed by the example id, so the join is an equi-join on ``(i, j)``."""
-    lab = labels.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
-                        F.lit(1).cast("long").alias("_one"))
-    return (lab.join(grid.select("i", "j"), ["i", "j"], "right")
-            .select("i", "j", F.coalesce(F.col("_one"), F.lit(0)).cast("long").alias("v"),
-                    F.col("_one").alias("dummy")))
+    ``v = coalesce(label, 0)``, ``dummy`` = 1 or NULL.
+
+    Labels are first reduced to one row per ``(i, j)`` with a multiplicity
+    (partial aggregation before the shuffle), so a label repeated for one hot
+    example cannot skew the join; the multiplicity is expanded afterwards, so
+    the result equals the plain right outer join row for row."""
+    lab = (labels.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+           .groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")))
+    joined = lab.join(grid.select("i", "j"), ["i", "j"], "right")
+    one = F.when(F.col("_n").isNotNull(), F.lit(1).cast("long"))
+    return (joined.select("i", "j", one.alias("dummy"),
+                          F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)).cast("int")))
+                          .alias("_rep"))
+            .select("i", "j", F.coalesce(F.col("dummy"), F.lit(0)).cast("long").alias("v"), "dummy"))
 
 
 def one_hot_array(label, n_classes: int):

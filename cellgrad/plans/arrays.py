@@ -107,16 +107,27 @@ def gradient_cells(rows: DataFrame, bw, net: Net) -> DataFrame:
 
 
 def train_array(rows: DataFrame, w0: DataFrame, net: Net, lr: float, steps: int,
-                limit: int | None = None, reduction: str = "mean") -> DataFrame:
+                limit: int | None = None, reduction: str = "mean",
+                grad_tasks: int | None = None) -> DataFrame:
     """Array trainer; ``rows`` has ``i``, ``x`` (d values) and ``y`` (one-hot,
-    c values).  Returns all versions ``(iter, id, i, j, v)``."""
+    c values).  Returns all versions ``(iter, id, i, j, v)``.
+
+    The gradient shuffle carries one partial matrix per task, so the training
+    rows are coalesced (no shuffle) to ``grad_tasks`` partitions, by default
+    the cluster's default parallelism (its core count): the shuffle is then
+    bounded by cores × (d·h + h·c) cells whatever the number of input files.
+    """
     if reduction not in ("sum", "mean"):
         raise ValueError("reduction must be 'sum' or 'mean'")
     spark = rows.sparkSession
     configure(spark)
     ensure_checkpoint_dir(spark)
     train = rows.filter(F.col("i") < F.lit(limit)) if limit is not None else rows
-    train = train.select("x", "y").persist()
+    tasks = grad_tasks or spark.sparkContext.defaultParallelism
+    train = train.select("x", "y")
+    if train.rdd.getNumPartitions() > tasks:
+        train = train.coalesce(tasks)
+    train = train.persist()
     try:
         divisor = float(train.count()) if reduction == "mean" else 1.0
         w = materialize(w0.select("id", "i", "j", "v"), "weights-0")

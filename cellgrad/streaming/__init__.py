@@ -1,0 +1,2 @@
+"""No streaming operators: the workload has no streams, watermarks or
+stateful operators, so nothing is built here."""
