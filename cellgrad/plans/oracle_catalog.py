@@ -62,7 +62,7 @@ def _dims_store(sizes, matrix: int | None = None) -> list[tuple[str, str]]:
 
 
 def _emb_train(prefix="", **kw):
-    ctes, hist = train_ctes(STEPS, kw.pop("lr", LR), limit=LIMIT, prefix=prefix, **kw)
+    ctes, hist = train_ctes(STEPS, kw.pop("lr", LR), limit=K.TRAIN_LIMIT, prefix=prefix, **kw)
     return BASE + ctes, hist
 
 
@@ -149,7 +149,7 @@ def build() -> dict[str, str]:
                                             "FROM a1 a JOIN d2 d ON a.i = d.i")
     q["delta_hidden"] = sql(_deltas(), _cells("d1"))
 
-    one, hist = train_ctes(1, LR, limit=LIMIT)
+    one, hist = train_ctes(1, LR, limit=K.TRAIN_LIMIT)
     g1 = [c for c in one if c[0] in ("s1_a1", "s1_a2", "s1_d2", "s1_l1", "s1_d1", "s1_g", "s1_w")]
     q["gradient"] = sql(BASE + g1[:-1], f"SELECT CAST(id AS BIGINT) AS id, i, j, {r6('v')} AS v FROM s1_g")
     q["weight_update"] = sql(BASE + g1, f"SELECT CAST(id AS BIGINT) AS id, i, j, {r6('v')} AS v FROM s1_w")
@@ -174,7 +174,7 @@ def build() -> dict[str, str]:
     fw_m, scores_m = forward_steps_ctes(hist_m)
     ac_m, acc_m = accuracy_ctes(scores_m)
     q["train_and_score"] = sql(tr_m + fw_m + ac_m, f"SELECT {r6('max(precision)')} AS precision FROM {acc_m}")
-    fw_t, scores_t = forward_steps_ctes(hist, x=f"(SELECT * FROM x WHERE i < {LIMIT})", prefix="t_")
+    fw_t, scores_t = forward_steps_ctes(hist, prefix="t_")
     q["mean_abs_error"] = sql(tr + fw_t, f"SELECT CAST(s.iter AS BIGINT) AS iter, "
                                          f"{r6('avg(abs(2.0 * (s.v - y.v)))')} AS error FROM {scores_t} s "
                                          "JOIN y ON s.i = y.i AND s.j = y.j GROUP BY s.iter")
