@@ -25,7 +25,7 @@ from cellgrad.functions.scalar import d_sigmoid, d_sqloss, d_tanh, sigmoid, tanh
 from cellgrad.operators import coo
 from cellgrad.operators.reshape import first_rows
 from cellgrad.operators.weights import HO, XH, tag, unstack
-from cellgrad.session import bounded_broadcast, configure, ensure_checkpoint_dir, materialize
+from cellgrad.session import bounded_broadcast, cache_now, configure, ensure_checkpoint_dir, materialize
 
 PRESETS = ("sigmoid", "tanh_softmax")
 
@@ -114,12 +114,12 @@ def step_gradient(x: DataFrame, y: DataFrame, w_xh: DataFrame, w_ho: DataFrame,
     otherwise Spark recomputes them for every use."""
     a_xh, a_ho = forward(x, w_xh, w_ho, net)
     if keep is not None:
-        a_xh = a_xh.persist()
+        a_xh = cache_now(a_xh)
         keep.append(a_xh)
         a_ho = output_layer(a_xh, w_ho, net)
     d_ho = output_delta(a_ho, y, net)
     if keep is not None:
-        d_ho = d_ho.persist()
+        d_ho = cache_now(d_ho)
         keep.append(d_ho)
     d_xh = hidden_delta(d_ho, w_ho, a_xh, net)
     return gradient(x, a_xh, d_xh, d_ho)
@@ -151,6 +151,9 @@ def train_relational(x: DataFrame, y: DataFrame, w0: DataFrame, net: Net, lr: fl
     spark = x.sparkSession
     configure(spark)
     ensure_checkpoint_dir(spark)
+    for df in (x, y):
+        if df.is_cached:
+            cache_now(df)
     x_t = first_rows(x, limit) if limit is not None else x
     divisor = 1.0
     if reduction == "mean":

@@ -132,6 +132,16 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cache_now(df: DataFrame) -> DataFrame:
+    """Persist and fill the cache before plans that read it are built: with
+    AQE, a cache that is not yet filled reports no output partitioning, so
+    every plan built on it would add an exchange for keys it is already
+    partitioned by."""
+    df = df if df.is_cached else df.persist()
+    df.count()
+    return df
+
+
 def broadcast_cap(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_CAP_CONF, str(DEFAULT_BROADCAST_CAP)))
 
