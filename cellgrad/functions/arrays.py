@@ -61,6 +61,11 @@ def mat_zip(a, b, fn) -> Column:
     return F.zip_with(_c(a), _c(b), lambda r, s: F.zip_with(r, s, fn))
 
 
+def mat_axpy(w, g, alpha: float) -> Column:
+    """``W + alpha * G`` cell-wise (the update ``W - lr * G`` with alpha = -lr)."""
+    return mat_zip(w, g, lambda a, b: a + F.lit(float(alpha)) * b)
+
+
 def mat_map(a, fn) -> Column:
     """Scalar function applied to every cell."""
     return F.transform(_c(a), lambda r: F.transform(r, fn))

@@ -81,6 +81,17 @@ def unstack(w: DataFrame, matrix_id: int) -> DataFrame:
     return w.filter(F.col("id") == F.lit(matrix_id)).select("i", "j", "v")
 
 
+def write_store(store: DataFrame, path: str, key: str = "w_id", mode: str = "append") -> None:
+    """Append models to a parquet model store partitioned by model id, so that
+    reading one model prunes every other model's files."""
+    store.write.mode(mode).partitionBy(key).parquet(path)
+
+
+def read_model(spark: SparkSession, path: str, w_id: int, key: str = "w_id") -> DataFrame:
+    """One model from a partitioned store (partition filter on ``key``)."""
+    return select_model(spark.read.parquet(path), w_id, key)
+
+
 def weights_from_json(df: DataFrame, text_col: str, alias: str = "m") -> DataFrame:
     """Literal matrix text ``[[...],[...]]`` -> ``ARRAY<ARRAY<DOUBLE>>``."""
     return df.withColumn(alias, F.from_json(F.col(text_col), "array<array<double>>"))

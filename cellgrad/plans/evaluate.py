@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from cellgrad.operators.weights import HO, XH
 from cellgrad.plans.relational import Net, forward
 from cellgrad.session import bounded_broadcast
-from cellgrad.operators import coo
 
 
 def _keyed_layer(a: DataFrame, w: DataFrame, key: str, act, bound: int) -> DataFrame:
@@ -42,8 +41,14 @@ def forward_keyed(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net, key:
     return s
 
 
-def forward_all_steps(x: DataFrame, history: DataFrame, net: Net, n_versions: int) -> DataFrame:
-    """Scores ``(iter, i, j, v)`` of every example under every weight version."""
+def forward_all_steps(x: DataFrame, history: DataFrame, net: Net, n_versions: int,
+                      stride: int = 1) -> DataFrame:
+    """Scores ``(iter, i, j, v)`` of every example under every weight version
+    (or every ``stride``-th version: scoring multiplies the examples by the
+    number of versions scored, which matters for runs of many steps)."""
+    if stride > 1:
+        history = history.filter(F.col("iter") % F.lit(stride) == 0)
+        n_versions = (n_versions + stride - 1) // stride
     w_xh = history.filter(F.col("id") == XH).select("iter", "i", "j", "v")
     w_ho = history.filter(F.col("id") == HO).select("iter", "i", "j", "v")
     return forward_keyed(x, w_xh, w_ho, net, "iter", n_versions)

@@ -86,3 +86,10 @@ def test_relational_gradient_matches_numpy_and_finite_differences(spark):
         assert abs((loss(p, w2) - loss(m, w2)) / (2 * eps) - g1[i, j]) < 1e-5
     p = w2.copy(); p[1, 0] += eps; m = w2.copy(); m[1, 0] -= eps
     assert abs((loss(w1, p) - loss(w1, m)) / (2 * eps) - g2[1, 0]) < 1e-5
+
+
+def test_mat_axpy(spark):
+    w = np.array([[1.0, 2.0], [3.0, 4.0]]); g = np.array([[0.5, -1.0], [2.0, 0.0]])
+    df = spark.createDataFrame([(w.tolist(), g.tolist())], "w array<array<double>>, g array<array<double>>")
+    got = np.array(df.select(A.mat_axpy("w", "g", -0.1).alias("m")).first()["m"])
+    assert np.allclose(got, w - 0.1 * g)

@@ -52,3 +52,28 @@ def test_merge_result_logs(spark):
 
 def test_noop_sink_runs_plan(spark):
     files.run_noop(spark.range(10).withColumn("x", F.col("id") * 2))
+
+
+def test_result_log_append_and_read(spark):
+    d = tempfile.mkdtemp(prefix="cg-log-")
+    files.log_result(spark, {"name": "cellgrad", "atts": 8, "limit": 101, "lr": 0.01, "iter": 3,
+                             "execution_time": 1.5, "accuracy": 0.108}, f"{d}/log")
+    files.log_result(spark, {"name": "cellgrad", "atts": 8, "limit": 101, "lr": 0.01, "iter": 4,
+                             "execution_time": 2.5, "accuracy": 0.09}, f"{d}/log")
+    log = files.read_result_log(spark, f"{d}/log", files.RESULT_LOG_COLUMNS + ["accuracy"])
+    merged = files.merge_logs([log])
+    assert sorted(r["iter"] for r in merged.collect()) == [3, 4]
+
+
+def test_model_store_partition_pruning(spark):
+    import io
+    from contextlib import redirect_stdout
+    d = tempfile.mkdtemp(prefix="cg-store-")
+    _, ho = W.init_models(spark, 4, [2, 3], 2)
+    W.write_store(ho, f"{d}/store")
+    one = W.read_model(spark, f"{d}/store", 3)
+    assert one.count() == 3 * 2
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        one.explain("formatted")
+    assert "PartitionFilters: [isnotnull(w_id" in buf.getvalue()
