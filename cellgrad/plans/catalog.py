@@ -85,18 +85,13 @@ class Emb:
     def vectors(self) -> DataFrame:
         return self.ex.select("i", "x", A.one_hot("label", C).alias("y"))
 
-    def model_row(self) -> DataFrame:
-        """One row: ``w_xh`` and ``w_ho`` as nested arrays, key ``wid``."""
-        xh = R.coo_to_array(self.w_xh).withColumnRenamed("m", "w_xh")
-        ho = R.coo_to_array(self.w_ho).withColumnRenamed("m", "w_ho")
-        return (xh.withColumn("wid", F.lit(H).cast("long"))
-                .join(ho.withColumn("wid", F.lit(H).cast("long")), "wid"))
-
     def with_model(self) -> DataFrame:
-        """Each example row with the (single, bounded) model attached through
-        a broadcast equi-join on the model id."""
-        rows = self.vectors().withColumn("wid", F.lit(H).cast("long"))
-        return rows.join(F.broadcast(self.model_row()), "wid")
+        """Each example row with the (single, bounded) model attached: each
+        matrix is packed to a nested array by one scalar subquery, which
+        Spark computes once and uses as a value in the projection (no join)."""
+        w_xh = R.coo_to_array(self.w_xh).select("m").scalar()
+        w_ho = R.coo_to_array(self.w_ho).select("m").scalar()
+        return self.vectors().select("*", w_xh.alias("w_xh"), w_ho.alias("w_ho"))
 
 
 def _iris_cells(spark, sf):
@@ -405,23 +400,29 @@ def q_array_transpose(spark, sf):
     return finish(R.matrix_to_coo(m.select(A.mat_t("m").alias("t")), "t"))
 
 
-def _array_forward_cols(rows: DataFrame) -> DataFrame:
-    a1 = rows.select("i", "y", "w_ho", A.sigmoid_vec(A.vec_mat("x", "w_xh")).alias("a_xh"))
-    return a1.select("i", "y", "w_ho", "a_xh", A.sigmoid_vec(A.vec_mat("a_xh", "w_ho")).alias("a_ho"))
+def _output_delta_vec(a2, y):
+    return A.vec_zip(A.vec_zip(a2, y, lambda a, t: F.lit(2.0) * (a - t)), a2,
+                     lambda l, a: l * (a * (F.lit(1.0) - a)))
+
+
+def _forward_bound(body):
+    """``body(a_xh, a_ho)`` with both activations bound once per row (let),
+    so no sub-expression is repeated by projection collapsing."""
+    return A.let(A.sigmoid_vec(A.vec_mat("x", "w_xh")),
+                 lambda a1: A.let(A.sigmoid_vec(A.vec_mat(a1, F.col("w_ho"))),
+                                  lambda a2: body(a1, a2)))
 
 
 def q_array_elementwise(spark, sf):
-    f = _array_forward_cols(_array_rows(Emb(spark, sf)))
-    d = f.select("i", A.vec_zip(A.vec_zip("a_ho", "y", lambda a, t: F.lit(2.0) * (a - t)), "a_ho",
-                                lambda l, a: l * (a * (F.lit(1.0) - a))).alias("d"))
+    rows = _array_rows(Emb(spark, sf))
+    d = rows.select("i", _forward_bound(lambda a1, a2: _output_delta_vec(a2, F.col("y"))).alias("d"))
     return finish(R.vector_to_coo(d, "d"))
 
 
 def q_array_outer(spark, sf):
-    f = _array_forward_cols(_array_rows(Emb(spark, sf)))
-    d = f.select("i", "a_xh", A.vec_zip(A.vec_zip("a_ho", "y", lambda a, t: F.lit(2.0) * (a - t)),
-                                       "a_ho", lambda l, a: l * (a * (F.lit(1.0) - a))).alias("d"))
-    o = d.select("i", A.outer("a_xh", "d").alias("m"))
+    rows = _array_rows(Emb(spark, sf))
+    o = rows.select("i", _forward_bound(
+        lambda a1, a2: A.outer(a1, _output_delta_vec(a2, F.col("y")))).alias("m"))
     return finish(R.matrix_to_coo(o, "m", ["i"]).toDF("i", "r", "c", "v"))
 
 
@@ -432,8 +433,7 @@ def q_array_argmax(spark, sf):
 
 def q_array_forward(spark, sf):
     rows = _array_rows(Emb(spark, sf))
-    out = rows.select("i", A.let(A.sigmoid_vec(A.vec_mat("x", "w_xh")),
-                                 lambda a: A.sigmoid_vec(A.vec_mat(a, F.col("w_ho")))).alias("a"))
+    out = rows.select("i", _forward_bound(lambda a1, a2: a2).alias("a"))
     return finish(R.vector_to_coo(out, "a"))
 
 

@@ -85,3 +85,13 @@ def test_dense_ids_do_not_use_a_global_window(spark):
     text = plan(R.assign_ids(li, K.TB.LINEITEM_KEY))
     # the only un-partitioned window is over the per-partition count table
     assert "rangepartitioning" in text.lower()
+
+
+def test_no_cross_joins_or_row_udfs_in_catalog_plans(spark):
+    import __spark_entry__ as entry
+    keys = ["array_matmul", "array_outer", "predict_models", "one_hot_coo_labels", "init_weights",
+            "series_grid", "replicate_rows", "forward", "matrix_avg"]
+    for key in keys:
+        text = plan(entry.queries()[key](spark, SF001))
+        for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+            assert bad not in text, (key, bad)
