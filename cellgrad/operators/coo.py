@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrad.session import bounded_broadcast
+from cellgrad.session import bounded_broadcast, broadcast_chunks
 
 CELL_COLS = ("i", "j", "v")
 
@@ -37,8 +37,13 @@ def contract(a: DataFrame, b: DataFrame, a_sum: str, b_sum: str,
 
     ``a_sum`` / ``b_sum`` name the index ("i" or "j") of each side that is
     summed over; the other index of each side is kept, ``a``'s first.
-    ``a_bound`` / ``b_bound`` are proven row bounds of a small side; a side
-    with a bound under the cap is broadcast.  ``act`` is applied to the sum.
+    ``a_bound`` / ``b_bound`` are proven row bounds of a small side; such a
+    side is broadcast.  A bounded side larger than the broadcast cap is cut
+    into pieces by its kept index (``kept % k``) and each piece is broadcast
+    on its own: the pieces produce disjoint output cells, so the union of the
+    per-piece products is exact, and no join on the contracted index (few
+    distinct values, hence skewed) is ever shuffled.  ``act`` is applied to
+    the sum.
     """
     a_keep = "j" if a_sum == "i" else "i"
     b_keep = "j" if b_sum == "i" else "i"
@@ -46,13 +51,27 @@ def contract(a: DataFrame, b: DataFrame, a_sum: str, b_sum: str,
                     F.col("v").alias("_av"))
     right = b.select(F.col(b_sum).alias("_k"), F.col(b_keep).alias("_rj"),
                      F.col("v").alias("_bv"))
-    left = _maybe_broadcast(left, a_bound)
-    right = _maybe_broadcast(right, b_bound)
     s = F.sum(F.col("_av") * F.col("_bv"))
     v = act(s) if act is not None else s
-    return (left.join(right, "_k")
-            .groupBy(F.col("_ri").alias("i"), F.col("_rj").alias("j"))
-            .agg(v.alias("v")))
+
+    def product(lf: DataFrame, rt: DataFrame) -> DataFrame:
+        return (lf.join(rt, "_k")
+                .groupBy(F.col("_ri").alias("i"), F.col("_rj").alias("j"))
+                .agg(v.alias("v")))
+
+    if b_bound is not None:
+        pieces = broadcast_chunks(a.sparkSession, b_bound)
+        if pieces > 1:
+            out = None
+            for r in range(pieces):
+                part = right.filter(F.col("_rj") % F.lit(pieces) == F.lit(r))
+                piece = product(left, F.broadcast(part))
+                out = piece if out is None else out.unionByName(piece)
+            return out
+        right = F.broadcast(right)
+    elif a_bound is not None:
+        left = _maybe_broadcast(left, a_bound)
+    return product(left, right)
 
 
 def matmul(a: DataFrame, b: DataFrame, *, b_bound: int | None = None,

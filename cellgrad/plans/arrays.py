@@ -69,8 +69,9 @@ def _cells(matrix_id: int, m: np.ndarray):
 def weights_to_numpy(w: DataFrame, net: Net):
     """Collect a stacked model ``(id, i, j, v)`` — bounded by the net's shape,
     checked against the broadcast cap — into two dense arrays."""
-    if net.cells * 8 > broadcast_cap(w.sparkSession):
-        raise ValueError("model larger than cellgrad.broadcast.maxBytes")
+    if not fits_broadcast(w.sparkSession, net):
+        raise ValueError("model larger than cellgrad.broadcast.maxBytes; "
+                         "use the relational trainer / scorer, which splits it")
     pdf = w.select("id", "i", "j", "v").toPandas()
     w1 = np.zeros((net.n_in, net.n_hidden))
     w2 = np.zeros((net.n_hidden, net.n_out))
@@ -80,6 +81,10 @@ def weights_to_numpy(w: DataFrame, net: Net):
     return w1, w2
 
 
+def fits_broadcast(spark, net: Net, versions: int = 1) -> bool:
+    return versions * net.cells * 8 <= broadcast_cap(spark)
+
+
 # --------------------------------------------------------------- Spark side
 def gradient_cells(rows: DataFrame, bw, net: Net) -> DataFrame:
     """Per-partition partial gradients ``(id, i, j, v)`` summed by Spark."""
@@ -149,12 +154,26 @@ def train_array(rows: DataFrame, w0: DataFrame, net: Net, lr: float, steps: int,
 def score_versions(rows: DataFrame, models: dict, net: Net, key: str = "id") -> DataFrame:
     """``correct`` counts per model version: argmax of the output (first on
     ties) against argmax of ``y``.  Each task scores its batch under every
-    version and emits one count row per (version, correct)."""
+    version of a group and emits one count row per (version, correct).
+    Versions are scored in groups whose models together fit the broadcast
+    cap; the counts of all groups are summed by Spark."""
     spark = rows.sparkSession
     configure(spark)
-    if len(models) * net.cells * 8 > broadcast_cap(spark):
-        raise ValueError("model versions larger than cellgrad.broadcast.maxBytes")
-    bm = spark.sparkContext.broadcast(models)
+    if not fits_broadcast(spark, net):
+        raise ValueError("model larger than cellgrad.broadcast.maxBytes; "
+                         "use evaluate.correct_flags over relational scores")
+    per_group = max(1, broadcast_cap(spark) // (net.cells * 8))
+    versions = sorted(models)
+    out = None
+    for start in range(0, len(versions), per_group):
+        group = {v: models[v] for v in versions[start:start + per_group]}
+        part = _count_correct(rows, spark.sparkContext.broadcast(group), net, key)
+        out = part if out is None else out.unionByName(part)
+    return (out.groupBy(key, "correct").agg(F.sum("count").alias("count"))
+            .filter(F.col("count") > 0))
+
+
+def _count_correct(rows: DataFrame, bm, net: Net, key: str) -> DataFrame:
     d, c, preset = net.n_in, net.n_out, net.preset
 
     def count(batches):
@@ -176,17 +195,16 @@ def score_versions(rows: DataFrame, models: dict, net: Net, key: str = "id") ->
                 [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys]),
                  pa.array([acc[k] for k in keys], pa.int64())], names=[key, "correct", "count"])
 
-    out = rows.select("x", "y").mapInArrow(count, f"{key} long, correct boolean, count long")
-    return (out.groupBy(key, "correct").agg(F.sum("count").alias("count"))
-            .filter(F.col("count") > 0))
+    return rows.select("x", "y").mapInArrow(count, f"{key} long, correct boolean, count long")
 
 
 def predict_correct(rows: DataFrame, w1: np.ndarray, w2: np.ndarray, net: Net) -> DataFrame:
     """``(i, correct)`` for one model: one narrow stage, no shuffle."""
     spark = rows.sparkSession
     configure(spark)
-    if net.cells * 8 > broadcast_cap(spark):
-        raise ValueError("model larger than cellgrad.broadcast.maxBytes")
+    if not fits_broadcast(spark, net):
+        raise ValueError("model larger than cellgrad.broadcast.maxBytes; "
+                         "use evaluate.correct_flags over relational scores")
     bm = spark.sparkContext.broadcast((w1, w2))
     d, c, preset = net.n_in, net.n_out, net.preset
 

@@ -8,23 +8,39 @@ from pyspark.sql import functions as F
 
 from cellgrad.operators.weights import HO, XH
 from cellgrad.plans.relational import Net, forward
-from cellgrad.session import bounded_broadcast
+from cellgrad.session import broadcast_chunks
 
 
 def _keyed_layer(a: DataFrame, w: DataFrame, key: str, act, bound: int) -> DataFrame:
     """act(A·W) for many weight versions at once: join ``a.j = w.i`` (and the
-    version key, when ``a`` already carries one), group by (key, i, j)."""
-    right = bounded_broadcast(
-        w.select(key, F.col("i").alias("_k"), F.col("j").alias("_rj"), F.col("v").alias("_bv")),
-        bound)
+    version key, when ``a`` already carries one), group by (key, i, j).
+
+    The version store is broadcast; if its bound exceeds the cap it is cut by
+    version (``key % k``) and each piece broadcast separately — pieces give
+    disjoint output groups, so their union is exact."""
+    right = w.select(key, F.col("i").alias("_k"), F.col("j").alias("_rj"), F.col("v").alias("_bv"))
+    s = F.sum(F.col("_av") * F.col("_bv"))
     if key in a.columns:
         left = a.select(key, F.col("i").alias("_ri"), F.col("j").alias("_k"), F.col("v").alias("_av"))
-        joined = left.join(right, [key, "_k"])
+        on = [key, "_k"]
     else:
         left = a.select(F.col("i").alias("_ri"), F.col("j").alias("_k"), F.col("v").alias("_av"))
-        joined = left.join(right, "_k")
-    s = F.sum(F.col("_av") * F.col("_bv"))
-    return joined.groupBy(key, F.col("_ri").alias("i"), F.col("_rj").alias("j")).agg(act(s).alias("v"))
+        on = "_k"
+
+    def product(lf: DataFrame, rt: DataFrame) -> DataFrame:
+        return (lf.join(F.broadcast(rt), on)
+                .groupBy(key, F.col("_ri").alias("i"), F.col("_rj").alias("j")).agg(act(s).alias("v")))
+
+    pieces = broadcast_chunks(a.sparkSession, bound)
+    if pieces == 1:
+        return product(left, right)
+    out = None
+    for r in range(pieces):
+        rt = right.filter(F.col(key) % F.lit(pieces) == F.lit(r))
+        lf = left.filter(F.col(key) % F.lit(pieces) == F.lit(r)) if key in a.columns else left
+        piece = product(lf, rt)
+        out = piece if out is None else out.unionByName(piece)
+    return out
 
 
 def forward_keyed(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net, key: str,

@@ -62,6 +62,10 @@ def train_and_score(x: DataFrame, y: DataFrame, rows: DataFrame, net: Net, lr: f
     all rows.  Returns the best precision, the history and the run time."""
     spark = x.sparkSession
     w0 = w0 if w0 is not None else initial_weights(spark, net, seed)
+    if encoding == "array" and not AP.fits_broadcast(spark, net):
+        # The array trainer ships the whole model to every task; past the
+        # cap the cell encoding, which splits wide weights, does the work.
+        encoding, reduction = "relational", reduction or "mean"
     start = time.perf_counter()
     if encoding == "relational":
         for df in (x, y):

@@ -159,5 +159,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int,
     return df
 
 
+def broadcast_chunks(spark: SparkSession, max_rows: int, row_bytes: int = CELL_ROW_BYTES) -> int:
+    """How many pieces a side of ``max_rows`` rows must be cut into so that
+    each piece fits the broadcast cap (1 when it fits as a whole)."""
+    cap = broadcast_cap(spark)
+    return max(1, -(-(max_rows * row_bytes) // cap))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

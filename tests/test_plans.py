@@ -95,3 +95,43 @@ def test_no_cross_joins_or_row_udfs_in_catalog_plans(spark):
         text = plan(entry.queries()[key](spark, SF001))
         for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
             assert bad not in text, (key, bad)
+
+
+def test_oversized_weights_are_split_not_shuffled(spark):
+    """Past the broadcast cap a weight side is cut into broadcast pieces; the
+    result equals the single-broadcast product and no join on the feature
+    index is shuffled."""
+    import numpy as np
+    from cellgrad.operators import coo
+    e = emb(spark)
+    whole = {(r["i"], r["j"]): r["v"] for r in coo.matmul(e.x, e.w_xh, b_bound=K.NET.xh_cells).collect()}
+    spark.conf.set("cellgrad.broadcast.maxBytes", str(K.NET.xh_cells * 48 // 3))
+    try:
+        split = coo.matmul(e.x, e.w_xh, b_bound=K.NET.xh_cells)
+        text = plan(split)
+        got = {(r["i"], r["j"]): r["v"] for r in split.collect()}
+        hist = e.w0.withColumn("iter", F.lit(0).cast("long")).unionByName(
+            e.w0.withColumn("iter", F.lit(1).cast("long")))
+        scores = E.forward_all_steps(e.x, hist, K.NET, 2)
+        assert scores.count() == 2 * 10 * e.x.select("i").distinct().count()
+    finally:
+        spark.conf.unset("cellgrad.broadcast.maxBytes")
+    assert len(re.findall(r"^\(\d+\) BroadcastHashJoin", text, re.M)) == 3
+    assert shuffles(text) == 0
+    assert got.keys() == whole.keys()
+    assert np.allclose([got[k] for k in whole], [whole[k] for k in whole])
+
+
+def test_array_scoring_groups_versions_under_the_cap(spark):
+    import numpy as np
+    from cellgrad.plans import arrays as AP
+    e = emb(spark)
+    w1, w2 = AP.weights_to_numpy(e.w0, K.NET)
+    models = {k: (w1 * (1 + k / 10), w2) for k in range(5)}
+    full = sorted(map(tuple, AP.score_versions(e.vectors(), models, K.NET).collect()))
+    spark.conf.set("cellgrad.broadcast.maxBytes", str(2 * K.NET.cells * 8))
+    try:
+        grouped = sorted(map(tuple, AP.score_versions(e.vectors(), models, K.NET).collect()))
+    finally:
+        spark.conf.unset("cellgrad.broadcast.maxBytes")
+    assert grouped == full
