@@ -219,14 +219,20 @@ def q_select_model(spark, sf):
     return finish(W.select_model(xh, H))
 
 
+def _data_model(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The hidden-8 model with its shape read from the data."""
+    xh, ho = _store(spark, sf, (H,))
+    return xh.drop("w_id"), ho.drop("w_id")
+
+
 def q_tag_weights(spark, sf):
-    e = Emb(spark, sf)
-    return finish(W.tag(e.w_xh, iter=0, id=0))
+    xh, _ = _data_model(spark, sf)
+    return finish(W.tag(xh, iter=0, id=0))
 
 
 def q_stack_weights(spark, sf):
-    e = Emb(spark, sf)
-    return finish(W.stack(e.w_xh, e.w_ho))
+    xh, ho = _data_model(spark, sf)
+    return finish(W.stack(xh, ho))
 
 
 def q_coo_to_array(spark, sf):

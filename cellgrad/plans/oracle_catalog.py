@@ -117,10 +117,10 @@ def build() -> dict[str, str]:
     q["append_models"] = sql(_dims_store((H, 4, 16), 0), f"SELECT w_id, i, j, {r6('v')} AS v FROM store")
     q["select_model"] = sql(_dims_store(K.HIDDEN_SIZES, 0),
                             f"SELECT i, j, {r6('v')} AS v FROM store WHERE w_id = {H}")
-    q["tag_weights"] = sql(BASE[2:3], f"SELECT CAST(0 AS BIGINT) AS iter, CAST(0 AS BIGINT) AS id, "
-                                      f"i, j, {r6('v')} AS v FROM wxh")
-    q["stack_weights"] = sql(BASE[2:5], f"SELECT CAST(0 AS BIGINT) AS iter, CAST(id AS BIGINT) AS id, "
-                                        f"i, j, {r6('v')} AS v FROM w0")
+    q["tag_weights"] = sql(_dims_store((H,), 0), f"SELECT CAST(0 AS BIGINT) AS iter, CAST(0 AS BIGINT) AS id, "
+                                                 f"i, j, {r6('v')} AS v FROM store")
+    q["stack_weights"] = sql(_dims_store((H,)), f"SELECT CAST(0 AS BIGINT) AS iter, id, "
+                                                f"i, j, {r6('v')} AS v FROM store")
     xty = f"SELECT m.j AS i, n.j AS j, sum(m.v * n.v) AS v FROM x m JOIN {YD} n ON m.i = n.i GROUP BY m.j, n.j"
     q["coo_to_array"] = sql(BASE[:2] + [("g", xty)], _cells("g"))
     q["matmul_at"] = q["coo_to_array"]
