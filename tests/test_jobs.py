@@ -40,3 +40,16 @@ def test_sweep_writes_result_log(spark):
     assert [r["atts"] for r in out] == [4, 6]
     log = files.read_result_log(spark, f"{d}/log", files.RESULT_LOG_COLUMNS + ["accuracy"])
     assert log.count() == 2
+
+
+def test_array_job_falls_back_to_cells_past_the_cap(spark):
+    df, d = _iris_like(spark)
+    x, y, rows = jobs.prepare(df, files.IRIS_COLUMNS, files.IRIS_LABEL, 3, div=10.0)
+    net = Net(4, 5, 3)
+    spark.conf.set("cellgrad.broadcast.maxBytes", str(net.cells * 8 - 1))
+    try:
+        run = jobs.train_and_score(x, y, rows, net, 0.05, 1, encoding="array", seed=3)
+    finally:
+        spark.conf.unset("cellgrad.broadcast.maxBytes")
+    assert run["history"].filter("iter = 1").count() == net.cells
+    assert 0 < run["precision"] <= 1
