@@ -123,7 +123,8 @@ def one_hot_array(label, n_classes: int):
 def coo_to_array(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Cells ``(*keys, i, j, v)`` -> one nested array per key, rows and columns
     in index order (sorted explicitly; ``collect_list`` alone has no order).
-    Meant for models: each group is one matrix of bounded size."""
+    Meant for models: each group is one matrix of bounded size, gathered
+    into one row — never use it on an example-sized matrix."""
     keys = list(keys)
     rows = (cells.groupBy(*keys, "i")
             .agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("_cells"))
