@@ -95,3 +95,17 @@ def test_sigmoid_saturates(spark):
     x = cells(spark, [(1, 1, 1000.0), (1, 2, -1000.0)])
     got = {r["j"]: r["v"] for r in coo.cellwise(x, sigmoid).collect()}
     assert got == {1: 1.0, 2: 0.0}
+
+
+def test_densify_equals_plain_right_join_with_repeated_labels(spark):
+    from cellgrad.operators.reshape import class_grid, densify
+    examples = spark.createDataFrame([(k,) for k in range(1, 6)], "i long")
+    grid = class_grid(examples, 3)
+    # example 2 is "hot": its label appears 40 times; example 4 twice
+    lab = spark.createDataFrame([(2, 1)] * 40 + [(4, 3), (4, 3), (5, 2)], "i long, j long")
+    got = sorted(tuple(r) for r in densify(grid, lab).select("i", "j", "v", "dummy").collect())
+    plain = (lab.withColumn("one", F.lit(1).cast("long")).join(grid, ["i", "j"], "right")
+             .select("i", "j", F.coalesce("one", F.lit(0)).cast("long").alias("v"), F.col("one").alias("dummy")))
+    want = sorted(tuple(r) for r in plain.collect())
+    assert got == want
+    assert len(got) == 15 - 1 - 1 + 40 + 2
