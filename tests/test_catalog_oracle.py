@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellgrad.plans import catalog, oracle_catalog
 from conftest import SF001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -28,7 +29,7 @@ def _norm(rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle_catalog.ORACLE)
 
 
 @pytest.mark.parametrize("key", KEYS)
