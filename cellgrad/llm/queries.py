@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cellgrad.llm import decontaminate, license_scan, line_dedup, mixing, packing, quality, sharding, simhash
 from cellgrad.llm import token_counts, url_filter
+from cellgrad.llm.oracle import ORACLE  # noqa: F401
 from cellgrad.llm.text import table
 
 UNIGRAM_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -68,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_license_scan, op3_line_dedup, op4_token_counts, op5_sharding,
                             op6_simhash, op7_mixing, op8_packing, op9_quality, op10_url_filter)}
 
-ORACLE: dict[str, str] = {}
+
