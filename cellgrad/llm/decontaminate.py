@@ -213,7 +213,7 @@ class Benchmark:
         if out:
             _, places = normalised(text, places=True)
             out = [(i, e, a, b, int(places[c]), int(places[d - 1]) + 1) for i, e, a, b, c, d in out]
-        return sorted(out)
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, m[4]))
 
 
 def best_placed(part: np.ndarray, doc: np.ndarray, at: int, slack: int, budget: int) -> tuple[int, int, int] | None:

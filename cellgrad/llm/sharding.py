@@ -6,10 +6,11 @@ large against a shard.
 1. One pass measures every document: size (UTF-8 bytes plus ``ROW_BYTES``),
    words, and a 128-bit hash of the text that names its group.
 2. Groups above 1/``GRAIN`` of a shard in any dimension are items of their
-   own, cut by document into pieces of about that share; all other groups are
-   dealt by hash into shards * ``GRAIN`` bundles.  There can be at most
-   3 * shards * ``GRAIN`` such groups, so the items are bounded by the
-   parameters, whatever the corpus: at most 7 * shards * ``GRAIN``.
+   own; those above 1/``SPLIT`` of a shard are cut by document into pieces of
+   about 1/``PIECE`` of a shard.  All other groups are dealt by hash into shards *
+   ``GRAIN`` bundles.  There can be at most 3 * shards * ``GRAIN`` large
+   groups and 6 * shards * ``PIECE`` pieces, so the items are bounded by the
+   parameters, whatever the corpus.
 3. The items, largest share first, go each to the shard where the dot product
    of the item with the shard's residual capacity is highest, all in shares of
    a shard's capacity.  This runs on the driver over the bounded item list.
@@ -35,19 +36,24 @@ from cellgrad.session import materialize
 SHARDS = 24
 ROW_BYTES = 8
 GRAIN = 256
+SPLIT = 2
+PIECE = 64
+WEIGHTS = (1.0, 0.1, 0.1)  # bytes, tokens, rows: bytes are to come out nearly equal
 BUCKET_ROWS = 4096
 MIN_BUCKETS = 64
 DIMS = ["_size", "_words", "_rows"]
 
 
-def place(items: np.ndarray, shards: int, capacity: np.ndarray) -> np.ndarray:
-    """Shard of each item (rows: items, columns: dimensions): largest share of
-    a capacity first, each to the highest dot product with the residual."""
+def place(items: np.ndarray, shards: int, capacity: np.ndarray, weights=None) -> np.ndarray:
+    """Shard of each item (rows: items, columns: dimensions): largest weighted
+    share of a capacity first, each to the highest weighted dot product with
+    the residual (the first of equal shards)."""
     share = items / np.maximum(capacity, 1e-12)
+    w = np.ones(items.shape[1]) if weights is None else np.asarray(weights, float)
     residual = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), np.int64)
-    for k in np.lexsort((np.arange(len(items)), -share.sum(axis=1), -share.max(axis=1))):
-        best = int(np.argmax(residual @ share[k]))
+    for k in np.lexsort((np.arange(len(items)), -share.sum(axis=1), -(share * w).max(axis=1))):
+        best = int(np.argmax((residual * w) @ share[k]))
         out[k] = best
         residual[best] -= share[k]
     return out
@@ -63,7 +69,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
-                  grain: int = GRAIN) -> DataFrame:
+                  grain: int = GRAIN, weights=WEIGHTS) -> DataFrame:
     """(doc_id, size, n_words, text_crc32, shard, slot) for each of ``docs``."""
     spark = docs.sparkSession
     slim = materialize(measured(docs, id_col, text_col), "sizes")
@@ -71,8 +77,9 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
     capacity = np.array([totals[c] / shards for c in DIMS])
     group = ["_g1", "_g2"]
     groups = slim.groupBy(*group).agg(*[F.sum(c).alias(c) for c in DIMS])
-    share = F.greatest(*[F.col(c) * float(grain) / max(float(k), 1e-12) for c, k in zip(DIMS, capacity)])
-    large = groups.withColumn("_pieces", F.ceil(share).cast("long")).where(F.col("_pieces") > 1).select(*group, "_pieces")
+    share = F.greatest(*[F.col(c) / max(float(k), 1e-12) for c, k in zip(DIMS, capacity)])
+    pieces = F.when(share > 1 / SPLIT, F.ceil(share * PIECE)).otherwise(1).cast("long")
+    large = groups.where(share * grain > 1).select(*group, pieces.alias("_pieces"))
     large = F.broadcast(materialize(large, "large-groups"))  # at most 3 * shards * grain rows
     bundles = shards * grain
     # Items: bundles of small groups by the group's hash, pieces of large ones.
@@ -81,10 +88,10 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id",
         .otherwise(F.struct(F.col("_g1").alias("a"), F.col("_g2").alias("b"),
                             (F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.col("_pieces"))).alias("c")))
     items = slim.join(large, group, "left").withColumn("_item", item)
-    weights = items.groupBy("_item").agg(*[F.sum(c).alias(c) for c in DIMS]).collect()
-    weights.sort(key=lambda r: tuple(r["_item"]))
-    at = place(np.array([[r[c] for c in DIMS] for r in weights], float).reshape(-1, len(DIMS)), shards, capacity)
-    chosen = [(*r["_item"], int(s)) for r, s in zip(weights, at)]
+    loads = items.groupBy("_item").agg(*[F.sum(c).alias(c) for c in DIMS]).collect()
+    loads.sort(key=lambda r: tuple(r["_item"]))
+    at = place(np.array([[r[c] for c in DIMS] for r in loads], float).reshape(-1, len(DIMS)), shards, capacity, weights)
+    chosen = [(*r["_item"], int(s)) for r, s in zip(loads, at)]
     where = F.broadcast(spark.createDataFrame(chosen, "_a long, _b long, _c long, shard int"))
     placed = items.withColumns({"_a": F.col("_item.a"), "_b": F.col("_item.b"), "_c": F.col("_item.c")}) \
         .join(where, ["_a", "_b", "_c"])

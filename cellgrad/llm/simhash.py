@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrad.llm.components import components
+from cellgrad.llm.text import MAX_LONG
 from cellgrad.session import materialize, ship_package
 
 SHINGLE = 3
@@ -73,17 +74,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1).cast(pa.binary())),
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2).cast(pa.binary())),
                               np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
+                                             ["doc_id", "text_hash", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                       F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # ------------------------------------------------------------------ parts
@@ -270,13 +273,17 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _groups(marked: DataFrame, radius: int) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of the materialized ``marked``."""
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("_least")), "fingerprint-classes")
+    """The materialized ``marked`` with component_id and _first, whether the
+    row is its component's first: smallest id (none: last), then text hash."""
+    first = F.struct(F.coalesce("doc_id", F.lit(MAX_LONG)).alias("id"), F.col("text_hash").alias("th"))
+    classes = materialize(marked.groupBy("fp").agg(F.min(first).alias("_least")), "fingerprint-classes")
     label = components(links(classes, radius)).withColumnRenamed("node", "fp")
     named = classes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("_least").alias("component_id"))
-    by_fp = materialize(named.join(least, "label").select("fp", "component_id"), "fingerprint-components")
-    return marked.join(by_fp, "fp")
+    least = named.groupBy("label").agg(F.min("_least").alias("_top"))
+    by_fp = materialize(named.join(least, "label").select("fp", "_top"), "fingerprint-components")
+    return marked.join(by_fp, "fp").select(
+        "doc_id", "text_hash", "fp", F.when(F.col("_top.id") != MAX_LONG, F.col("_top.id")).alias("component_id"),
+        (first == F.col("_top")).alias("_first"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -290,13 +297,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component left, the one with the
-    smallest id; of rows that share this id, any one."""
+    smallest id; of repeats of this row, any one."""
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    keep = (_groups(marked, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
+    keep = (_groups(marked, radius).where("_first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
+            .agg(F.count("*").alias("_rows")))
     keep = materialize(keep, "kept-ids")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
     stay = docs.join(keep.where("_rows = 1"), same, "left_semi")
     if not keep.where("_rows > 1").isEmpty():
-        stay = stay.unionByName(docs.join(keep.where("_rows > 1"), same, "left_semi").dropDuplicates([id_col]))
+        again = docs.join(keep.where("_rows > 1"), same, "left_semi")
+        stay = stay.unionByName(again.dropDuplicates([id_col, text_col]))
     return stay

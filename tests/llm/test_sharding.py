@@ -16,12 +16,12 @@ def checked(rows, source, shards):
 
 
 def test_small_table(docs001, rows001):
-    rows = assign_shards(docs001, 6).collect()
+    rows = assign_shards(docs001, 6).collect()  # no group holds half a shard
     checked(rows, rows001, 6)
     loads = np.zeros((6, 3))
     for r in rows:
         loads[r["shard"]] += (r["size"], r["n_words"], 1)
-    assert (loads.max(axis=0) <= 1.02 * loads.mean(axis=0) + 1).all()
+    assert (loads.max(axis=0) <= loads.mean(axis=0) * (1.03, 1.06, 1.06)).all()
     where = defaultdict(set)
     for r in rows:
         where[(r["text_crc32"], r["size"])].add(r["shard"])
@@ -35,7 +35,7 @@ def test_a_group_with_most_rows_is_split(spark):
     loads = np.zeros(8)
     for r in got:
         loads[r["shard"]] += r["size"]
-    assert loads.max() <= 1.01 * loads.mean()
+    assert loads.max() <= 1.03 * loads.mean()
 
 
 def test_place_takes_the_highest_dot_product():

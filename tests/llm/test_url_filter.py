@@ -62,11 +62,12 @@ def test_scores_equal_dense_iteration(spark):
         assert abs(t - trust[h]) < 1e-9 and abs(d - distrust[h]) < 1e-9
     verdicts = {r["page_id"]: r["verdict"] for r in U.url_filter(pages_of(spark, rows)).collect()}
     assert verdicts[3] == "block" and verdicts[1] == "allow" and verdicts[7] == "allow" and verdicts[6] == "allow"
-    want = {4: "farm.org", 5: "farm2.org"}
-    for page, host in want.items():
-        bad = distrust[host] - trust[host] > U.MARGIN
-        assert verdicts[page] == ("block" if bad else "allow")
-    assert verdicts[4] == "block"
+    for margin in (0.1, 0.3, 0.5):
+        verdicts = {r["page_id"]: r["verdict"] for r in U.url_filter(pages_of(spark, rows), margin=margin).collect()}
+        for page, host in ((4, "farm.org"), (5, "farm2.org"), (6, "lone.org")):
+            bad = distrust.get(host, 0) - trust.get(host, 0) > margin
+            assert verdicts[page] == ("block" if bad else "allow")
+        assert verdicts[4] == ("block" if margin < 0.4 else "allow")
 
 
 def test_empty_and_clashing_columns(spark):
