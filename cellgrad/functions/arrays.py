@@ -21,11 +21,6 @@ def let(value, body) -> Column:
     return F.element_at(F.transform(F.array(_c(value)), body), 1)
 
 
-def dot(x, y) -> Column:
-    return F.aggregate(F.zip_with(_c(x), _c(y), lambda a, b: a * b),
-                       F.lit(0.0), lambda acc, t: acc + t)
-
-
 def vec_mat(x, w) -> Column:
     """Row vector times matrix: x (k) · W (k×m) -> (m)."""
     x, w = _c(x), _c(w)
@@ -52,10 +47,6 @@ def vec_zip(x, y, fn) -> Column:
     return F.zip_with(_c(x), _c(y), fn)
 
 
-def vec_map(x, fn) -> Column:
-    return F.transform(_c(x), fn)
-
-
 def mat_zip(a, b, fn) -> Column:
     """Cell-wise combination of two equally shaped matrices."""
     return F.zip_with(_c(a), _c(b), lambda r, s: F.zip_with(r, s, fn))
@@ -101,17 +92,14 @@ def tanh_vec(x) -> Column:
 
 
 def one_hot(label, n_classes: int) -> Column:
-    """Vector of n zeros with a 1 at 0-based position ``label``."""
-    k = _c(label).cast("int")
-    return F.concat(F.array_repeat(F.lit(0.0), k), F.array(F.lit(1.0)),
-                    F.array_repeat(F.lit(0.0), F.lit(n_classes - 1) - k))
+    """Vector of n values, 1 at the 0-based position ``label`` and 0 elsewhere
+    (all 0 for a label outside 0..n-1); NULL, unlabelled, for a NULL label."""
+    k = _c(label).cast("long")
+    return F.when(k.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
+                                             lambda p: (p == k).cast("double")))
 
 
 def pack(cols, div: float = 1.0, add: float = 0.0) -> Column:
     """Wide columns -> one vector, scaled ``x / div + add``."""
     return F.array(*[_c(c).cast("double") / F.lit(float(div)) + F.lit(float(add))
                      for c in cols])
-
-
-def scale_vec(x, div: float = 1.0, add: float = 0.0) -> Column:
-    return F.transform(_c(x), lambda t: t.cast("double") / F.lit(float(div)) + F.lit(float(add)))

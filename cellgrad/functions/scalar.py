@@ -51,9 +51,11 @@ def formula_weight(i, j, coef=W_XH_COEF) -> Column:
     return k.cast("double") / F.lit(WEIGHT_SCALE) - F.lit(1.0)
 
 
-def uniform_weight(seed: int) -> Column:
-    """Random weight in [-1, 1): rand(seed)*2-1."""
-    return F.rand(seed) * F.lit(2.0) - F.lit(1.0)
+def uniform_weight(seed: int, *cell: str) -> Column:
+    """Weight in [-1, 1) drawn by hashing the seed with the cell's indices:
+    the same cells get the same weights on any cluster and in any order."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(int(seed)), *cell), 11)
+    return draw.cast("double") / F.lit(float(1 << 52)) - F.lit(1.0)
 
 
 def register_sql_functions(spark: SparkSession) -> None:

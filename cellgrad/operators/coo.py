@@ -14,36 +14,36 @@ map side collapses each partition to at most ``rows × cols`` cells first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellgrad.session import bounded_broadcast, broadcast_chunks
+from cellgrad.session import CELL_ROW_BYTES, broadcast_cap, shuffle_partitions
 
-CELL_COLS = ("i", "j", "v")
+def contract_join(left: DataFrame, right: DataFrame, on: list[str], bound: int | None,
+                  salt_by: str) -> DataFrame:
+    """Join of a large side with weights on the contracted index ``_k``.
 
-
-def _side(df: DataFrame, i: str, j: str, v: str) -> DataFrame:
-    return df.select(F.col("i").alias(i), F.col("j").alias(j), F.col("v").alias(v))
-
-
-def _maybe_broadcast(df: DataFrame, bound: int | None) -> DataFrame:
-    return bounded_broadcast(df, bound) if bound is not None else df
+    Within the broadcast cap ``right`` is broadcast.  Beyond it both sides are
+    shuffled; ``_k`` has few values, so the large side is salted by
+    ``salt_by`` and the weights are repeated once per salt: the join then
+    spreads over keys x salts, whatever the size of the weights."""
+    spark = left.sparkSession
+    if bound is not None and bound * CELL_ROW_BYTES <= broadcast_cap(spark):
+        return left.join(F.broadcast(right), on)
+    salts = shuffle_partitions(spark)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread.hint("shuffle_hash"), [*on, "_salt"]).drop("_salt")
 
 
 def contract(a: DataFrame, b: DataFrame, a_sum: str, b_sum: str,
-             *, a_bound: int | None = None, b_bound: int | None = None,
-             act=None) -> DataFrame:
+             *, b_bound: int | None = None, act=None) -> DataFrame:
     """General product of two cell tables.
 
     ``a_sum`` / ``b_sum`` name the index ("i" or "j") of each side that is
     summed over; the other index of each side is kept, ``a``'s first.
-    ``a_bound`` / ``b_bound`` are proven row bounds of a small side; such a
-    side is broadcast.  A bounded side larger than the broadcast cap is cut
-    into pieces by its kept index (``kept % k``) and each piece is broadcast
-    on its own: the pieces produce disjoint output cells, so the union of the
-    per-piece products is exact, and no join on the contracted index (few
-    distinct values, hence skewed) is ever shuffled.  ``act`` is applied to
-    the sum.
+    ``b_bound`` is the proven row bound of a weight side, see
+    ``contract_join``.  ``act`` is applied to the sum.
     """
     a_keep = "j" if a_sum == "i" else "i"
     b_keep = "j" if b_sum == "i" else "i"
@@ -52,45 +52,28 @@ def contract(a: DataFrame, b: DataFrame, a_sum: str, b_sum: str,
     right = b.select(F.col(b_sum).alias("_k"), F.col(b_keep).alias("_rj"),
                      F.col("v").alias("_bv"))
     s = F.sum(F.col("_av") * F.col("_bv"))
-    v = act(s) if act is not None else s
-
-    def product(lf: DataFrame, rt: DataFrame) -> DataFrame:
-        return (lf.join(rt, "_k")
-                .groupBy(F.col("_ri").alias("i"), F.col("_rj").alias("j"))
-                .agg(v.alias("v")))
-
-    if b_bound is not None:
-        pieces = broadcast_chunks(a.sparkSession, b_bound)
-        if pieces > 1:
-            out = None
-            for r in range(pieces):
-                part = right.filter(F.col("_rj") % F.lit(pieces) == F.lit(r))
-                piece = product(left, F.broadcast(part))
-                out = piece if out is None else out.unionByName(piece)
-            return out
-        right = F.broadcast(right)
-    elif a_bound is not None:
-        left = _maybe_broadcast(left, a_bound)
-    return product(left, right)
+    joined = contract_join(left, right, ["_k"], b_bound, "_ri") if b_bound is not None else left.join(right, "_k")
+    return (joined.groupBy(F.col("_ri").alias("i"), F.col("_rj").alias("j"))
+            .agg((act(s) if act is not None else s).alias("v")))
 
 
 def matmul(a: DataFrame, b: DataFrame, *, b_bound: int | None = None,
-           a_bound: int | None = None, act=None) -> DataFrame:
+           act=None) -> DataFrame:
     """A·B: join ``a.j = b.i``, group by ``(a.i, b.j)``."""
-    return contract(a, b, "j", "i", a_bound=a_bound, b_bound=b_bound, act=act)
+    return contract(a, b, "j", "i", b_bound=b_bound, act=act)
 
 
 def matmul_bt(a: DataFrame, b: DataFrame, *, b_bound: int | None = None,
-              a_bound: int | None = None, act=None) -> DataFrame:
+              act=None) -> DataFrame:
     """A·Bᵀ: join ``a.j = b.j``, group by ``(a.i, b.i)``."""
-    return contract(a, b, "j", "j", a_bound=a_bound, b_bound=b_bound, act=act)
+    return contract(a, b, "j", "j", b_bound=b_bound, act=act)
 
 
 def matmul_at(a: DataFrame, b: DataFrame, *, b_bound: int | None = None,
-              a_bound: int | None = None, act=None) -> DataFrame:
+              act=None) -> DataFrame:
     """Aᵀ·B: join ``a.i = b.i`` (contracts the example index), group by
     ``(a.j, b.j)``."""
-    return contract(a, b, "i", "i", a_bound=a_bound, b_bound=b_bound, act=act)
+    return contract(a, b, "i", "i", b_bound=b_bound, act=act)
 
 
 def hadamard(a: DataFrame, b: DataFrame, fn=None) -> DataFrame:
@@ -119,21 +102,7 @@ def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
-def scale(a: DataFrame, factor: float) -> DataFrame:
-    return a.select("i", "j", (F.col("v") * F.lit(float(factor))).alias("v"))
-
-
 def layer(x: DataFrame, w: DataFrame, act, *, w_bound: int | None = None) -> DataFrame:
     """Dense layer without bias: act(x·W), activation fused into the aggregate."""
     return matmul(x, w, b_bound=w_bound, act=act)
 
-
-def apply_act(s: Column, name: str) -> Column:
-    from cellgrad.functions.scalar import sigmoid, tanh
-    if name == "sigmoid":
-        return sigmoid(s)
-    if name == "tanh":
-        return tanh(s)
-    if name in ("identity", "none", "softmax"):
-        return s
-    raise ValueError(f"unknown activation {name}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrad.functions import arrays as A
-from cellgrad.session import bounded_broadcast, shuffle_partitions
+from cellgrad.session import bounded_broadcast, materialize, shuffle_partitions
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -17,31 +17,28 @@ def assign_ids(df: DataFrame, order_cols: Sequence[str], id_col: str = "id") ->
     """Dense ids 1..N in the order of ``order_cols`` (row_number over a total
     order) without funnelling the data through one task.
 
-    The rows are range partitioned and sorted by the key; within a sorted
-    partition ``monotonically_increasing_id`` numbers rows in key order.  A
-    tiny per-partition count table gives each partition its offset, which is
-    broadcast back (its size is bounded by the number of partitions).  The key
-    must be unique for the ids to be deterministic.
+    The rows are range partitioned and sorted by the key, then by all other
+    columns, so ties get the same ids on any cluster; within a sorted partition
+    ``monotonically_increasing_id`` numbers rows in order.  The sorted rows are
+    written out once, so the counts and the numbering see the same partitions,
+    also after a lost executor.  A tiny per-partition count table gives each
+    partition its offset, which is broadcast back (its size is bounded by the
+    number of partitions).
     """
-    spark = df.sparkSession
-    ordered = df.orderBy(*order_cols)
+    rest = [c for c, t in df.dtypes if c not in order_cols and not t.startswith(("map", "variant"))]
+    ordered = df.orderBy(*order_cols, *rest)
     mid = F.monotonically_increasing_id()
-    tagged = (ordered
-              .withColumn("_pid", F.shiftright(mid, _POS_BITS))
-              .withColumn("_pos", mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    # Reused by the count job and the numbering job; recomputation after a lost
-    # executor gives the same numbering (same range bounds, unique sort key).
-    tagged = tagged.persist()
+    tagged = materialize(ordered.withColumn("_pid", F.shiftright(mid, _POS_BITS))
+                         .withColumn("_pos", mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1))), "ordered")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # A range shuffle yields at most spark.sql.shuffle.partitions partitions
     # (AQE only merges them), so the offset table has a proven bound.
-    offsets = bounded_broadcast(offsets, shuffle_partitions(spark), row_bytes=32)
-    cols = [c for c in df.columns]
+    offsets = bounded_broadcast(offsets, shuffle_partitions(df.sparkSession), row_bytes=32)
     return (tagged.join(offsets, "_pid")
-            .select((F.col("_off") + F.col("_pos") + F.lit(1)).cast("long").alias(id_col), *cols))
+            .select((F.col("_off") + F.col("_pos") + F.lit(1)).cast("long").alias(id_col), *df.columns))
 
 
 def to_coo(df: DataFrame, id_col: str, cols: Sequence[str], div: float = 1.0,
@@ -86,11 +83,12 @@ def class_grid(examples: DataFrame, n_classes: int, id_col: str = "i") -> DataFr
 def one_hot_coo(examples: DataFrame, label_col: str, n_classes: int,
                 id_col: str = "i", label_offset: int = 1) -> DataFrame:
     """One-hot cells ``(i, j, v, dummy)``: v = 1 at class ``label+offset``,
-    0 elsewhere; dummy = 1 at the label, NULL elsewhere.  Built from the
+    0 elsewhere; dummy = 1 at the label, NULL elsewhere.  A NULL label has no
+    cells (unlabelled), one outside the classes only zeros.  Built from the
     example rows themselves, so no join is needed when labels sit on the
     example."""
     lab = (F.col(label_col).cast("long") + F.lit(label_offset))
-    rows = examples.select(F.col(id_col).cast("long").alias("i"), lab.alias("_lab"),
+    rows = examples.where(lab.isNotNull()).select(F.col(id_col).cast("long").alias("i"), lab.alias("_lab"),
                            F.explode(F.sequence(F.lit(1), F.lit(n_classes))).alias("_j"))
     hit = F.col("_j").cast("long") == F.col("_lab")
     return rows.select("i", F.col("_j").cast("long").alias("j"),
@@ -102,22 +100,25 @@ def densify(grid: DataFrame, labels: DataFrame) -> DataFrame:
     """Right outer join of sparse label cells ``(i, j)`` onto a full grid:
     ``v = coalesce(label, 0)``, ``dummy`` = 1 or NULL.
 
-    Labels are first reduced to one row per ``(i, j)`` with a multiplicity
-    (partial aggregation before the shuffle), so a label repeated for one hot
-    example cannot skew the join; the multiplicity is expanded afterwards, so
-    the result equals the plain right outer join row for row."""
-    lab = (labels.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
-           .groupBy("i", "j").agg(F.count(F.lit(1)).alias("_n")))
-    joined = lab.join(grid.select("i", "j"), ["i", "j"], "right")
-    one = F.when(F.col("_n").isNotNull(), F.lit(1).cast("long"))
-    return (joined.select("i", "j", one.alias("dummy"),
-                          F.explode(F.array_repeat(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)).cast("int")))
-                          .alias("_rep"))
-            .select("i", "j", F.coalesce(F.col("dummy"), F.lit(0)).cast("long").alias("v"), "dummy"))
+    Written as the inner join plus the grid cells without a label: a label
+    repeated for one hot example is then a plain inner-join side, which AQE
+    splits (a right outer join's left side it cannot), and the result equals
+    the right outer join row for row."""
+    cell = ["i", "j"]
+    grid = grid.select(*cell)
+    lab = labels.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    one = F.lit(1).cast("long")
+    hit = grid.join(lab, cell).select(*cell, one.alias("v"), one.alias("dummy"))
+    rest = grid.join(lab.distinct(), cell, "left_anti").select(
+        *cell, F.lit(0).cast("long").alias("v"), F.lit(None).cast("long").alias("dummy"))
+    return hit.unionByName(rest)
 
 
-def one_hot_array(label, n_classes: int):
-    return A.one_hot(label, n_classes)
+def matrix_avg(df: DataFrame, mat_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Cell-wise mean ``(*by, i, j, v)`` of a nested-array column per group:
+    cells are averaged with partial sums per partition."""
+    return (matrix_to_coo(df.select(*by, mat_col), mat_col, by).groupBy(*by, "i", "j")
+            .agg(F.avg("v").alias("v")))
 
 
 def coo_to_array(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -163,6 +164,7 @@ def partition_examples(df: DataFrame, n_partitions: int | None = None,
     ``y`` partitioned by ``i`` into the same number of partitions, every
     product with a broadcast weight matrix, every (i, j) aggregate and every
     cell-wise join is exchange-free; only contractions over examples shuffle,
-    and those only their partial sums."""
+    and those only their partial sums.  Rows are sorted within a partition, so
+    a cached side is joined on the id without sorting again."""
     n = n_partitions or shuffle_partitions(df.sparkSession)
-    return df.repartition(n, F.col(id_col))
+    return df.repartition(n, F.col(id_col)).sortWithinPartitions(*[c for c in (id_col, "j") if c in df.columns])

@@ -32,7 +32,7 @@ def weight_cells(dims: DataFrame, coef=W_XH_COEF, seed: int | None = None,
     grid = (dims.select(*keep, F.explode(F.sequence(F.lit(1), F.col(rows_col))).alias("i"), cols_col)
             .select(*keep, "i", F.explode(F.sequence(F.lit(1), F.col(cols_col))).alias("j"))
             .select(*keep, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
-    v: Column = uniform_weight(seed) if seed is not None else formula_weight("i", "j", coef)
+    v: Column = uniform_weight(seed, *keep, "i", "j") if seed is not None else formula_weight("i", "j", coef)
     return grid.select(*keep, "i", "j", v.alias("v"))
 
 
@@ -42,18 +42,6 @@ def init_coo(spark: SparkSession, rows: int, cols: int, coef=W_XH_COEF,
     return tag(cells, w_id=w_id) if w_id is not None else cells
 
 
-def init_models(spark: SparkSession, n_in: int, hidden_sizes: Sequence[int], n_out: int,
-                seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Model store: w_xh and w_ho for several hidden sizes, tagged ``w_id``
-    = hidden size (the multi-model layout).  Returns (w_xh, w_ho)."""
-    sizes = spark.createDataFrame([(int(h),) for h in hidden_sizes], "w_id long")
-    xh = weight_cells(sizes.select("w_id", F.lit(n_in).alias("_r"), F.col("w_id").alias("_c")),
-                      W_XH_COEF, seed, keep=["w_id"])
-    ho = weight_cells(sizes.select("w_id", F.col("w_id").alias("_r"), F.lit(n_out).alias("_c")),
-                      W_HO_COEF, None if seed is None else seed + 1, keep=["w_id"])
-    return xh, ho
-
-
 def tag(df: DataFrame, **consts) -> DataFrame:
     """Prefix constant columns (``select 0, 0, *``)."""
     return df.select(*[F.lit(v).cast("long").alias(k) for k, v in consts.items()], *df.columns)

@@ -27,23 +27,27 @@ from cellgrad.plans import evaluate as E
 from cellgrad.plans.relational import (
     Net, cells_per_step, distinct_steps, forward, gradient, hidden_delta, loss_gradient,
     output_delta, train_relational, update)
+from cellgrad.session import loop_settings
 from cellgrad.sources import tables as TB
 
-# Fixed parameters of the checked fixtures.
-D, H, C = 64, 8, 10            # embeddings: features, hidden, classes
+# Fixed parameters of the checked fixtures; feature and class counts are read
+# from the data.
+H = 8                          # hidden units on embeddings
 LIMIT = 101                    # the row-limit operators keep i < 101 (i <= 100)
 TRAIN_LIMIT = None             # registered training queries use every row
 LR = 0.01
 STEPS = 3
+LONG_STEPS = 10                # the shortest recorded Iris run
 MEAN_LR = 0.5                  # mean-gradient runs
 ARRAY_LR = 0.1                 # the array workload's hard-coded step
-HIDDEN_SIZES = (4, 8, 16)      # multi-model store
+OFFSET = 0.001                 # added to scaled features in the recorded load
+SEED = 1
+HIDDEN_SIZES = (4, 8, 16)      # small multi-model store
+MODEL_SIZES = (10, 20, 50, 100)  # the recorded inference sizes start like this
 IRIS_D, IRIS_H, IRIS_C = 4, 20, 3
 IRIS_ONE_HOT_CLASSES = 4       # one class more than outputs, as recorded
 REPLICAS = 3
 
-NET = Net(D, H, C)
-NET_TS = Net(D, H, C, "tanh_softmax")
 IRIS_NET = Net(IRIS_D, IRIS_H, IRIS_C)
 
 
@@ -62,27 +66,33 @@ def finish(df: DataFrame) -> DataFrame:
 
 
 class Emb:
-    """The embeddings fixture, built lazily per query."""
+    """The embeddings fixture, built lazily per query but for its shape: the
+    number of features and classes comes from the data."""
 
     def __init__(self, spark: SparkSession, sf: str, partitioned: bool = False):
         ex = TB.embedding_examples(spark, sf)
+        d, c = ex.agg(F.max(F.size("x")), F.max("label") + 1).first()
         self.spark = spark
         self.ex = ex
+        self.classes = int(c or 0)
+        self.net = Net(int(d or 0), H, self.classes)
+        self.net_ts = Net(int(d or 0), H, self.classes, "tanh_softmax")
         self.x = TB.embedding_cells(ex)
-        self.y = TB.embedding_one_hot(ex, C)
+        self.y = TB.embedding_one_hot(ex, self.classes)
         if partitioned:
             # Training / scoring fixtures: cells partitioned by example id once.
-            self.x = R.partition_examples(self.x).persist()
-            self.y = R.partition_examples(self.y).persist()
-        self.w_xh = W.init_coo(spark, D, H, W_XH_COEF)
-        self.w_ho = W.init_coo(spark, H, C, W_HO_COEF)
+            with loop_settings(spark):
+                self.x = R.partition_examples(self.x).persist()
+                self.y = R.partition_examples(self.y).persist()
+        self.w_xh = W.init_coo(spark, self.net.n_in, H, W_XH_COEF)
+        self.w_ho = W.init_coo(spark, H, self.classes, W_HO_COEF)
 
     @property
     def w0(self) -> DataFrame:
         return W.stack(self.w_xh, self.w_ho).drop("iter")
 
     def vectors(self) -> DataFrame:
-        return self.ex.select("i", "x", A.one_hot("label", C).alias("y"))
+        return self.ex.select("i", "x", A.one_hot("label", self.classes).alias("y"))
 
     def with_model(self) -> DataFrame:
         """Each example row with the (single, bounded) model attached: each
@@ -98,8 +108,8 @@ def _iris_cells(spark, sf):
     return li, R.to_coo(li, "id", [n for n, _, _, _ in TB.LINEITEM_FEATURES])
 
 
-def _hist(e: Emb, steps=STEPS, lr=LR, reduction="sum", net=NET) -> DataFrame:
-    return train_relational(e.x, e.y, e.w0, net, lr, steps, TRAIN_LIMIT, reduction)
+def _hist(e: Emb, steps=STEPS, lr=LR, reduction="sum", net=None) -> DataFrame:
+    return train_relational(e.x, e.y, e.w0, net or e.net, lr, steps, TRAIN_LIMIT, reduction)
 
 
 def _dims(spark, sf) -> DataFrame:
@@ -183,7 +193,7 @@ def q_class_count(spark, sf):
 
 
 def q_series_grid(spark, sf):
-    return finish(R.class_grid(TB.embedding_examples(spark, sf), C))
+    return finish(R.class_grid(TB.embedding_examples(spark, sf), Emb(spark, sf).classes))
 
 
 def q_init_weights(spark, sf):
@@ -243,13 +253,13 @@ def q_coo_to_array(spark, sf):
 
 def q_matmul(spark, sf):
     e = Emb(spark, sf)
-    return finish(coo.matmul(e.x, e.w_xh, b_bound=NET.xh_cells))
+    return finish(coo.matmul(e.x, e.w_xh, b_bound=e.net.xh_cells))
 
 
 def q_matmul_bt(spark, sf):
     e = Emb(spark, sf)
     y = e.y.select("i", "j", F.col("v").cast("double").alias("v"))
-    return finish(coo.matmul_bt(y, e.w_ho, b_bound=NET.ho_cells))
+    return finish(coo.matmul_bt(y, e.w_ho, b_bound=e.net.ho_cells))
 
 
 def q_matmul_at(spark, sf):
@@ -268,62 +278,69 @@ def q_sigmoid(spark, sf):
 
 
 def q_sql_udf_sigmoid(spark, sf):
+    """The layer in SQL text: one row per example, the weight columns as one
+    bounded scalar value, the dot products as an array expression and the
+    registered SQL function on each."""
     e = Emb(spark, sf)
     register_sql_functions(spark)
-    e.x.createOrReplaceTempView("cg_img")
-    e.w_xh.createOrReplaceTempView("cg_w_xh")
-    return finish(spark.sql(
-        "SELECT m.i, n.j, sig(SUM(m.v * n.v)) AS v "
-        "FROM cg_img m JOIN cg_w_xh n ON m.j = n.i GROUP BY m.i, n.j"))
+    e.ex.createOrReplaceTempView("cg_examples")
+    R.coo_to_array(coo.transpose(e.w_xh)).createOrReplaceTempView("cg_columns")
+    return finish(spark.sql("""
+        WITH units AS (SELECT i, x, (SELECT m FROM cg_columns) AS cols FROM cg_examples),
+        raw AS (
+          SELECT i, posexplode(transform(cols, unit ->
+            aggregate(zip_with(x, unit, (p, q) -> p * q), 0D, (t, u) -> t + u))) AS (place, total)
+          FROM units)
+        SELECT i, CAST(place + 1 AS BIGINT) AS j, sig(total) AS v FROM raw"""))
 
 
 def q_sigmoid_layer(spark, sf):
     e = Emb(spark, sf)
-    return finish(coo.layer(e.x, e.w_xh, sigmoid, w_bound=NET.xh_cells))
+    return finish(coo.layer(e.x, e.w_xh, sigmoid, w_bound=e.net.xh_cells))
 
 
 def q_tanh_layer(spark, sf):
     e = Emb(spark, sf)
-    return finish(coo.layer(e.x, e.w_xh, tanh, w_bound=NET.xh_cells))
+    return finish(coo.layer(e.x, e.w_xh, tanh, w_bound=e.net.xh_cells))
 
 
 def q_softmax_layer(spark, sf):
     e = Emb(spark, sf)
-    return finish(forward(e.x, e.w_xh, e.w_ho, NET_TS)[1])
+    return finish(forward(e.x, e.w_xh, e.w_ho, e.net_ts)[1])
 
 
 def q_forward(spark, sf):
     e = Emb(spark, sf)
-    return finish(forward(e.x, e.w_xh, e.w_ho, NET)[1])
+    return finish(forward(e.x, e.w_xh, e.w_ho, e.net)[1])
 
 
 def q_predict_scores(spark, sf):
     e = Emb(spark, sf)
     xh, ho = _store(spark, sf)
-    return finish(E.predict_scores(e.x, W.select_model(xh, H), W.select_model(ho, H), NET))
+    return finish(E.predict_scores(e.x, W.select_model(xh, H), W.select_model(ho, H), e.net))
 
 
 def q_loss_gradient(spark, sf):
     e = Emb(spark, sf)
-    return finish(loss_gradient(forward(e.x, e.w_xh, e.w_ho, NET)[1], e.y))
+    return finish(loss_gradient(forward(e.x, e.w_xh, e.w_ho, e.net)[1], e.y))
 
 
 def q_delta_output(spark, sf):
     e = Emb(spark, sf)
-    return finish(output_delta(forward(e.x, e.w_xh, e.w_ho, NET)[1], e.y, NET))
+    return finish(output_delta(forward(e.x, e.w_xh, e.w_ho, e.net)[1], e.y, e.net))
 
 
 def q_delta_hidden(spark, sf):
     e = Emb(spark, sf)
-    a_xh, a_ho = forward(e.x, e.w_xh, e.w_ho, NET)
-    return finish(hidden_delta(output_delta(a_ho, e.y, NET), e.w_ho, a_xh, NET))
+    a_xh, a_ho = forward(e.x, e.w_xh, e.w_ho, e.net)
+    return finish(hidden_delta(output_delta(a_ho, e.y, e.net), e.w_ho, a_xh, e.net))
 
 
 def _train_gradient(e: Emb) -> DataFrame:
     x = e.x
-    a_xh, a_ho = forward(x, e.w_xh, e.w_ho, NET)
-    d_ho = output_delta(a_ho, e.y, NET)
-    return gradient(x, a_xh, hidden_delta(d_ho, e.w_ho, a_xh, NET), d_ho)
+    a_xh, a_ho = forward(x, e.w_xh, e.w_ho, e.net)
+    d_ho = output_delta(a_ho, e.y, e.net)
+    return gradient(x, a_xh, hidden_delta(d_ho, e.w_ho, a_xh, e.net), d_ho)
 
 
 def q_gradient(spark, sf):
@@ -332,7 +349,7 @@ def q_gradient(spark, sf):
 
 def q_weight_update(spark, sf):
     e = Emb(spark, sf)
-    return finish(update(e.w0, _train_gradient(e), LR, NET))
+    return finish(update(e.w0, _train_gradient(e), LR, e.net))
 
 
 def q_train_relational(spark, sf):
@@ -347,8 +364,8 @@ def q_distinct_steps(spark, sf):
     return finish(distinct_steps(_hist(Emb(spark, sf, partitioned=True))))
 
 
-def _all_steps(e: Emb, net=NET, **kw) -> DataFrame:
-    return E.forward_all_steps(e.x, _hist(e, net=net, **kw), net, STEPS + 1)
+def _all_steps(e: Emb, **kw) -> DataFrame:
+    return E.forward_all_steps(e.x, _hist(e, **kw), e.net, STEPS + 1)
 
 
 def q_forward_all_steps(spark, sf):
@@ -385,7 +402,7 @@ def q_train_and_score(spark, sf):
 def q_mean_abs_error(spark, sf):
     e = Emb(spark, sf, partitioned=True)
     hist = _hist(e)
-    scores = E.forward_all_steps(e.x, hist, NET, STEPS + 1)
+    scores = E.forward_all_steps(e.x, hist, e.net, STEPS + 1)
     return finish(E.mean_abs_error(scores, e.y))
 
 
@@ -443,89 +460,174 @@ def q_array_forward(spark, sf):
 
 
 def q_matrix_avg(spark, sf):
-    """Cell-wise mean over all examples of x ⊗ y: posexplode the flattened
-    outer product and average per cell (partial averages per partition)."""
+    """Cell-wise mean over all examples of x ⊗ y."""
     e = Emb(spark, sf)
-    o = e.vectors().select(F.flatten(A.outer("x", "y")).alias("m"))
-    cells = o.select(F.posexplode("m").alias("p", "v"))
-    avg = cells.groupBy("p").agg(F.avg("v").alias("v"))
-    return finish(avg.select((F.floor(F.col("p") / C) + 1).cast("long").alias("i"),
-                             (F.col("p") % C + 1).cast("long").alias("j"), "v"))
+    return finish(R.matrix_avg(e.vectors().select(A.outer("x", "y").alias("m")), "m"))
 
 
-def q_predict_correct(spark, sf):
+def q_matrix_avg_by_class(spark, sf):
+    """The same mean per class."""
     e = Emb(spark, sf)
-    w1, w2 = AP.weights_to_numpy(e.w0, NET)
-    return finish(AP.predict_correct(e.vectors(), w1, w2, NET))
+    rows = e.ex.select("label", A.outer("x", A.one_hot("label", e.classes)).alias("m"))
+    return finish(R.matrix_avg(rows, "m", ["label"]))
 
 
-def _array_hist(e: Emb, net=NET, lr=ARRAY_LR, limit=TRAIN_LIMIT) -> DataFrame:
-    return AP.train_array(e.vectors(), e.w0, net, lr, STEPS, limit, "mean")
+def q_vectors_by_value(spark, sf):
+    """Grouping by an array column, and equality of arrays."""
+    e = Emb(spark, sf)
+    rows = e.vectors().join(e.ex.select("i", "label"), "i")
+    return finish(rows.groupBy("y").agg(
+        F.sum(F.get("y", F.lit(0))).alias("first"), F.count("*").alias("count"), F.min("i").alias("least"),
+        F.bool_and(F.col("y") == A.one_hot("label", e.classes)).alias("same")).drop("y"))
 
 
-def _version_models(hist: DataFrame, net: Net) -> dict:
-    models = {}
-    for it in range(STEPS + 1):
-        models[it] = AP.weights_to_numpy(hist.filter(F.col("iter") == it), net)
-    return models
+def q_array_tanh_layer(spark, sf):
+    rows = _array_rows(Emb(spark, sf))
+    return finish(R.vector_to_coo(rows.select("i", A.tanh_vec(A.vec_mat("x", "w_xh")).alias("a")), "a"))
+
+
+def q_array_softmax(spark, sf):
+    rows = _array_rows(Emb(spark, sf))
+    out = rows.select("i", A.let(A.tanh_vec(A.vec_mat("x", "w_xh")),
+                                 lambda a: A.softmax(A.vec_mat(a, F.col("w_ho")))).alias("a"))
+    return finish(R.vector_to_coo(out, "a"))
+
+
+def q_array_mat_mul(spark, sf):
+    """Product of two whole matrices, w_xh · w_ho, mapped cell by cell (× 1)."""
+    e = Emb(spark, sf)
+    both = R.coo_to_array(e.w_xh).select(F.col("m").alias("a"),
+                                         R.coo_to_array(e.w_ho).select("m").scalar().alias("b"))
+    out = both.select(A.mat_map(A.mat_mul("a", "b"), lambda t: t * F.lit(1.0)).alias("m"))
+    return finish(R.matrix_to_coo(out, "m"))
+
+
+def q_array_weight_update(spark, sf):
+    """W - lr * G on nested arrays, G from the relational gradient."""
+    e = Emb(spark, sf)
+    packed = R.coo_to_array(_train_gradient(e), ["id"]).withColumnRenamed("m", "g")
+    both = R.coo_to_array(e.w0, ["id"]).join(packed, "id")
+    return finish(R.matrix_to_coo(both.select("id", A.mat_axpy("m", "g", -LR).alias("m")), "m", ["id"]))
+
+
+def q_offset_features(spark, sf):
+    """Scaled features with the recorded offset added."""
+    li = TB.lineitem_examples(spark, sf)
+    return finish(li.select("id", *[(F.col(n) + F.lit(OFFSET)).alias(n) for n, _, _, _ in TB.LINEITEM_FEATURES]))
+
+
+def q_init_weights_seeded(spark, sf):
+    """Seeded start weights of the data's shape: size, range, no repeats."""
+    e = Emb(spark, sf)
+    w = W.init_coo(spark, e.net.n_in, H, seed=SEED)
+    return finish(w.agg(F.count("*").alias("cells"), F.bool_and((F.col("v") >= -1) & (F.col("v") < 1)).alias("in_range"),
+                        (F.countDistinct("v") == F.count("*")).alias("all_distinct")))
+
+
+def q_predict_correct(spark, sf):
+    e = Emb(spark, sf)
+    w1, w2 = AP.weights_to_numpy(e.w0, e.net)
+    return finish(AP.predict_correct(e.vectors(), w1, w2, e.net))
+
+
+def _array_counts(e: Emb) -> DataFrame:
+    hist = AP.train_array(e.vectors(), e.w0, e.net, ARRAY_LR, STEPS, TRAIN_LIMIT, "mean")
+    return AP.score_history(e.vectors(), hist, e.net, STEPS + 1)
 
 
 def q_correct_counts(spark, sf):
-    e = Emb(spark, sf, partitioned=True)
-    hist = _array_hist(e)
-    return finish(AP.score_versions(e.vectors(), _version_models(hist, NET), NET, "id"))
+    return finish(_array_counts(Emb(spark, sf)))
 
 
 def q_best_accuracy_array(spark, sf):
+    return finish(E.best_share(_array_counts(Emb(spark, sf)), "id"))
+
+
+def q_ordered_accuracy(spark, sf):
     e = Emb(spark, sf, partitioned=True)
-    hist = _array_hist(e)
-    counts = AP.score_versions(e.vectors(), _version_models(hist, NET), NET, "id")
-    return finish(E.best_share(counts, "id"))
+    return finish(E.ordered(E.accuracy_per_step(_all_steps(e), e.y)))
+
+
+def q_train_relational_tanh_softmax(spark, sf):
+    e = Emb(spark, sf, partitioned=True)
+    return finish(_hist(e, net=e.net_ts))
 
 
 def q_predict_models(spark, sf):
     e = Emb(spark, sf)
-    xh, ho = _store(spark, sf)
-    return finish(E.predict_models(e.x, xh, ho, D, HIDDEN_SIZES, C))
+    return finish(E.predict_models(e.x, *_store(spark, sf, MODEL_SIZES), e.net.n_in, MODEL_SIZES, e.classes))
+
+
+def q_predict_models_tanh_softmax(spark, sf):
+    e = Emb(spark, sf)
+    return finish(E.predict_models(e.x, *_store(spark, sf, MODEL_SIZES), e.net.n_in, MODEL_SIZES, e.classes,
+                                   "tanh_softmax"))
+
+
+def q_predict_models_correct(spark, sf):
+    """Array inference with several models in one pass, counts per model."""
+    e = Emb(spark, sf)
+    xh, ho = _store(spark, sf, MODEL_SIZES)
+    models = {}
+    for h in MODEL_SIZES:
+        net = Net(e.net.n_in, h, e.classes)
+        w = W.stack(W.select_model(xh, h), W.select_model(ho, h))
+        models[h] = (AP.Blocks(spark, *AP.weights_to_numpy(w, net)), net)
+    return finish(AP.count_correct(e.vectors(), models, "w_id"))
 
 
 def q_train_array(spark, sf):
-    e = Emb(spark, sf, partitioned=True)
-    return finish(AP.train_array(e.vectors(), e.w0, NET, MEAN_LR, STEPS, TRAIN_LIMIT, "mean"))
+    e = Emb(spark, sf)
+    return finish(AP.train_array(e.vectors(), e.w0, e.net, MEAN_LR, STEPS, TRAIN_LIMIT, "mean"))
 
 
 def q_train_array_tanh_softmax(spark, sf):
-    e = Emb(spark, sf, partitioned=True)
-    return finish(AP.train_array(e.vectors(), e.w0, NET_TS, ARRAY_LR, STEPS, TRAIN_LIMIT, "mean"))
+    e = Emb(spark, sf)
+    return finish(AP.train_array(e.vectors(), e.w0, e.net_ts, ARRAY_LR, STEPS, TRAIN_LIMIT, "mean"))
+
+
+def _iris_start(spark) -> DataFrame:
+    return W.stack(W.init_coo(spark, IRIS_D, IRIS_H, W_XH_COEF),
+                   W.init_coo(spark, IRIS_H, IRIS_C, W_HO_COEF)).drop("iter")
 
 
 def _iris(spark, sf):
     li = TB.lineitem_examples(spark, sf)
-    x = R.partition_examples(R.to_coo(li, "id", [n for n, _, _, _ in TB.LINEITEM_FEATURES])).persist()
-    y = R.partition_examples(R.one_hot_coo(li, "species", IRIS_NET.n_out, id_col="id")).persist()
-    w0 = W.stack(W.init_coo(spark, IRIS_D, IRIS_H, W_XH_COEF),
-                 W.init_coo(spark, IRIS_H, IRIS_C, W_HO_COEF)).drop("iter")
-    return li, x, y, w0
+    with loop_settings(spark):
+        x = R.partition_examples(R.to_coo(li, "id", [n for n, _, _, _ in TB.LINEITEM_FEATURES])).persist()
+        y = R.partition_examples(R.one_hot_coo(li, "species", IRIS_NET.n_out, id_col="id")).persist()
+    return x, y, _iris_start(spark)
 
 
 def q_train_relational_lineitem(spark, sf):
-    _, x, y, w0 = _iris(spark, sf)
-    return finish(train_relational(x, y, w0, IRIS_NET, LR, STEPS))
+    x, y, w0 = _iris(spark, sf)
+    hist = train_relational(x, y, w0, IRIS_NET, LR, STEPS)
+    x.unpersist()
+    y.unpersist()
+    return finish(hist)
 
 
 def q_train_and_score_lineitem(spark, sf):
-    _, x, y, w0 = _iris(spark, sf)
+    x, y, w0 = _iris(spark, sf)
     hist = train_relational(x, y, w0, IRIS_NET, LR, STEPS)
     scores = E.forward_all_steps(x, hist, IRIS_NET, STEPS + 1)
     return finish(E.accuracy_per_step(scores, y))
 
 
-def q_train_array_lineitem(spark, sf):
-    li, _, _, w0 = _iris(spark, sf)
-    rows = li.select(F.col("id").alias("i"),
+def _iris_rows(spark, sf) -> DataFrame:
+    li = TB.lineitem_examples(spark, sf)
+    return li.select(F.col("id").alias("i"),
                      F.array(*[F.col(n) for n, _, _, _ in TB.LINEITEM_FEATURES]).alias("x"),
                      A.one_hot("species", IRIS_C).alias("y"))
-    return finish(AP.train_array(rows, w0, IRIS_NET, MEAN_LR, STEPS, None, "mean"))
+
+
+def q_train_array_lineitem(spark, sf):
+    return finish(AP.train_array(_iris_rows(spark, sf), _iris_start(spark), IRIS_NET, MEAN_LR, STEPS, None, "mean"))
+
+
+def q_train_array_lineitem_long(spark, sf):
+    """As many steps as the shortest recorded Iris run."""
+    return finish(AP.train_array(_iris_rows(spark, sf), _iris_start(spark), IRIS_NET, MEAN_LR, LONG_STEPS, None, "mean"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

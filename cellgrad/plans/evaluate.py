@@ -6,50 +6,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrad.operators.coo import contract_join
 from cellgrad.operators.weights import HO, XH
 from cellgrad.plans.relational import Net, forward
-from cellgrad.session import broadcast_chunks
 
 
 def _keyed_layer(a: DataFrame, w: DataFrame, key: str, act, bound: int) -> DataFrame:
     """act(A·W) for many weight versions at once: join ``a.j = w.i`` (and the
-    version key, when ``a`` already carries one), group by (key, i, j).
-
-    The version store is broadcast; if its bound exceeds the cap it is cut by
-    version (``key % k``) and each piece broadcast separately — pieces give
-    disjoint output groups, so their union is exact."""
+    version key, when ``a`` already carries one), group by (key, i, j)."""
     right = w.select(key, F.col("i").alias("_k"), F.col("j").alias("_rj"), F.col("v").alias("_bv"))
-    s = F.sum(F.col("_av") * F.col("_bv"))
-    if key in a.columns:
-        left = a.select(key, F.col("i").alias("_ri"), F.col("j").alias("_k"), F.col("v").alias("_av"))
-        on = [key, "_k"]
-    else:
-        left = a.select(F.col("i").alias("_ri"), F.col("j").alias("_k"), F.col("v").alias("_av"))
-        on = "_k"
-
-    def product(lf: DataFrame, rt: DataFrame) -> DataFrame:
-        return (lf.join(F.broadcast(rt), on)
-                .groupBy(key, F.col("_ri").alias("i"), F.col("_rj").alias("j")).agg(act(s).alias("v")))
-
-    pieces = broadcast_chunks(a.sparkSession, bound)
-    if pieces == 1:
-        return product(left, right)
-    out = None
-    for r in range(pieces):
-        rt = right.filter(F.col(key) % F.lit(pieces) == F.lit(r))
-        lf = left.filter(F.col(key) % F.lit(pieces) == F.lit(r)) if key in a.columns else left
-        piece = product(lf, rt)
-        out = piece if out is None else out.unionByName(piece)
-    return out
+    own = [key] if key in a.columns else []
+    left = a.select(*own, F.col("i").alias("_ri"), F.col("j").alias("_k"), F.col("v").alias("_av"))
+    return (contract_join(left, right, [*own, "_k"], bound, "_ri")
+            .groupBy(key, F.col("_ri").alias("i"), F.col("_rj").alias("j"))
+            .agg(act(F.sum(F.col("_av") * F.col("_bv"))).alias("v")))
 
 
 def forward_keyed(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net, key: str,
-                  n_versions: int) -> DataFrame:
-    """Output scores ``(key, i, j, v)`` for every model version in the store.
-    The stores hold at most ``n_versions`` versions of bounded shape, so they
-    are broadcast; the example cells stream through without a shuffle."""
-    a_xh = _keyed_layer(x, w_xh, key, net.hidden_act, n_versions * net.xh_cells)
-    s = _keyed_layer(a_xh, w_ho, key, net.out_act, n_versions * net.ho_cells)
+                  xh_bound: int, ho_bound: int) -> DataFrame:
+    """Output scores ``(key, i, j, v)`` for every model of the stores, which
+    hold at most ``xh_bound`` and ``ho_bound`` cells.  Within the broadcast
+    cap the example cells stream through without a shuffle."""
+    hidden = _keyed_layer(x, w_xh, key, net.hidden_act, xh_bound)
+    s = _keyed_layer(hidden, w_ho, key, net.out_act, ho_bound)
     if net.preset == "tanh_softmax":
         w = Window.partitionBy(key, "i")
         e = s.withColumn("_e", F.exp(F.col("v") - F.max("v").over(w)))
@@ -57,17 +36,11 @@ def forward_keyed(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net, key:
     return s
 
 
-def forward_all_steps(x: DataFrame, history: DataFrame, net: Net, n_versions: int,
-                      stride: int = 1) -> DataFrame:
-    """Scores ``(iter, i, j, v)`` of every example under every weight version
-    (or every ``stride``-th version: scoring multiplies the examples by the
-    number of versions scored, which matters for runs of many steps)."""
-    if stride > 1:
-        history = history.filter(F.col("iter") % F.lit(stride) == 0)
-        n_versions = (n_versions + stride - 1) // stride
+def forward_all_steps(x: DataFrame, history: DataFrame, net: Net, n_versions: int) -> DataFrame:
+    """Scores ``(iter, i, j, v)`` of every example under every weight version."""
     w_xh = history.filter(F.col("id") == XH).select("iter", "i", "j", "v")
     w_ho = history.filter(F.col("id") == HO).select("iter", "i", "j", "v")
-    return forward_keyed(x, w_xh, w_ho, net, "iter", n_versions)
+    return forward_keyed(x, w_xh, w_ho, net, "iter", n_versions * net.xh_cells, n_versions * net.ho_cells)
 
 
 def predict_scores(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net) -> DataFrame:
@@ -79,12 +52,9 @@ def predict_models(x: DataFrame, w_xh_store: DataFrame, w_ho_store: DataFrame, n
                    hidden_sizes, n_out: int, preset: str = "sigmoid") -> DataFrame:
     """Scores ``(w_id, i, j, v)`` for every model in a multi-size store, in
     one query (one pass over the examples instead of one per model)."""
-    widest = Net(n_in, max(hidden_sizes), n_out, preset)
-    n = len(hidden_sizes)
-    xh_bound = n * widest.xh_cells
-    ho_bound = n * widest.ho_cells
-    a_xh = _keyed_layer(x, w_xh_store, "w_id", widest.hidden_act, xh_bound)
-    return _keyed_layer(a_xh, w_ho_store, "w_id", widest.out_act, ho_bound)
+    units = sum(hidden_sizes)
+    net = Net(n_in, max(hidden_sizes), n_out, preset)
+    return forward_keyed(x, w_xh_store, w_ho_store, net, "w_id", units * n_in, units * n_out)
 
 
 def rank_scores(scores: DataFrame, by=("i",), value: str = "v") -> DataFrame:
@@ -120,24 +90,9 @@ def mean_abs_error(scores: DataFrame, y: DataFrame, key: str = "iter") -> DataFr
             .agg(F.avg(F.abs(F.lit(2.0) * (F.col("v") - F.col("_y")))).alias("error")))
 
 
-def argmax_cells(scores: DataFrame, by=("i",)) -> DataFrame:
-    """Class with the highest value per row; the lowest j on ties."""
-    w = Window.partitionBy(*by).orderBy(F.col("v").desc(), F.col("j").asc())
-    return (scores.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1)
-            .select(*by, "j"))
-
-
-def correct_flags(scores: DataFrame, y: DataFrame, key: str | None = None) -> DataFrame:
-    """``correct`` per example (and version): argmax(scores) = argmax(label)."""
-    by = (key, "i") if key else ("i",)
-    pred = argmax_cells(scores, by).withColumnRenamed("j", "_pj")
-    lab = argmax_cells(y.select("i", "j", F.col("v").cast("double").alias("v")), ("i",)) \
-        .withColumnRenamed("j", "_tj")
-    return pred.join(lab, "i").select(*by, (F.col("_pj") == F.col("_tj")).alias("correct"))
-
-
-def correct_counts(flags: DataFrame, key: str = "id") -> DataFrame:
-    return flags.groupBy(key, "correct").agg(F.count(F.lit(1)).alias("count"))
+def ordered(per_step: DataFrame, key: str = "iter") -> DataFrame:
+    """A per-version result in version order, with each row's place."""
+    return per_step.withColumn("place", F.row_number().over(Window.orderBy(key)).cast("long")).orderBy(key)
 
 
 def best_share(counts: DataFrame, key: str = "id") -> DataFrame:

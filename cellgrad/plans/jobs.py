@@ -21,14 +21,15 @@ from cellgrad.operators import weights as W
 from cellgrad.plans import arrays as AP
 from cellgrad.plans import evaluate as E
 from cellgrad.plans.relational import Net, train_relational
-from cellgrad.session import cache_now
+from cellgrad.session import loop_settings
 from cellgrad.sources.files import log_result
 
 
 def prepare(features: DataFrame, feature_cols: Sequence[str], label_col: str, n_classes: int,
             id_col: str | None = None, order_cols: Sequence[str] | None = None,
             div: float = 1.0, add: float = 0.0, copies: int = 1):
-    """Wide feature table → (cells x, one-hot cells y, array rows).
+    """Wide feature table → (cells x, one-hot cells y, array rows).  The cells
+    are persisted; ``release`` them when the runs are done.
 
     ``copies`` > 1 replicates the rows (the scaled load); ids come from
     ``id_col`` or, if absent, from dense row numbers over ``order_cols``
@@ -41,13 +42,20 @@ def prepare(features: DataFrame, feature_cols: Sequence[str], label_col: str, n_
     if id_col is None:
         df = R.assign_ids(df, order, "id")
         id_col = "id"
-    x = R.partition_examples(R.to_coo(df, id_col, feature_cols, div, add)).persist()
-    y = R.partition_examples(R.one_hot_coo(df, label_col, n_classes, id_col=id_col)).persist()
+    x = R.partition_examples(R.to_coo(df, id_col, feature_cols, div, add))
+    y = R.partition_examples(R.one_hot_coo(df, label_col, n_classes, id_col=id_col))
+    with loop_settings(df.sparkSession):
+        x, y = x.persist(), y.persist()
     rows = df.select(F.col(id_col).cast("long").alias("i"), A.pack(feature_cols, div, add).alias("x"),
                      A.one_hot(label_col, n_classes).alias("y"))
     return x, y, rows
 
 
+def release(*cells: DataFrame) -> None:
+    for df in cells:
+        df.unpersist()
+
+
 def initial_weights(spark, net: Net, seed: int | None = None) -> DataFrame:
     xh = W.init_coo(spark, net.n_in, net.n_hidden, W_XH_COEF, seed)
     ho = W.init_coo(spark, net.n_hidden, net.n_out, W_HO_COEF, None if seed is None else seed + 1)
@@ -62,23 +70,14 @@ def train_and_score(x: DataFrame, y: DataFrame, rows: DataFrame, net: Net, lr: f
     all rows.  Returns the best precision, the history and the run time."""
     spark = x.sparkSession
     w0 = w0 if w0 is not None else initial_weights(spark, net, seed)
-    if encoding == "array" and not AP.fits_broadcast(spark, net):
-        # The array trainer ships the whole model to every task; past the
-        # cap the cell encoding, which splits wide weights, does the work.
-        encoding, reduction = "relational", reduction or "mean"
     start = time.perf_counter()
     if encoding == "relational":
-        for df in (x, y):
-            cache_now(df)
         hist = train_relational(x, y, w0, net, lr, steps, limit, reduction or "sum")
         acc = E.accuracy_per_step(E.forward_all_steps(x, hist, net, steps + 1), y)
         best = E.best_accuracy(acc).first()["precision"]
     elif encoding == "array":
         hist = AP.train_array(rows, w0, net, lr, steps, limit, reduction or "mean")
-        models = {it: AP.weights_to_numpy(hist.filter(F.col("iter") == it), net)
-                  for it in range(steps + 1)}
-        counts = AP.score_versions(rows, models, net, "id")
-        best = E.best_share(counts, "id").first()["precision"]
+        best = E.best_share(AP.score_history(rows, hist, net, steps + 1), "id").first()["precision"]
     else:
         raise ValueError("encoding must be 'relational' or 'array'")
     return {"precision": best, "history": hist, "seconds": time.perf_counter() - start}

@@ -1,18 +1,20 @@
-"""DuckDB SQL for the correctness oracle: the same maths written as plain SQL
-over the driver's tables (views ``embeddings``, ``lineitem``, ...).
-
-The builders return CTE bodies; ``sql()`` assembles ``WITH ... SELECT``.
-Every CTE that is read more than once is ``MATERIALIZED`` so DuckDB computes
-it once.  Multi-step training is unrolled: one set of CTEs per step.
+"""DuckDB SQL for the correctness oracle, written from the network's maths.
+
+An example is one row with its features ``x``, its target ``y`` and its class
+``cls``; a net is one row with the weight columns of both matrices as lists of
+lists (``u1``: one list per hidden unit, ``u2``: one per output).  Layers are
+dot products of lists, deltas are list transforms, and a gradient cell is the
+sum over examples of one product.  Nothing here joins cell tables, so the
+oracle does not share the formulation it checks.
 """
 
 from __future__ import annotations
 
 from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF, WEIGHT_MODULUS, WEIGHT_SCALE
-from cellgrad.sources.tables import LINEITEM_FEATURES, LINEITEM_KEY, RETURNFLAG_CLASS
+from cellgrad.sources.tables import LINEITEM_FEATURES, LINEITEM_KEY, LINEITEM_TIES, RETURNFLAG_CLASS
 
 
-def lit(x: float) -> str:
+def real(x: float) -> str:
     """A DOUBLE literal that parses to exactly the Python float."""
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
@@ -21,176 +23,143 @@ def r6(expr: str) -> str:
     return f"round({expr}, 6) + 0.0"
 
 
-def sql(ctes: list[tuple[str, str]], select: str) -> str:
-    parts = [f"{name} AS MATERIALIZED (\n{body}\n)" for name, body in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + select if parts else select
+def big(expr: str, name: str) -> str:
+    return f"CAST({expr} AS BIGINT) AS {name}"
 
 
-def sig(e: str) -> str:
-    return f"(1.0 / (1.0 + exp(-({e}))))"
+def query(parts: list[tuple[str, str]], select: str) -> str:
+    body = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in parts)
+    return f"WITH {body}\n{select}" if parts else select
 
 
-def act_hidden(e: str, preset: str) -> str:
-    return f"tanh({e})" if preset == "tanh_softmax" else sig(e)
+def each(values: str, var: str, expr: str) -> str:
+    return f"list_transform({values}, lambda {var}: {expr})"
 
 
-def deriv(a: str, preset: str) -> str:
-    return f"(1.0 - {a} * {a})" if preset == "tanh_softmax" else f"({a} * (1.0 - {a}))"
+def logistic(e: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({e}))))"
 
 
-# --------------------------------------------------------------- fixtures
-def x_embeddings() -> str:
-    return ("SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ("
-            "SELECT vec_id + 1 AS i, unnest(range(1, len(embedding) + 1)) AS j, "
-            "unnest(embedding) AS v FROM embeddings)")
+# ------------------------------------------------------------- examples
+EMBEDDINGS = [
+    ("shape", "SELECT max(len(embedding)) AS d, max(label) + 1 AS c FROM embeddings"),
+    ("ex", "SELECT vec_id + 1 AS i, " + each("embedding", "t", "CAST(t AS DOUBLE)") + " AS x, "
+           + each("range(c)", "k", "CAST(k = label AS INT)::DOUBLE") + " AS y, label + 1 AS cls "
+           "FROM embeddings, shape"),
+]
+
+_CLASS = "CASE l_returnflag " + " ".join(f"WHEN '{f}' THEN {k}" for f, k in RETURNFLAG_CLASS.items()) + " END"
+LINEITEM_ORDER = ", ".join([*LINEITEM_KEY, *LINEITEM_TIES])
+LINEITEM_WIDE = (
+    f"SELECT row_number() OVER (ORDER BY {LINEITEM_ORDER}) AS id, "
+    + ", ".join(f"CAST({src} AS DOUBLE) / {div} * {mul} AS {name}" for name, src, div, mul in LINEITEM_FEATURES)
+    + f", {_CLASS} AS species FROM lineitem")
+_NAMES = ", ".join(name for name, _, _, _ in LINEITEM_FEATURES)
+
+
+def lineitem(classes: int) -> list[tuple[str, str]]:
+    return [
+        ("shape", f"SELECT {len(LINEITEM_FEATURES)} AS d, {classes} AS c"),
+        ("wide", LINEITEM_WIDE),
+        ("ex", f"SELECT id AS i, [{_NAMES}] AS x, " + each("range(c)", "k", "CAST(k = species AS INT)::DOUBLE")
+               + " AS y, species + 1 AS cls FROM wide, shape"),
+    ]
 
 
-def classes(n: int) -> str:
-    return f"(SELECT unnest(range(1, {n + 1})) AS j)"
+def cells(table: str, values: str, keys: str = "i", value: str = r6("v")) -> str:
+    """One row per list element."""
+    return (f"SELECT {', '.join(big(k.strip(), k.strip()) for k in keys.split(','))}, {big('j', 'j')}, {value} AS v "
+            f"FROM (SELECT {keys}, generate_subscripts({values}, 1) AS j, unnest({values}) AS v FROM {table})")
 
 
-def y_embeddings(n_classes: int = 10) -> str:
-    return ("SELECT CAST(e.vec_id + 1 AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, "
-            "CAST(CASE WHEN g.j = e.label + 1 THEN 1 ELSE 0 END AS BIGINT) AS v, "
-            "CAST(CASE WHEN g.j = e.label + 1 THEN 1 END AS BIGINT) AS dummy "
-            f"FROM embeddings e, {classes(n_classes)} g")
+# ------------------------------------------------------------------ nets
+def rule(r: str, k: str, coef) -> str:
+    a, b = coef
+    return f"(({r} * {a} + {k} * {b}) % {WEIGHT_MODULUS})::DOUBLE / {WEIGHT_SCALE} - 1.0"
 
 
-def formula(rows: int | str, cols: int | str, coef, extra: str = "") -> str:
-    a, b = coef
-    return (f"SELECT {extra}CAST(r.i AS BIGINT) AS i, CAST(c.j AS BIGINT) AS j, "
-            f"CAST((r.i * {a} + c.j * {b}) % {WEIGHT_MODULUS} AS DOUBLE) / {WEIGHT_SCALE} - 1.0 AS v "
-            f"FROM (SELECT unnest(range(1, {rows} + 1)) AS i) r, "
-            f"(SELECT unnest(range(1, {cols} + 1)) AS j) c")
+def start_net(hidden: str) -> str:
+    """u1 and u2 of the deterministic start weights, for ``shape``."""
+    u1 = each(f"range(1, {hidden} + 1)", "k", each("range(1, d + 1)", "r", rule("r", "k", W_XH_COEF)))
+    u2 = each("range(1, c + 1)", "k", each(f"range(1, {hidden} + 1)", "r", rule("r", "k", W_HO_COEF)))
+    return f"{u1} AS u1, {u2} AS u2"
 
 
-def w_xh(d: int, h: int) -> str:
-    return formula(d, h, W_XH_COEF)
+def hidden_of(preset: str) -> str:
+    dot = "list_dot_product(x, u)"
+    return each("u1", "u", f"tanh({dot})" if preset == "tanh_softmax" else logistic(dot))
 
 
-def w_ho(h: int, c: int) -> str:
-    return formula(h, c, W_HO_COEF)
+def scores_of(preset: str) -> str:
+    """Output values from ``a`` and ``u2``."""
+    dot = "list_dot_product(a, u)"
+    if preset != "tanh_softmax":
+        return each("u2", "u", logistic(dot))
+    raised = each("u2", "u", dot)
+    return f"list_transform([{raised}], lambda z: " + each(
+        "z", "t", "exp(t - list_max(z)) / list_sum(" + each("z", "s", "exp(s - list_max(z))") + ")") + ")[1]"
 
 
-def stacked(d: int, h: int, c: int) -> str:
-    return (f"SELECT 0 AS id, * FROM ({w_xh(d, h)}) UNION ALL "
-            f"SELECT 1 AS id, * FROM ({w_ho(h, c)})")
+def slope(v: str, preset: str) -> str:
+    return f"(1.0 - {v} * {v})" if preset == "tanh_softmax" else f"({v} * (1.0 - {v}))"
 
 
-def lineitem_features() -> str:
-    feats = ", ".join(f"CAST({src} AS DOUBLE) / {div} * {mul} AS {name}"
-                      for name, src, div, mul in LINEITEM_FEATURES)
-    cls = " ".join(f"WHEN '{f}' THEN {k}" for f, k in RETURNFLAG_CLASS.items())
-    key = ", ".join(LINEITEM_KEY)
-    return (f"SELECT CAST(row_number() OVER (ORDER BY {key}) AS BIGINT) AS id, {feats}, "
-            f"CAST(CASE l_returnflag {cls} END AS BIGINT) AS species FROM lineitem")
+def passed(net: str, preset: str = "sigmoid", extra: str = "") -> str:
+    """Each example with its hidden values ``a`` and output values ``o``."""
+    return (f"SELECT *, {scores_of(preset)} AS o FROM (SELECT {extra}i, x, y, cls, u1, u2, {hidden_of(preset)} AS a "
+            f"FROM ex, {net})")
 
 
-def lineitem_cells(src: str = "li") -> str:
-    n = len(LINEITEM_FEATURES)
-    cols = ", ".join(name for name, _, _, _ in LINEITEM_FEATURES)
-    return (f"SELECT CAST(id AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ("
-            f"SELECT id, unnest(range(1, {n + 1})) AS j, unnest([{cols}]) AS v FROM {src})")
+def errors(source: str, preset: str = "sigmoid") -> str:
+    """Adds the output error ``e`` and the hidden error ``b``."""
+    e = each("range(1, len(o) + 1)", "k", f"2.0 * (o[k] - y[k]) * {slope('o[k]', preset)}")
+    b = each("range(1, len(a) + 1)", "k",
+             f"{slope('a[k]', preset)} * list_sum(" + each("range(1, len(e) + 1)", "q", "e[q] * u2[q][k]") + ")")
+    return f"SELECT *, {b} AS b FROM (SELECT *, {e} AS e FROM {source})"
 
 
-def lineitem_one_hot(n_classes: int, src: str = "li") -> str:
-    return ("SELECT CAST(e.id AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, "
-            "CAST(CASE WHEN g.j = e.species + 1 THEN 1 ELSE 0 END AS BIGINT) AS v, "
-            "CAST(CASE WHEN g.j = e.species + 1 THEN 1 END AS BIGINT) AS dummy "
-            f"FROM {src} e, {classes(n_classes)} g")
+def summed(source: str) -> str:
+    """(id, i, j, v): both gradients summed over the examples of ``source``."""
+    def one(mid: int, left: str, right: str) -> str:
+        return (f"SELECT {mid} AS id, r AS i, k AS j, sum({left}[r] * {right}[k]) AS v FROM ("
+                f"SELECT {left}, {right}, unnest(range(1, len({left}) + 1)) AS r FROM {source}), "
+                f"(SELECT unnest(range(1, max(len({right})) + 1)) AS k FROM {source}) GROUP BY r, k")
+    return f"{one(0, 'x', 'b')} UNION ALL {one(1, 'a', 'e')}"
 
 
-# ------------------------------------------------------------- algebra
-def layer(a: str, w: str, act: str | None, where: str = "") -> str:
-    s = "sum(m.v * n.v)"
-    v = act.format(s) if act else s
-    return (f"SELECT m.i, n.j, {v} AS v FROM {a} m JOIN {w} n ON m.j = n.i "
-            f"{where} GROUP BY m.i, n.j")
+def flat_net(net: str) -> str:
+    """The weights of a net as (id, i, j, v)."""
+    return " UNION ALL ".join(
+        f"SELECT {mid} AS id, generate_subscripts(col, 1) AS i, j, unnest(col) AS v FROM ("
+        f"SELECT generate_subscripts({u}, 1) AS j, unnest({u}) AS col FROM {net})" for mid, u in ((0, "u1"), (1, "u2")))
 
 
-def softmax(src: str) -> str:
-    return ("SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS v FROM ("
-            f"SELECT i, j, exp(v - max(v) OVER (PARTITION BY i)) AS e FROM {src})")
+def folded_net(weights: str) -> str:
+    """A net from its weights as (id, i, j, v)."""
+    cols = f"SELECT id, j, list(v ORDER BY i) AS col FROM {weights} GROUP BY id, j"
+    return ("SELECT list(col ORDER BY j) FILTER (WHERE id = 0) AS u1, list(col ORDER BY j) FILTER (WHERE id = 1) AS u2 "
+            f"FROM ({cols})")
 
 
-def train_ctes(steps: int, lr: float, preset: str = "sigmoid", limit: int | None = None,
-               mean: bool = False, x: str = "x", y: str = "y", w0: str = "w0",
-               prefix: str = "") -> tuple[list[tuple[str, str]], str]:
-    """Unrolled gradient descent.  Returns (ctes, name of the history CTE)."""
-    ctes: list[tuple[str, str]] = []
-    where = f"WHERE m.i < {limit}" if limit is not None else ""
-    hidden = "tanh({})" if preset == "tanh_softmax" else sig("{}")
-    if mean:
-        xw = f"WHERE i < {limit}" if limit is not None else ""
-        ctes.append((f"{prefix}ntrain", f"SELECT CAST(count(DISTINCT i) AS DOUBLE) AS n FROM {x} {xw}"))
-        factor = f"({lit(lr)} / (SELECT n FROM {prefix}ntrain))"
-    else:
-        factor = lit(lr)
-    prev = w0
+def descent(steps: int, lr: float, hidden: int, preset: str = "sigmoid", mean: bool = False) -> list[tuple[str, str]]:
+    """Parts up to ``versions`` (iter, id, i, j, v) and ``nets`` (iter, u1, u2)."""
+    rate = f"({real(lr)} / (SELECT count(*) FROM ex))" if mean else real(lr)
+    parts = [("net0", f"SELECT {start_net(str(hidden))} FROM shape"), ("flat0", flat_net("net0"))]
     for k in range(1, steps + 1):
-        p = f"{prefix}s{k}_"
-        wx = f"(SELECT i, j, v FROM {prev} WHERE id = 0)"
-        wo = f"(SELECT i, j, v FROM {prev} WHERE id = 1)"
-        ctes.append((p + "a1", layer(x, wx, hidden, where)))
-        if preset == "tanh_softmax":
-            ctes.append((p + "z2", layer(p + "a1", wo, None)))
-            ctes.append((p + "a2", softmax(p + "z2")))
-        else:
-            ctes.append((p + "a2", layer(p + "a1", wo, sig("{}"))))
-        ctes.append((p + "d2", f"SELECT m.i, m.j, 2.0 * (m.v - n.v) * {deriv('m.v', preset)} AS v "
-                              f"FROM {p}a2 m JOIN {y} n ON m.i = n.i AND m.j = n.j"))
-        ctes.append((p + "l1", f"SELECT m.i, n.i AS j, sum(m.v * n.v) AS v FROM {p}d2 m "
-                              f"JOIN {wo} n ON m.j = n.j GROUP BY m.i, n.i"))
-        ctes.append((p + "d1", f"SELECT l.i, l.j, l.v * {deriv('a.v', preset)} AS v FROM {p}l1 l "
-                              f"JOIN {p}a1 a ON l.i = a.i AND l.j = a.j"))
-        ctes.append((p + "g", f"SELECT 0 AS id, m.j AS i, n.j AS j, sum(m.v * n.v) AS v "
-                             f"FROM {x} m JOIN {p}d1 n ON m.i = n.i {where} GROUP BY m.j, n.j "
-                             f"UNION ALL SELECT 1 AS id, m.j AS i, n.j AS j, sum(m.v * n.v) AS v "
-                             f"FROM {p}a1 m JOIN {p}d2 n ON m.i = n.i GROUP BY m.j, n.j"))
-        ctes.append((p + "w", f"SELECT w.id, w.i, w.j, w.v - {factor} * g.v AS v FROM {prev} w "
-                             f"JOIN {p}g g ON w.id = g.id AND w.i = g.i AND w.j = g.j"))
-        prev = p + "w"
-    hist = " UNION ALL ".join(
-        [f"SELECT 0 AS iter, id, i, j, v FROM {w0}"]
-        + [f"SELECT {k} AS iter, id, i, j, v FROM {prefix}s{k}_w" for k in range(1, steps + 1)])
-    ctes.append((f"{prefix}hist", hist))
-    return ctes, f"{prefix}hist"
-
-
-def forward_steps_ctes(hist: str, preset: str = "sigmoid", x: str = "x",
-                       prefix: str = "") -> tuple[list[tuple[str, str]], str]:
-    """Scores (iter, i, j, v) of every example under every version."""
-    hidden = f"tanh(sum(m.v * h.v))" if preset == "tanh_softmax" else sig("sum(m.v * h.v)")
-    out = "sum(m.v * h.v)" if preset == "tanh_softmax" else sig("sum(m.v * h.v)")
-    ctes = [
-        (f"{prefix}f1", f"SELECT h.iter, m.i, h.j, {hidden} AS v FROM {x} m JOIN {hist} h "
-                        f"ON m.j = h.i AND h.id = 0 GROUP BY h.iter, m.i, h.j"),
-        (f"{prefix}f2", f"SELECT m.iter, m.i, h.j, {out} AS v FROM {prefix}f1 m JOIN {hist} h "
-                        f"ON m.j = h.i AND h.id = 1 AND h.iter = m.iter GROUP BY m.iter, m.i, h.j"),
-    ]
-    name = f"{prefix}f2"
-    if preset == "tanh_softmax":
-        ctes.append((f"{prefix}f3", "SELECT iter, i, j, e / sum(e) OVER (PARTITION BY iter, i) AS v FROM ("
-                                    "SELECT iter, i, j, exp(v - max(v) OVER (PARTITION BY iter, i)) AS e "
-                                    f"FROM {prefix}f2)"))
-        name = f"{prefix}f3"
-    return ctes, name
-
-
-def accuracy_ctes(scores: str, y: str = "y", prefix: str = "") -> tuple[list[tuple[str, str]], str]:
-    ctes = [
-        (f"{prefix}pred", "SELECT iter, i, j FROM (SELECT iter, i, j, rank() OVER "
-                          f"(PARTITION BY iter, i ORDER BY v DESC) AS rk FROM {scores}) WHERE rk = 1"),
-        (f"{prefix}test", "SELECT i, j FROM (SELECT i, j, rank() OVER (PARTITION BY i ORDER BY v DESC) "
-                          f"AS rk FROM {y}) WHERE rk = 1"),
-        (f"{prefix}acc", f"SELECT p.iter, CAST(count(*) AS DOUBLE) / (SELECT CAST(count(DISTINCT i) AS DOUBLE) "
-                         f"FROM {y}) AS precision FROM {prefix}pred p JOIN {prefix}test t "
-                         "ON p.i = t.i WHERE p.j = t.j GROUP BY p.iter"),
-    ]
-    return ctes, f"{prefix}acc"
+        parts += [
+            (f"pass{k}", passed(f"net{k - 1}", preset)), (f"err{k}", errors(f"pass{k}", preset)),
+            (f"sum{k}", summed(f"err{k}")),
+            (f"flat{k}", f"SELECT id, i, j, f.v - {rate} * s.v AS v FROM flat{k - 1} f JOIN sum{k} s USING (id, i, j)"),
+            (f"net{k}", folded_net(f"flat{k}"))]
+    parts.append(("versions", " UNION ALL ".join(f"SELECT {k} AS iter, id, i, j, v FROM flat{k}" for k in range(steps + 1))))
+    parts.append(("nets", " UNION ALL ".join(f"SELECT {k} AS iter, u1, u2 FROM net{k}" for k in range(steps + 1))))
+    return parts
+
+
+def scored(preset: str = "sigmoid", key: str = "iter") -> tuple[str, str]:
+    return "scored", passed("nets", preset, f"{key}, ")
 
 
-def argmax_first(src: str, by: str) -> str:
-    """Lowest j among the maximal v per group ``by``."""
-    return (f"SELECT {by}, j FROM (SELECT {by}, j, row_number() OVER (PARTITION BY {by} "
-            f"ORDER BY v DESC, j ASC) AS rn FROM {src}) WHERE rn = 1")
+FIRST_BEST = "list_position(o, list_max(o))"
+HIT_SHARE = ("SELECT iter, CAST(count(*) FILTER (WHERE o[cls] = list_max(o)) AS DOUBLE) / count(*) AS precision "
+             "FROM scored GROUP BY iter HAVING count(*) FILTER (WHERE o[cls] = list_max(o)) > 0")

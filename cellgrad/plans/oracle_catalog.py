@@ -2,221 +2,182 @@
 
 from __future__ import annotations
 
-from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF, WEIGHT_MODULUS, WEIGHT_SCALE
+from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF
 from cellgrad.plans import catalog as K
-from cellgrad.plans.oracle import (
-    accuracy_ctes, argmax_first, classes, forward_steps_ctes, layer, lineitem_cells,
-    lineitem_features, lineitem_one_hot, r6, sig, softmax, sql, stacked, train_ctes, w_ho, w_xh,
-    x_embeddings, y_embeddings)
-from cellgrad.sources.tables import LINEITEM_KEY, RETURNFLAG_CLASS
-
-D, H, C, LIMIT, LR, STEPS = K.D, K.H, K.C, K.LIMIT, K.LR, K.STEPS
-
-BASE = [("x", x_embeddings()), ("y", y_embeddings(C)), ("wxh", w_xh(D, H)), ("who", w_ho(H, C)),
-        ("w0", stacked(D, H, C))]
-YD = "(SELECT i, j, CAST(v AS DOUBLE) AS v FROM y)"
-SIG = sig("{}")
-
-
-def _cells(src: str) -> str:
-    return f"SELECT i, j, {r6('v')} AS v FROM {src}"
-
-
-def _fwd():
-    return BASE + [("a1", layer("x", "wxh", SIG)), ("a2", layer("a1", "who", SIG))]
-
-
-def _deltas():
-    return _fwd() + [
-        ("d2", "SELECT m.i, m.j, 2.0 * (m.v - n.v) * (m.v * (1.0 - m.v)) AS v FROM a2 m "
-               "JOIN y n ON m.i = n.i AND m.j = n.j"),
-        ("l1", "SELECT m.i, n.i AS j, sum(m.v * n.v) AS v FROM d2 m JOIN who n ON m.j = n.j "
-               "GROUP BY m.i, n.i"),
-        ("d1", "SELECT l.i, l.j, l.v * (a.v * (1.0 - a.v)) AS v FROM l1 l JOIN a1 a "
-               "ON l.i = a.i AND l.j = a.j"),
-    ]
-
-
-def _dims_store(sizes, matrix: int | None = None) -> list[tuple[str, str]]:
-    hs = ", ".join(str(h) for h in sizes)
-
-    def cells(rows, cols, coef, mid):
-        a, b = coef
-        return (f"SELECT w_id, {mid} AS id, i, unnest(range(1, {cols} + 1)) AS j FROM ("
-                f"SELECT w_id, d, cl, unnest(range(1, {rows} + 1)) AS i FROM dims, "
-                f"(SELECT unnest([{hs}]) AS w_id))"), coef
-
-    ctes = [("dims", "SELECT max(len(embedding)) AS d, max(label) + 1 AS cl FROM embeddings")]
+from cellgrad.plans import oracle as O
+from cellgrad.plans.oracle import big, cells, each, logistic, query, r6
+from cellgrad.sources.tables import LINEITEM_KEY
+
+EMB = O.EMBEDDINGS
+NET0 = EMB + [("net", f"SELECT {O.start_net(str(K.H))} FROM shape")]
+PASS = NET0 + [("p", O.passed("net"))]
+ERR = PASS + [("q", O.errors("p"))]
+GRAD = ERR + [("g", O.summed("q"))]
+IDS = f"{big('id', 'id')}, {big('i', 'i')}, {big('j', 'j')}"
+VERSIONS = f"SELECT {big('iter', 'iter')}, {IDS}, {r6('v')} AS v FROM versions"
+PRODUCT = ("SELECT r AS i, k AS j, sum(x[r] * y[k]) AS v, avg(x[r] * y[k]) AS m FROM ("
+           "SELECT x, y, cls, unnest(range(1, len(x) + 1)) AS r FROM ex), "
+           "(SELECT unnest(range(1, c + 1)) AS k FROM shape) GROUP BY r, k")
+
+
+def _flags(table: str, n: str) -> str:
+    """One-hot cells with the marker column."""
+    return (f"SELECT {big('i', 'i')}, {big('j', 'j')}, {big('CAST(j = cls AS INT)', 'v')}, "
+            f"{big('CASE WHEN j = cls THEN 1 END', 'dummy')} FROM "
+            f"(SELECT i, cls, unnest(range(1, {n} + 1)) AS j FROM {table})")
+
+
+def _store(sizes, matrices=(0, 1)) -> list[tuple[str, str]]:
+    """Start weights of several hidden sizes as (w_id, id, i, j, v)."""
+    shape = {0: ("d", "w_id", W_XH_COEF), 1: ("w_id", "c", W_HO_COEF)}
     parts = []
-    if matrix in (None, 0):
-        parts.append(cells("d", "w_id", W_XH_COEF, 0))
-    if matrix in (None, 1):
-        parts.append(cells("w_id", "cl", W_HO_COEF, 1))
-    sel = []
-    for body, (a, b) in parts:
-        sel.append(f"SELECT CAST(w_id AS BIGINT) AS w_id, CAST(id AS BIGINT) AS id, CAST(i AS BIGINT) AS i, "
-                   f"CAST(j AS BIGINT) AS j, CAST((i * {a} + j * {b}) % {WEIGHT_MODULUS} AS DOUBLE) "
-                   f"/ {WEIGHT_SCALE} - 1.0 AS v FROM ({body})")
-    ctes.append(("store", " UNION ALL ".join(sel)))
-    return ctes
+    for m in matrices:
+        rows, cols, coef = shape[m]
+        grid = (f"SELECT w_id, d, c, unnest(range(1, {rows} + 1)) AS i FROM shape, "
+                f"(SELECT unnest([{', '.join(map(str, sizes))}]) AS w_id)")
+        parts.append(f"SELECT w_id, {m} AS id, i, j, {O.rule('i', 'j', coef)} AS v FROM ("
+                     f"SELECT w_id, i, unnest(range(1, {cols} + 1)) AS j FROM ({grid}))")
+    return EMB[:1] + [("store", " UNION ALL ".join(parts))]
 
 
-def _emb_train(prefix="", **kw):
-    ctes, hist = train_ctes(STEPS, kw.pop("lr", LR), limit=K.TRAIN_LIMIT, prefix=prefix, **kw)
-    return BASE + ctes, hist
+def _store_cells(keys: str = "w_id, ") -> str:
+    lead = f"{big('w_id', 'w_id')}, " if keys else ""
+    return f"SELECT {lead}{big('i', 'i')}, {big('j', 'j')}, {r6('v')} AS v FROM store"
 
 
-def _iris_base():
-    return [("li", lineitem_features()), ("x", lineitem_cells("li")),
-            ("y", lineitem_one_hot(K.IRIS_C, "li")),
-            ("w0", stacked(K.IRIS_D, K.IRIS_H, K.IRIS_C))]
+def _models(preset: str = "sigmoid") -> list[tuple[str, str]]:
+    """Every example under the nets of all hidden sizes."""
+    nets = " UNION ALL ".join(f"SELECT {h} AS w_id, {O.start_net(str(h))} FROM shape" for h in K.MODEL_SIZES)
+    return EMB + [("nets", nets), O.scored(preset, "w_id")]
 
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    cls = " ".join(f"WHEN '{f}' THEN {k}" for f, k in RETURNFLAG_CLASS.items())
     key = ", ".join(LINEITEM_KEY)
-    li_key_cols = ("l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, "
-                   f"{r6('CAST(l_extendedprice AS DOUBLE)')} AS l_extendedprice")
-
-    q["scan_features"] = (
-        f"SELECT {li_key_cols}, {r6('CAST(l_quantity AS DOUBLE)')} AS l_quantity, "
-        f"{r6('CAST(l_discount AS DOUBLE)')} AS l_discount, {r6('CAST(l_tax AS DOUBLE)')} AS l_tax, "
-        f"CAST(CASE l_returnflag {cls} END AS BIGINT) AS species FROM lineitem")
-    q["replicate_rows"] = (
-        'SELECT CAST(c."copy" AS BIGINT) AS "copy", CAST(count(*) AS BIGINT) AS n_rows, '
-        f"{r6('sum(CAST(l_quantity AS DOUBLE))')} AS sum_quantity FROM lineitem, "
-        f'(SELECT unnest(range(1, {K.REPLICAS + 1})) AS "copy") c GROUP BY c."copy"')
-    q["scale_features"] = sql([("li", lineitem_features())],
-                              "SELECT id, " + ", ".join(f"{r6(n)} AS {n}" for n in ("x1", "x2", "x3", "x4"))
-                              + " FROM li")
-    q["assign_ids"] = (f"SELECT CAST(row_number() OVER (ORDER BY {key}) AS BIGINT) AS id, "
-                       f"{li_key_cols} FROM lineitem")
-    q["limit_examples"] = sql(BASE[:1], _cells("x") + " WHERE i IN (SELECT vec_id + 1 FROM embeddings "
-                                                      f"ORDER BY vec_id LIMIT {LIMIT - 1})")
-    q["row_limit_filter"] = sql(BASE[:1], _cells("x") + f" WHERE i < {LIMIT}")
-    q["wide_to_coo"] = sql([("li", lineitem_features()), ("x", lineitem_cells("li"))], _cells("x"))
-    q["pack_features"] = q["wide_to_coo"]
-    q["one_hot_coo"] = sql(BASE[1:2], "SELECT i, j, v, dummy FROM y")
-    q["one_hot_coo_lineitem"] = sql([("li", lineitem_features()),
-                                     ("y", lineitem_one_hot(K.IRIS_ONE_HOT_CLASSES, "li"))],
-                                    "SELECT i, j, v, dummy FROM y")
+    key_cols = ("l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey, "
+                f"{r6('CAST(l_extendedprice AS DOUBLE)')} AS l_extendedprice")
+    number = lambda c: f"{r6(f'CAST({c} AS DOUBLE)')} AS {c}"
+    q["scan_features"] = (f"SELECT {key_cols}, {number('l_quantity')}, {number('l_discount')}, {number('l_tax')}, "
+                          f"{big(O._CLASS, 'species')} FROM lineitem")
+    q["replicate_rows"] = (f'SELECT CAST(n AS BIGINT) AS "copy", '
+                           f"{big('count(*)', 'n_rows')}, {r6('sum(CAST(l_quantity AS DOUBLE))')} AS sum_quantity "
+                           f"FROM lineitem, range(1, {K.REPLICAS + 1}) t(n) GROUP BY n")
+    wide = [("wide", O.LINEITEM_WIDE)]
+    q["scale_features"] = query(wide, "SELECT " + big("id", "id") + ", "
+                                + ", ".join(f"{r6(n)} AS {n}" for n in ("x1", "x2", "x3", "x4")) + " FROM wide")
+    q["offset_features"] = query(wide, "SELECT " + big("id", "id") + ", " + ", ".join(
+        f"{r6(f'{n} + {O.real(K.OFFSET)}')} AS {n}" for n in ("x1", "x2", "x3", "x4")) + " FROM wide")
+    q["assign_ids"] = (f"SELECT {big(f'row_number() OVER (ORDER BY {key})', 'id')}, {key_cols} FROM lineitem")
+    first = f"WHERE i <= {K.LIMIT - 1}"
+    q["limit_examples"] = query(EMB + [("few", f"SELECT * FROM ex ORDER BY i LIMIT {K.LIMIT - 1}")], cells("few", "x"))
+    q["row_limit_filter"] = query(EMB + [("few", f"SELECT * FROM ex {first}")], cells("few", "x"))
+    li = O.lineitem(K.IRIS_C)
+    q["wide_to_coo"] = q["pack_features"] = query(li, cells("ex", "x"))
+    q["one_hot_coo"] = query(EMB, _flags("ex, shape", "c"))
+    q["one_hot_coo_lineitem"] = query(li, _flags("ex", str(K.IRIS_ONE_HOT_CLASSES)))
     q["one_hot_coo_labels"] = (
-        "SELECT CAST(g.i AS BIGINT) AS i, CAST(g.j AS BIGINT) AS j, "
-        "CAST(coalesce(l.one, 0) AS BIGINT) AS v, CAST(l.one AS BIGINT) AS dummy "
-        "FROM (SELECT doc_id AS i, quality + 1 AS j, 1 AS one FROM labels) l RIGHT OUTER JOIN "
-        f"(SELECT d.doc_id AS i, c.j FROM documents d, {classes(2)} c) g ON g.i = l.i AND g.j = l.j")
-    q["one_hot_array"] = sql(BASE[1:2], f"SELECT i, j, {r6('CAST(v AS DOUBLE)')} AS v FROM y")
-    q["class_count"] = "SELECT CAST(max(label) + 1 AS BIGINT) AS n FROM embeddings"
-    q["series_grid"] = (f"SELECT CAST(e.vec_id + 1 AS BIGINT) AS i, CAST(c.j AS BIGINT) AS j "
-                        f"FROM embeddings e, {classes(C)} c")
-    q["init_weights"] = sql(_dims_store(K.HIDDEN_SIZES),
-                            f"SELECT w_id, id, i, j, {r6('v')} AS v FROM store")
-    q["init_weights_array"] = q["init_weights"]
-    q["literal_weights"] = sql(_dims_store((H,), 0), f"SELECT i, j, {r6('v')} AS v FROM store")
-    q["append_models"] = sql(_dims_store((H, 4, 16), 0), f"SELECT w_id, i, j, {r6('v')} AS v FROM store")
-    q["select_model"] = sql(_dims_store(K.HIDDEN_SIZES, 0),
-                            f"SELECT i, j, {r6('v')} AS v FROM store WHERE w_id = {H}")
-    q["tag_weights"] = sql(_dims_store((H,), 0), f"SELECT CAST(0 AS BIGINT) AS iter, CAST(0 AS BIGINT) AS id, "
-                                                 f"i, j, {r6('v')} AS v FROM store")
-    q["stack_weights"] = sql(_dims_store((H,)), f"SELECT CAST(0 AS BIGINT) AS iter, id, "
-                                                f"i, j, {r6('v')} AS v FROM store")
-    xty = f"SELECT m.j AS i, n.j AS j, sum(m.v * n.v) AS v FROM x m JOIN {YD} n ON m.i = n.i GROUP BY m.j, n.j"
-    q["coo_to_array"] = sql(BASE[:2] + [("g", xty)], _cells("g"))
-    q["matmul_at"] = q["coo_to_array"]
-    q["array_transpose"] = sql(BASE[:2] + [("g", xty)], f"SELECT j AS i, i AS j, {r6('v')} AS v FROM g")
-    q["matmul"] = sql(BASE[:3] + [("s", layer("x", "wxh", None))], _cells("s"))
-    q["array_matmul"] = q["matmul"]
-    q["matmul_bt"] = sql(BASE[:4] + [("s", f"SELECT m.i, n.i AS j, sum(m.v * n.v) AS v FROM {YD} m "
-                                           "JOIN who n ON m.j = n.j GROUP BY m.i, n.i")], _cells("s"))
-    q["hadamard"] = sql(BASE[:1], f"SELECT a.i, a.j, {r6('a.v * b.v')} AS v FROM x a JOIN x b "
-                                  "ON a.i = b.i AND a.j = b.j")
-    q["sigmoid"] = sql(BASE[:1], f"SELECT i, j, {r6(sig('v'))} AS v FROM x")
-    q["sigmoid_layer"] = sql(BASE[:3] + [("a1", layer("x", "wxh", SIG))], _cells("a1"))
-    q["sql_udf_sigmoid"] = q["sigmoid_layer"]
-    q["tanh_layer"] = sql(BASE[:3] + [("a1", layer("x", "wxh", "tanh({})"))], _cells("a1"))
-    q["softmax_layer"] = sql(BASE[:4] + [("a1", layer("x", "wxh", "tanh({})")),
-                                         ("z2", layer("a1", "who", None)), ("a2", softmax("z2"))],
-                             _cells("a2"))
-    q["forward"] = sql(_fwd(), _cells("a2"))
-    q["predict_scores"] = q["forward"]
-    q["array_forward"] = q["forward"]
-    q["loss_gradient"] = sql(_fwd(), f"SELECT m.i, m.j, {r6('2.0 * (m.v - n.v)')} AS v FROM a2 m "
-                                     "JOIN y n ON m.i = n.i AND m.j = n.j")
-    q["delta_output"] = sql(_deltas()[:-2], _cells("d2"))
-    q["array_elementwise"] = q["delta_output"]
-    q["array_outer"] = sql(_deltas()[:-2], f"SELECT a.i, a.j AS r, d.j AS c, {r6('a.v * d.v')} AS v "
-                                            "FROM a1 a JOIN d2 d ON a.i = d.i")
-    q["delta_hidden"] = sql(_deltas(), _cells("d1"))
-
-    one, hist = train_ctes(1, LR, limit=K.TRAIN_LIMIT)
-    g1 = [c for c in one if c[0] in ("s1_a1", "s1_a2", "s1_d2", "s1_l1", "s1_d1", "s1_g", "s1_w")]
-    q["gradient"] = sql(BASE + g1[:-1], f"SELECT CAST(id AS BIGINT) AS id, i, j, {r6('v')} AS v FROM s1_g")
-    q["weight_update"] = sql(BASE + g1, f"SELECT CAST(id AS BIGINT) AS id, i, j, {r6('v')} AS v FROM s1_w")
-
-    tr, hist = _emb_train()
-    hist_sel = f"SELECT CAST(iter AS BIGINT) AS iter, CAST(id AS BIGINT) AS id, i, j, {r6('v')} AS v FROM {hist}"
-    q["train_relational"] = sql(tr, hist_sel)
-    q["cells_per_step"] = sql(tr, f"SELECT CAST(iter AS BIGINT) AS iter, CAST(count(*) AS BIGINT) AS count "
-                                  f"FROM {hist} GROUP BY iter")
-    q["distinct_steps"] = sql(tr, f"SELECT DISTINCT CAST(iter AS BIGINT) AS iter FROM {hist}")
-    fw, scores = forward_steps_ctes(hist)
-    q["forward_all_steps"] = sql(tr + fw, f"SELECT CAST(iter AS BIGINT) AS iter, i, j, {r6('v')} AS v FROM {scores}")
-    q["rank_predictions"] = sql(tr + fw, "SELECT CAST(iter AS BIGINT) AS iter, i, j, CAST(rank() OVER "
-                                         f"(PARTITION BY iter, i ORDER BY v DESC) AS BIGINT) AS rank FROM {scores}")
-    q["rank_labels"] = sql(BASE[1:2], "SELECT i, j, CAST(rank() OVER (PARTITION BY i ORDER BY v DESC) "
-                                      "AS BIGINT) AS rank FROM y")
-    ac, acc = accuracy_ctes(scores)
-    q["accuracy_per_step"] = sql(tr + fw + ac, f"SELECT CAST(iter AS BIGINT) AS iter, {r6('precision')} "
-                                               f"AS precision FROM {acc}")
-    q["best_accuracy"] = sql(tr + fw + ac, f"SELECT {r6('max(precision)')} AS precision FROM {acc}")
-    tr_m, hist_m = _emb_train(lr=K.MEAN_LR, mean=True)
-    fw_m, scores_m = forward_steps_ctes(hist_m)
-    ac_m, acc_m = accuracy_ctes(scores_m)
-    q["train_and_score"] = sql(tr_m + fw_m + ac_m, f"SELECT {r6('max(precision)')} AS precision FROM {acc_m}")
-    fw_t, scores_t = forward_steps_ctes(hist, prefix="t_")
-    q["mean_abs_error"] = sql(tr + fw_t, f"SELECT CAST(s.iter AS BIGINT) AS iter, "
-                                         f"{r6('avg(abs(2.0 * (s.v - y.v)))')} AS error FROM {scores_t} s "
-                                         "JOIN y ON s.i = y.i AND s.j = y.j GROUP BY s.iter")
-    q["array_argmax"] = sql(BASE[:1], argmax_first("x", "i"))
-    q["matrix_avg"] = sql(BASE[:2], f"SELECT m.j AS i, n.j AS j, {r6('avg(m.v * n.v)')} AS v FROM x m "
-                                    f"JOIN {YD} n ON m.i = n.i GROUP BY m.j, n.j")
-    q["predict_correct"] = sql(_fwd() + [("p", argmax_first("a2", "i")), ("t", argmax_first("y", "i"))],
-                               "SELECT p.i, p.j = t.j AS correct FROM p JOIN t ON p.i = t.i")
-    tr_a, hist_a = _emb_train(prefix="a_", lr=K.ARRAY_LR, mean=True)
-    fw_a, scores_a = forward_steps_ctes(hist_a, prefix="a_")
-    counts = (f"SELECT CAST(p.iter AS BIGINT) AS id, p.j = t.j AS correct, CAST(count(*) AS BIGINT) AS count "
-              f"FROM ({argmax_first(scores_a, 'iter, i')}) p JOIN ({argmax_first('y', 'i')}) t "
-              "ON p.i = t.i GROUP BY p.iter, p.j = t.j")
-    q["correct_counts"] = sql(tr_a + fw_a, counts)
-    q["best_accuracy_array"] = sql(
-        tr_a + fw_a + [("cc", counts)],
-        f"SELECT {r6('max(CAST(count AS DOUBLE) / tot)')} AS precision FROM ("
-        "SELECT *, sum(count) OVER (PARTITION BY id) AS tot FROM cc) WHERE correct")
-    store = _dims_store(K.HIDDEN_SIZES)
-    q["predict_models"] = sql(
-        BASE[:1] + store + [
-            ("m1", "SELECT n.w_id, m.i, n.j, " + sig("sum(m.v * n.v)") + " AS v FROM x m JOIN "
-                   "(SELECT * FROM store WHERE id = 0) n ON m.j = n.i GROUP BY n.w_id, m.i, n.j"),
-            ("m2", "SELECT n.w_id, m.i, n.j, " + sig("sum(m.v * n.v)") + " AS v FROM m1 m JOIN "
-                   "(SELECT * FROM store WHERE id = 1) n ON m.j = n.i AND m.w_id = n.w_id "
-                   "GROUP BY n.w_id, m.i, n.j")],
-        f"SELECT w_id, i, j, {r6('v')} AS v FROM m2")
-    tr_ta, hist_ta = _emb_train(lr=K.MEAN_LR, mean=True)
-    q["train_array"] = sql(tr_ta, hist_sel.replace(f"FROM {hist}", f"FROM {hist_ta}"))
-    tr_ts, hist_ts = _emb_train(lr=K.ARRAY_LR, mean=True, preset="tanh_softmax")
-    q["train_array_tanh_softmax"] = sql(tr_ts, hist_sel.replace(f"FROM {hist}", f"FROM {hist_ts}"))
-
-    ib = _iris_base()
-    tr_i, hist_i = train_ctes(STEPS, LR)
-    q["train_relational_lineitem"] = sql(ib + tr_i, hist_sel.replace(f"FROM {hist}", f"FROM {hist_i}"))
-    fw_i, sc_i = forward_steps_ctes(hist_i)
-    ac_i, acc_i = accuracy_ctes(sc_i)
-    q["train_and_score_lineitem"] = sql(ib + tr_i + fw_i + ac_i,
-                                        f"SELECT CAST(iter AS BIGINT) AS iter, {r6('precision')} AS precision "
-                                        f"FROM {acc_i}")
-    tr_ia, hist_ia = train_ctes(STEPS, K.MEAN_LR, mean=True)
-    q["train_array_lineitem"] = sql(ib + tr_ia, hist_sel.replace(f"FROM {hist}", f"FROM {hist_ia}"))
+        f"SELECT {big('d.doc_id', 'i')}, {big('k', 'j')}, {big('count(l.doc_id)', 'v')}, "
+        f"{big('CASE WHEN count(l.doc_id) > 0 THEN 1 END', 'dummy')} FROM documents d CROSS JOIN range(1, 3) t(k) "
+        "LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = k - 1 GROUP BY d.doc_id, k")
+    q["one_hot_array"] = query(EMB, cells("ex", "y"))
+    q["class_count"] = f"SELECT {big('max(label) + 1', 'n')} FROM embeddings"
+    q["series_grid"] = query(EMB, f"SELECT {big('i', 'i')}, {big('unnest(range(1, c + 1))', 'j')} FROM ex, shape")
+    q["init_weights"] = q["init_weights_array"] = query(
+        _store(K.HIDDEN_SIZES), f"SELECT {big('w_id', 'w_id')}, {IDS}, {r6('v')} AS v FROM store")
+    q["literal_weights"] = query(_store((K.H,), (0,)), _store_cells(""))
+    q["append_models"] = query(_store((K.H, 4, 16), (0,)), _store_cells())
+    q["select_model"] = query(_store(K.HIDDEN_SIZES, (0,)), _store_cells("") + f" WHERE w_id = {K.H}")
+    zero = big("0", "iter")
+    q["tag_weights"] = query(_store((K.H,), (0,)), f"SELECT {zero}, {IDS}, {r6('v')} AS v FROM store")
+    q["stack_weights"] = query(_store((K.H,)), f"SELECT {zero}, {IDS}, {r6('v')} AS v FROM store")
+    ij = f"{big('i', 'i')}, {big('j', 'j')}"
+    q["coo_to_array"] = q["matmul_at"] = query(EMB + [("g", PRODUCT)], f"SELECT {ij}, {r6('v')} AS v FROM g")
+    q["array_transpose"] = query(EMB + [("g", PRODUCT)],
+                                 f"SELECT {big('g.j', 'i')}, {big('g.i', 'j')}, {r6('v')} AS v FROM g")
+    q["matrix_avg"] = query(EMB + [("g", PRODUCT)], f"SELECT {ij}, {r6('m')} AS v FROM g")
+    q["matrix_avg_by_class"] = query(
+        EMB + [("g", PRODUCT.replace("GROUP BY r, k", "GROUP BY cls, r, k").replace("SELECT r AS i", "SELECT cls - 1 AS label, r AS i"))],
+        f"SELECT {big('label', 'label')}, {ij}, {r6('m')} AS v FROM g")
+    plain = each("u1", "u", "list_dot_product(x, u)")
+    q["matmul"] = q["array_matmul"] = query(NET0 + [("s", f"SELECT i, {plain} AS s FROM ex, net")], cells("s", "s"))
+    back = each("range(1, len(u2[1]) + 1)", "k", "list_sum(" + each("range(1, len(y) + 1)", "n", "y[n] * u2[n][k]") + ")")
+    q["matmul_bt"] = query(NET0 + [("s", f"SELECT i, {back} AS s FROM ex, net")], cells("s", "s"))
+    q["hadamard"] = query(EMB, cells("ex", each("x", "t", "t * t")))
+    q["sigmoid"] = query(EMB, cells("ex", each("x", "t", logistic("t"))))
+    q["sigmoid_layer"] = q["sql_udf_sigmoid"] = query(PASS, cells("p", "a"))
+    soft = NET0 + [("p", O.passed("net", "tanh_softmax"))]
+    q["tanh_layer"] = q["array_tanh_layer"] = query(soft, cells("p", "a"))
+    q["softmax_layer"] = q["array_softmax"] = query(soft, cells("p", "o"))
+    q["forward"] = q["predict_scores"] = q["array_forward"] = query(PASS, cells("p", "o"))
+    q["loss_gradient"] = query(PASS, cells("p", each("range(1, len(o) + 1)", "k", "2.0 * (o[k] - y[k])")))
+    q["delta_output"] = q["array_elementwise"] = query(ERR, cells("q", "e"))
+    q["delta_hidden"] = query(ERR, cells("q", "b"))
+    q["array_outer"] = query(ERR + [("o1", "SELECT i, e, generate_subscripts(a, 1) AS r, unnest(a) AS t FROM q")],
+                             f"SELECT {big('i', 'i')}, {big('r', 'r')}, {big('c', 'c')}, {r6('t * w')} AS v FROM ("
+                             "SELECT i, r, t, generate_subscripts(e, 1) AS c, unnest(e) AS w FROM o1)")
+    q["gradient"] = query(GRAD, f"SELECT {IDS}, {r6('v')} AS v FROM g")
+    moved = f"f.v - {O.real(K.LR)} * g.v"
+    q["weight_update"] = q["array_weight_update"] = query(
+        GRAD + [("f", O.flat_net("net"))],
+        f"SELECT {IDS}, {r6(moved)} AS v FROM f JOIN g USING (id, i, j)")
+    q["array_mat_mul"] = query(
+        NET0, f"SELECT {big('i', 'i')}, {big('j', 'j')}, {r6('v')} AS v FROM (SELECT generate_subscripts(m, 1) AS j, "
+        "unnest(m) AS col FROM (SELECT " + each("u2", "w", each(
+            "range(1, len(u1[1]) + 1)", "r", "list_sum(" + each("range(1, len(w) + 1)", "k", "u1[k][r] * w[k]") + ")"))
+        + " AS m FROM net)) t, LATERAL (SELECT generate_subscripts(t.col, 1) AS i, unnest(t.col) AS v)")
+
+    def trained(lr=K.LR, mean=False, preset="sigmoid", steps=K.STEPS):
+        return EMB + O.descent(steps, lr, K.H, preset, mean)
+
+    run = trained()
+    q["train_relational"] = query(run, VERSIONS)
+    q["train_relational_tanh_softmax"] = query(trained(preset="tanh_softmax"), VERSIONS)
+    q["cells_per_step"] = query(run, f"SELECT {big('iter', 'iter')}, {big('count(*)', 'count')} FROM versions GROUP BY iter")
+    q["distinct_steps"] = query(run, f"SELECT DISTINCT {big('iter', 'iter')} FROM versions")
+    seen = run + [O.scored()]
+    q["forward_all_steps"] = query(seen, cells("scored", "o", "iter, i"))
+    place = "1 + len(list_filter(o, lambda t: t > o[j]))"
+    q["rank_predictions"] = query(seen, f"SELECT {big('iter', 'iter')}, {ij}, {big(place, 'rank')} FROM ("
+                                        "SELECT iter, i, o, generate_subscripts(o, 1) AS j FROM scored)")
+    q["rank_labels"] = query(EMB, f"SELECT {ij}, {big('CASE WHEN j = cls THEN 1 ELSE 2 END', 'rank')} FROM ("
+                                  "SELECT i, cls, unnest(range(1, c + 1)) AS j FROM ex, shape)")
+    per_step = f"SELECT {big('iter', 'iter')}, {r6('precision')} AS precision FROM ({O.HIT_SHARE})"
+    best = f"SELECT {r6('max(precision)')} AS precision FROM ({O.HIT_SHARE})"
+    q["accuracy_per_step"] = query(seen, per_step)
+    q["ordered_accuracy"] = query(seen, f"SELECT {big('row_number() OVER (ORDER BY iter)', 'place')}, "
+                                        f"{big('iter', 'iter')}, {r6('precision')} AS precision FROM ({O.HIT_SHARE})")
+    q["best_accuracy"] = query(seen, best)
+    q["train_and_score"] = query(trained(K.MEAN_LR, True) + [O.scored()], best)
+    off = "list_sum(" + each("range(1, len(o) + 1)", "k", "abs(2.0 * (o[k] - y[k]))") + ")"
+    q["mean_abs_error"] = query(seen, f"SELECT {big('iter', 'iter')}, {r6(f'sum({off}) / sum(len(o))')} AS error "
+                                      "FROM scored GROUP BY iter")
+    q["array_argmax"] = query(EMB, f"SELECT {big('i', 'i')}, {big('list_position(x, list_max(x))', 'j')} FROM ex")
+    q["predict_correct"] = query(PASS, f"SELECT {big('i', 'i')}, {O.FIRST_BEST} = cls AS correct FROM p")
+    counted = (f"SELECT {big('iter', 'id')}, {O.FIRST_BEST} = cls AS correct, {big('count(*)', 'count')} "
+               "FROM scored GROUP BY ALL")
+    array_run = trained(K.ARRAY_LR, True) + [O.scored()]
+    q["correct_counts"] = query(array_run, counted)
+    q["best_accuracy_array"] = query(
+        array_run, f"SELECT {r6('max(share)')} AS precision FROM (SELECT avg(CAST({O.FIRST_BEST} = cls AS INT)) AS share "
+        "FROM scored GROUP BY iter) WHERE share > 0")
+    q["predict_models"] = query(_models(), cells("scored", "o", "w_id, i"))
+    q["predict_models_tanh_softmax"] = query(_models("tanh_softmax"), cells("scored", "o", "w_id, i"))
+    q["predict_models_correct"] = query(_models(), f"SELECT {big('w_id', 'w_id')}, {O.FIRST_BEST} = cls AS correct, "
+                                                   f"{big('count(*)', 'count')} FROM scored GROUP BY ALL")
+    q["vectors_by_value"] = query(EMB, f"SELECT {r6('sum(y[1])')} AS first, {big('count(*)', 'count')}, "
+                                       f"{big('min(i)', 'least')}, bool_and(y = y) AS same FROM ex GROUP BY y")
+    q["train_array"] = query(trained(K.MEAN_LR, True), VERSIONS)
+    q["train_array_tanh_softmax"] = query(trained(K.ARRAY_LR, True, "tanh_softmax"), VERSIONS)
+    q["init_weights_seeded"] = query(EMB[:1], f"SELECT {big('d * ' + str(K.H), 'cells')}, TRUE AS in_range, "
+                                              "TRUE AS all_distinct FROM shape")
+
+    def iris(lr=K.LR, mean=False, steps=K.STEPS):
+        return li + O.descent(steps, lr, K.IRIS_H, "sigmoid", mean)
+
+    q["train_relational_lineitem"] = query(iris(), VERSIONS)
+    q["train_and_score_lineitem"] = query(iris() + [O.scored()], per_step)
+    q["train_array_lineitem"] = query(iris(K.MEAN_LR, True), VERSIONS)
+    q["train_array_lineitem_long"] = query(iris(K.MEAN_LR, True, K.LONG_STEPS), VERSIONS)
     return q
 
 

@@ -7,11 +7,11 @@ Network: input -> one hidden layer -> output, no biases.  Presets:
   1 - a*a on *both* layers (the recorded array workload uses this rule for
   the softmax layer too; it is not the true softmax derivative).
 
-Scale notes (see README): the example cells are hash partitioned by the
-example id once and cached; weights are broadcast behind a shape bound.  One
-step then has exactly two exchanges, both over the tiny gradient (at most
-``partitions × (d·h + h·c)`` partial sums), and one reliable checkpoint of
-the new weights, which also cuts the lineage.
+Scale notes (see README): the example cells are hash partitioned and sorted by
+the example id once and cached; weights are broadcast behind a shape bound.
+One step then is one job with one exchange, over the tiny gradient (at most
+``partitions × (d·h + h·c)`` partial sums), that ends in the step's folder of
+the shared history, which also cuts the lineage.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from cellgrad.functions.scalar import d_sigmoid, d_sqloss, d_tanh, sigmoid, tanh
 from cellgrad.operators import coo
 from cellgrad.operators.reshape import first_rows
-from cellgrad.operators.weights import HO, XH, tag, unstack
-from cellgrad.session import bounded_broadcast, cache_now, configure, ensure_checkpoint_dir, materialize
+from cellgrad.operators.weights import HO, XH, unstack
+from cellgrad.session import VersionStore, bounded_broadcast, loop_settings
 
 PRESETS = ("sigmoid", "tanh_softmax")
 
@@ -68,61 +68,64 @@ def hidden_layer(x: DataFrame, w_xh: DataFrame, net: Net) -> DataFrame:
     return coo.matmul(x, w_xh, b_bound=net.xh_cells, act=net.hidden_act)
 
 
-def output_layer(a_xh: DataFrame, w_ho: DataFrame, net: Net) -> DataFrame:
-    s = coo.matmul(a_xh, w_ho, b_bound=net.ho_cells, act=net.out_act)
+def output_layer(hidden: DataFrame, w_ho: DataFrame, net: Net) -> DataFrame:
+    s = coo.matmul(hidden, w_ho, b_bound=net.ho_cells, act=net.out_act)
     return coo.softmax_rows(s) if net.preset == "tanh_softmax" else s
 
 
 def forward(x: DataFrame, w_xh: DataFrame, w_ho: DataFrame, net: Net):
-    """Returns (a_xh, a_ho)."""
-    a_xh = hidden_layer(x, w_xh, net)
-    return a_xh, output_layer(a_xh, w_ho, net)
+    """Returns (hidden, output) values."""
+    hidden = hidden_layer(x, w_xh, net)
+    return hidden, output_layer(hidden, w_ho, net)
 
 
 # ----------------------------------------------------------------- backward
-def loss_gradient(a_ho: DataFrame, y: DataFrame) -> DataFrame:
-    """l = 2(a - y) over the cells that have a label cell (inner join)."""
-    return coo.hadamard(a_ho, y.select("i", "j", F.col("v").cast("double").alias("v")),
+def loss_gradient(out: DataFrame, y: DataFrame) -> DataFrame:
+    """2(a - y) over the cells that have a label cell (inner join)."""
+    return coo.hadamard(out, y.select("i", "j", F.col("v").cast("double").alias("v")),
                         lambda a, t: d_sqloss(a, t))
 
 
-def output_delta(a_ho: DataFrame, y: DataFrame, net: Net) -> DataFrame:
-    """d_ho = 2(a - y) · f'(a), loss and derivative from one join."""
-    return coo.hadamard(a_ho, y.select("i", "j", F.col("v").cast("double").alias("v")),
+def output_delta(out: DataFrame, y: DataFrame, net: Net) -> DataFrame:
+    """2(a - y) · f'(a), loss and derivative from one join."""
+    return coo.hadamard(out, y.select("i", "j", F.col("v").cast("double").alias("v")),
                         lambda a, t: d_sqloss(a, t) * net.deriv(a))
 
 
-def hidden_delta(d_ho: DataFrame, w_ho: DataFrame, a_xh: DataFrame, net: Net) -> DataFrame:
-    """d_xh = (d_ho · w_hoᵀ) ∘ f'(a_xh); the transpose is a join-key choice."""
-    l_xh = coo.matmul_bt(d_ho, w_ho, b_bound=net.ho_cells)
-    return coo.hadamard(l_xh, a_xh, lambda l, a: l * net.deriv(a))
+def hidden_delta(out_err: DataFrame, w_ho: DataFrame, hidden: DataFrame, net: Net) -> DataFrame:
+    """(out_err · w_hoᵀ) ∘ f'(hidden); the transpose is a join-key choice."""
+    carried = coo.matmul_bt(out_err, w_ho, b_bound=net.ho_cells)
+    return coo.hadamard(carried, hidden, lambda e, a: e * net.deriv(a))
 
 
-def gradient(x: DataFrame, a_xh: DataFrame, d_xh: DataFrame, d_ho: DataFrame) -> DataFrame:
-    """Stacked gradient ``(id, i, j, v)``: id 0 = xᵀ·d_xh, id 1 = a_xhᵀ·d_ho.
-    Both contract the example index; partial sums per partition first."""
-    g_xh = coo.matmul_at(x, d_xh)
-    g_ho = coo.matmul_at(a_xh, d_ho)
-    return tag(g_xh, id=XH).unionByName(tag(g_ho, id=HO))
+def gradient(x: DataFrame, hidden: DataFrame, hidden_err: DataFrame, out_err: DataFrame) -> DataFrame:
+    """Stacked gradient ``(id, i, j, v)``: id 0 = xᵀ·hidden_err, id 1 =
+    hiddenᵀ·out_err.  Both contract the example index; their products are
+    summed together, so one exchange carries the partial sums of both."""
+    def products(left: DataFrame, right: DataFrame, matrix: int) -> DataFrame:
+        return (left.select(F.col("i").alias("_ex"), F.col("j").alias("i"), F.col("v").alias("_l"))
+                .join(right.select(F.col("i").alias("_ex"), "j", F.col("v").alias("_r")), "_ex")
+                .select(F.lit(matrix).cast("long").alias("id"), "i", "j", (F.col("_l") * F.col("_r")).alias("v")))
+
+    both = products(x, hidden_err, XH).unionByName(products(hidden, out_err, HO))
+    return both.groupBy("id", "i", "j").agg(F.sum("v").alias("v"))
 
 
 def step_gradient(x: DataFrame, y: DataFrame, w_xh: DataFrame, w_ho: DataFrame,
                   net: Net, keep: list | None = None) -> DataFrame:
     """Gradient of one step.  With ``keep`` (a list), the hidden activations
-    and the output delta — each read by three later operators — are persisted
-    for the step and appended to ``keep`` so the caller can release them;
-    otherwise Spark recomputes them for every use."""
-    a_xh, a_ho = forward(x, w_xh, w_ho, net)
-    if keep is not None:
-        a_xh = cache_now(a_xh)
-        keep.append(a_xh)
-        a_ho = output_layer(a_xh, w_ho, net)
-    d_ho = output_delta(a_ho, y, net)
-    if keep is not None:
-        d_ho = cache_now(d_ho)
-        keep.append(d_ho)
-    d_xh = hidden_delta(d_ho, w_ho, a_xh, net)
-    return gradient(x, a_xh, d_xh, d_ho)
+    and the output delta, each read by later operators, are persisted for the
+    step (filled by the gradient's own job) and appended to ``keep`` so the
+    caller can release them; otherwise Spark recomputes them for every use."""
+    def kept(df: DataFrame) -> DataFrame:
+        if keep is None:
+            return df
+        keep.append(df.persist())
+        return keep[-1]
+
+    hidden = kept(hidden_layer(x, w_xh, net))
+    out_err = kept(output_delta(output_layer(hidden, w_ho, net), y, net))
+    return gradient(x, hidden, hidden_delta(out_err, w_ho, hidden, net), out_err)
 
 
 def update(w: DataFrame, g: DataFrame, lr: float, net: Net, divisor: float = 1.0) -> DataFrame:
@@ -144,34 +147,27 @@ def train_relational(x: DataFrame, y: DataFrame, w0: DataFrame, net: Net, lr: fl
     ``x`` / ``y`` are feature and one-hot cells, ideally hash partitioned by
     ``i`` (see ``prepare``).  ``w0`` is the stacked start ``(id, i, j, v)``.
     ``limit`` keeps examples with ``i < limit``.  ``reduction`` "mean" divides
-    the gradient by the number of training examples.
+    the gradient by the number of labelled training examples.
     """
     if reduction not in ("sum", "mean"):
         raise ValueError("reduction must be 'sum' or 'mean'")
     spark = x.sparkSession
-    configure(spark)
-    ensure_checkpoint_dir(spark)
-    for df in (x, y):
-        if df.is_cached:
-            cache_now(df)
-    x_t = first_rows(x, limit) if limit is not None else x
-    divisor = 1.0
-    if reduction == "mean":
-        divisor = float(n_train if n_train is not None else x_t.select("i").distinct().count())
-        divisor = divisor or 1.0
-    w = materialize(w0.select("id", "i", "j", "v"), "weights-0")
-    history = [tag(w, iter=0)]
-    for step in range(1, steps + 1):
-        keep: list = []
-        g = step_gradient(x_t, y, unstack(w, XH), unstack(w, HO), net, keep)
-        w = materialize(update(w, g, lr, net, divisor), f"weights-{step}")
-        for df in keep:
-            df.unpersist()
-        history.append(tag(w, iter=step))
-    out = history[0]
-    for h in history[1:]:
-        out = out.unionByName(h)
-    return out
+    store = VersionStore(spark)
+    with loop_settings(spark):
+        x_t = first_rows(x, limit) if limit is not None else x
+        divisor = 1.0
+        if reduction == "mean":
+            # Only labelled examples train.
+            divisor = float(n_train if n_train is not None else
+                            x_t.select("i").distinct().join(y.select("i").distinct(), "i", "left_semi").count())
+        w = store.write(0, w0, net.cells)
+        for step in range(1, steps + 1):
+            keep: list = []
+            g = step_gradient(x_t, y, unstack(w, XH), unstack(w, HO), net, keep)
+            w = store.write(step, update(w, g, lr, net, divisor or 1.0), net.cells)
+            for df in keep:
+                df.unpersist()
+    return store.history()
 
 
 def cells_per_step(history: DataFrame) -> DataFrame:

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings every plan in this package expects.  They are runtime SQL confs, so
-# ``configure`` can apply them to a session someone else built (the driver's).
-RUNTIME_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Cell-wise joins on (i, j) between two sides that are both hash
-    # partitioned on the example id i need no extra exchange.
+# What a training loop's own plans are built under (see ``loop_settings``).
+LOOP_CONF = {
+    # Joins on (i, j) of two sides hash partitioned by i need no exchange.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what has a proven bound (explicit hints placed by
-    # ``bounded_broadcast``); never on the planner's size estimate.
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # A step's shapes are known beforehand; without re-planning, cached cells
+    # report their partitioning and order before they are filled.
+    "spark.sql.adaptive.enabled": "false",
 }
 
 # Upper bound, in bytes, for a side we broadcast on the strength of its shape.
@@ -44,28 +40,31 @@ def build_session(master: str | None = None, app: str = "cellgrad",
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": driver_memory,
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
-        **RUNTIME_CONF,
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
     return spark
 
 
-_CONFIGURED: set = set()
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    key = id(spark)
-    if key not in _CONFIGURED:
-        for k, v in RUNTIME_CONF.items():
-            spark.conf.set(k, v)
-        _CONFIGURED.add(key)
-    ship_package(spark)
-    return spark
+@contextmanager
+def loop_settings(spark: SparkSession):
+    """``LOOP_CONF`` while a training loop builds and runs its steps; the
+    caller's settings are back afterwards, so no later plan depends on it."""
+    before = {k: spark.conf.get(k, None) for k in LOOP_CONF}
+    for k, v in LOOP_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 _SHIPPED: set = set()
@@ -110,7 +109,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return sc.getCheckpointDir() or named
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder for it")
     base = os.environ.get("TMPDIR", "/tmp")
@@ -124,7 +123,6 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     and read it back.  One job computes and writes (``Dataset.checkpoint``
     computes its input twice unless it is cached), and the files survive the
     loss of any executor."""
-    import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cellgrad/{label}-{uuid.uuid4().hex}"
@@ -132,14 +130,24 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def cache_now(df: DataFrame) -> DataFrame:
-    """Persist and fill the cache before plans that read it are built: with
-    AQE, a cache that is not yet filled reports no output partitioning, so
-    every plan built on it would add an exchange for keys it is already
-    partitioned by."""
-    df = df if df.is_cached else df.persist()
-    df.count()
-    return df
+class VersionStore:
+    """Weight versions ``(iter, id, i, j, v)`` in one shared folder with a
+    sub-folder per step, so a history of any length is read by one scan."""
+
+    CELLS = "id long, i long, j long, v double"
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrad/history-{uuid.uuid4().hex}"
+
+    def write(self, step: int, weights: DataFrame, cells: int) -> DataFrame:
+        """``cells``: the model's size, a file for each half million."""
+        weights.select("id", "i", "j", "v").coalesce(-(-cells // 500_000) or 1).write.parquet(f"{self.path}/iter={step}")
+        return self.spark.read.schema(self.CELLS).parquet(f"{self.path}/iter={step}")
+
+    def history(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.CELLS}, iter long").parquet(self.path) \
+            .select("iter", "id", "i", "j", "v")
 
 
 def broadcast_cap(spark: SparkSession) -> int:
@@ -159,12 +167,5 @@ def bounded_broadcast(df: DataFrame, max_rows: int,
     return df
 
 
-def broadcast_chunks(spark: SparkSession, max_rows: int, row_bytes: int = CELL_ROW_BYTES) -> int:
-    """How many pieces a side of ``max_rows`` rows must be cut into so that
-    each piece fits the broadcast cap (1 when it fits as a whole)."""
-    cap = broadcast_cap(spark)
-    return max(1, -(-(max_rows * row_bytes) // cap))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -64,11 +64,12 @@ def read_result_log(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     return spark.read.csv(path, schema=schema, header=False)
 
 
-def merge_logs(logs: Sequence[DataFrame], min_limit: int = 3,
+def merge_logs(logs: Sequence[DataFrame], min_limit: int | None = None,
                threads_col: str | None = None, threads: str | None = None,
                rename: dict | None = None) -> DataFrame:
     """Stack result logs: drop repeated header rows, optionally keep one
-    thread setting, project the six common columns, keep ``limit >= min_limit``."""
+    thread setting, project the six common columns and, if asked to, keep
+    ``limit >= min_limit`` (rows over the whole table have no limit)."""
     out = None
     for log in logs:
         for old, new in (rename or {}).items():
@@ -81,4 +82,4 @@ def merge_logs(logs: Sequence[DataFrame], min_limit: int = 3,
                          F.col("lr").cast("double"), F.col("iter").cast("int"),
                          F.col("execution_time").cast("double"))
         out = log if out is None else out.unionByName(log)
-    return out.filter(F.col("limit") >= F.lit(min_limit))
+    return out if min_limit is None else out.filter(F.col("limit") >= F.lit(min_limit))

@@ -17,6 +17,8 @@ from cellgrad.operators import reshape as R
 
 # Fixed values for the Iris-like mapping of lineitem.
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+# Ties in the key are broken by the other columns that are read, in this order.
+LINEITEM_TIES = ["l_discount", "l_quantity", "l_tax", "l_returnflag"]
 LINEITEM_FEATURES = [  # (output name, source column, divisor, multiplier)
     ("x1", "l_quantity", 50.0, 1.0),
     ("x2", "l_extendedprice", 105000.0, 1.0),
@@ -25,8 +27,6 @@ LINEITEM_FEATURES = [  # (output name, source column, divisor, multiplier)
 ]
 RETURNFLAG_CLASS = {"A": 0, "N": 1, "R": 2}
 
-EMBEDDING_DIM = 64
-EMBEDDING_CLASSES = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,7 @@ def embedding_cells(examples: DataFrame) -> DataFrame:
     return R.vector_to_coo(examples, "x")
 
 
-def embedding_one_hot(examples: DataFrame, n_classes: int = EMBEDDING_CLASSES) -> DataFrame:
+def embedding_one_hot(examples: DataFrame, n_classes: int) -> DataFrame:
     return R.one_hot_coo(examples, "label", n_classes)
 
 
@@ -80,14 +80,6 @@ def lineitem_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_id.select("id", *lineitem_scaled_cols(), "species")
 
 
-def lineitem_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array rows ``(i, x, label)`` for the Iris-shaped net."""
-    ex = lineitem_examples(spark, sf_dir)
-    return ex.select(F.col("id").alias("i"),
-                     F.array(*[F.col(n) for n, _, _, _ in LINEITEM_FEATURES]).alias("x"),
-                     F.col("species").alias("label"))
-
-
 # --------------------------------------------------------- labelled documents
 def document_label_one_hot(spark: SparkSession, sf_dir: str, n_classes: int = 2) -> DataFrame:
     """Binary one-hot over all documents; only labelled ones get a 1 (right

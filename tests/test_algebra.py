@@ -74,7 +74,7 @@ def test_relational_gradient_matches_numpy_and_finite_differences(spark):
     net = Net(d, h, c)
     g = step_gradient(to_cells(spark, x), to_cells(spark, y), to_cells(spark, w1), to_cells(spark, w2), net)
     g1 = to_np(g.filter("id = 0"), (d, h)); g2 = to_np(g.filter("id = 1"), (h, c))
-    n1, n2 = np_gradient(x, y, w1, w2, "sigmoid")
+    [(n1, n2)] = np_gradient(x, y, [(w1, w2)], "sigmoid")
     assert np.allclose(g1, n1) and np.allclose(g2, n2)
 
     def loss(a, b):

@@ -9,10 +9,7 @@ from conftest import SF001
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-KEYS = ["scan_features", "assign_ids", "wide_to_coo", "one_hot_coo", "one_hot_coo_labels",
-        "init_weights_array", "literal_weights", "matmul_bt", "softmax_layer", "delta_hidden",
-        "weight_update", "train_relational", "accuracy_per_step", "array_forward", "matrix_avg",
-        "predict_models", "correct_counts", "train_array_tanh_softmax"]
+KEYS = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")

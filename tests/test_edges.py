@@ -109,3 +109,38 @@ def test_densify_equals_plain_right_join_with_repeated_labels(spark):
     want = sorted(tuple(r) for r in plain.collect())
     assert got == want
     assert len(got) == 15 - 1 - 1 + 40 + 2
+
+
+def test_densify_plan_builds_no_array_of_labels(spark):
+    from cellgrad.operators.reshape import class_grid, densify
+    grid = class_grid(spark.range(1, 9).withColumnRenamed("id", "i"), 2)
+    text = densify(grid, spark.createDataFrame([(2, 1)] * 9, "i long, j long"))._jdf.queryExecution().toString()
+    assert "array_repeat" not in text
+
+
+def test_mean_gradient_counts_labelled_examples_only(spark):
+    net = Net(2, 2, 2)
+    x = cells(spark, [(1, 1, 0.5), (1, 2, 0.2), (2, 1, 0.9), (2, 2, 0.4)])
+    y = labels(spark, [(1, 0), (2, None)], 2)
+    w0 = stack(cells(spark, [(1, 1, 0.1), (1, 2, -0.2), (2, 1, 0.3), (2, 2, 0.4)]),
+               cells(spark, [(1, 1, 0.5), (1, 2, -0.5), (2, 1, 0.2), (2, 2, 0.1)])).drop("iter")
+    both, only = (sorted((r["id"], r["i"], r["j"], round(r["v"], 12)) for r in train_relational(
+        data, y, w0, net, 0.5, 1, reduction="mean").filter("iter = 1").collect()) for data in (x, x.filter("i = 1")))
+    assert both == only
+
+
+def test_seeded_weights_do_not_depend_on_partitions(spark):
+    from cellgrad.operators.weights import weight_cells
+    dims = spark.createDataFrame([(k, 3, 2) for k in range(6)], "w_id long, _r int, _c int")
+    a, b = (sorted(map(tuple, weight_cells(dims.repartition(n), seed=7, keep=["w_id"]).collect())) for n in (1, 5))
+    assert a == b and len({r[-1] for r in a}) == len(a) and all(-1 <= r[-1] < 1 for r in a)
+
+
+def test_softmax_models_give_probabilities(spark):
+    x = cells(spark, [(1, 1, 0.5), (1, 2, 0.2), (2, 1, 0.9), (2, 2, 0.4)])
+    from cellgrad.operators.weights import weight_cells
+    sizes = spark.createDataFrame([(2,), (3,)], "w_id long")
+    xh = weight_cells(sizes.selectExpr("w_id", "2 AS _r", "w_id AS _c"), seed=1, keep=["w_id"])
+    ho = weight_cells(sizes.selectExpr("w_id", "w_id AS _r", "3 AS _c"), seed=2, keep=["w_id"])
+    sums = E.predict_models(x, xh, ho, 2, (2, 3), 3, "tanh_softmax").groupBy("w_id", "i").sum("v").collect()
+    assert len(sums) == 4 and all(abs(r["sum(v)"] - 1) < 1e-12 for r in sums)

@@ -24,31 +24,31 @@ def _sums(hist):
 
 def test_relational_sum_gradient(spark):
     e = K.Emb(spark, SF01, partitioned=True)
-    sums, cells = _sums(train_relational(e.x, e.y, e.w0, K.NET, 0.01, 3, limit=101))
+    sums, cells = _sums(train_relational(e.x, e.y, e.w0, e.net, 0.01, 3, limit=101))
     assert sums == SUM_LR001
     assert cells == [64 * 8 + 8 * 10] * 4
 
 
 def test_relational_mean_gradient(spark):
     e = K.Emb(spark, SF01, partitioned=True)
-    sums, _ = _sums(train_relational(e.x, e.y, e.w0, K.NET, 0.5, 3, limit=101, reduction="mean"))
+    sums, _ = _sums(train_relational(e.x, e.y, e.w0, e.net, 0.5, 3, limit=101, reduction="mean"))
     assert sums == SUM_MEAN_LR05
 
 
 def test_array_trainer_matches_relational(spark):
     e = K.Emb(spark, SF01)
-    sums, _ = _sums(train_array(e.vectors(), e.w0, K.NET, 0.5, 3, limit=101, reduction="mean"))
+    sums, _ = _sums(train_array(e.vectors(), e.w0, e.net, 0.5, 3, limit=101, reduction="mean"))
     assert sums == SUM_MEAN_LR05
-    sums, _ = _sums(train_array(e.vectors(), e.w0, K.NET, 0.01, 3, limit=101, reduction="sum"))
+    sums, _ = _sums(train_array(e.vectors(), e.w0, e.net, 0.01, 3, limit=101, reduction="sum"))
     assert sums == SUM_LR001
 
 
 def test_hits_precision_and_error(spark):
     e = K.Emb(spark, SF01, partitioned=True)
-    hist = train_relational(e.x, e.y, e.w0, K.NET, 0.01, 3, limit=101)
-    acc = E.accuracy_per_step(E.forward_all_steps(e.x, hist, K.NET, 4), e.y).orderBy("iter").collect()
+    hist = train_relational(e.x, e.y, e.w0, e.net, 0.01, 3, limit=101)
+    acc = E.accuracy_per_step(E.forward_all_steps(e.x, hist, e.net, 4), e.y).orderBy("iter").collect()
     assert [round(r["precision"] * 500) for r in acc] == HITS
     from cellgrad.operators.reshape import first_rows
-    mae = E.mean_abs_error(E.forward_all_steps(first_rows(e.x, 101), hist, K.NET, 4), e.y) \
+    mae = E.mean_abs_error(E.forward_all_steps(first_rows(e.x, 101), hist, e.net, 4), e.y) \
         .orderBy("iter").collect()
     assert [round(r["error"], 6) for r in mae] == MAE

@@ -2,6 +2,9 @@
 
 import tempfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from cellgrad.plans import jobs
 from cellgrad.plans.relational import Net
 from cellgrad.sources import files
@@ -42,14 +45,47 @@ def test_sweep_writes_result_log(spark):
     assert log.count() == 2
 
 
-def test_array_job_falls_back_to_cells_past_the_cap(spark):
+@pytest.mark.parametrize("cap", [1, 10_000, 256 << 20])
+def test_array_job_is_the_same_at_any_cap(spark, cap):
+    """A rank tie counts twice for the cells and once for the arrays: the
+    array job has to stay an array job past the cap."""
     df, d = _iris_like(spark)
     x, y, rows = jobs.prepare(df, files.IRIS_COLUMNS, files.IRIS_LABEL, 3, div=10.0)
     net = Net(4, 5, 3)
-    spark.conf.set("cellgrad.broadcast.maxBytes", str(net.cells * 8 - 1))
+    tied = jobs.initial_weights(spark, net, 3).withColumn("v", F.expr("IF(id = 1, 0D, v)"))
+    spark.conf.set("cellgrad.broadcast.maxBytes", str(cap))
     try:
-        run = jobs.train_and_score(x, y, rows, net, 0.05, 1, encoding="array", seed=3)
+        still = jobs.train_and_score(x, y, rows, net, 0.05, 0, encoding="array", w0=tied)
+        run = jobs.train_and_score(x, y, rows, net, 0.05, 2, encoding="array", seed=3)
     finally:
         spark.conf.unset("cellgrad.broadcast.maxBytes")
-    assert run["history"].filter("iter = 1").count() == net.cells
-    assert 0 < run["precision"] <= 1
+    assert still["precision"] == 10 / 30  # the first of three tied classes
+    total = run["history"].where("iter = 2").agg(F.round(F.sum("v"), 9)).first()[0]
+    want = jobs.train_and_score(x, y, rows, net, 0.05, 2, encoding="array", seed=3)
+    assert total == want["history"].where("iter = 2").agg(F.round(F.sum("v"), 9)).first()[0]
+    assert run["precision"] == want["precision"]
+    jobs.release(x, y)
+
+
+def test_label_kinds_train_alike(spark):
+    """NULL labels do not train, an extra class and one out of range do,
+    with the targets the outputs have; both trainers agree."""
+    ex = spark.createDataFrame([(1, 0.5, 0.2, 0), (2, 0.9, 0.4, None), (3, 0.1, 0.8, 2), (4, 0.7, 0.3, 7),
+                                (5, 0.2, 0.6, 1)], "id long, a double, b double, label int")
+    x, y, rows = jobs.prepare(ex, ["a", "b"], "label", 3, id_col="id")
+    net = Net(2, 3, 2)
+    runs = [jobs.train_and_score(x, y, rows, net, 0.3, 2, encoding=e, reduction="mean", seed=5)["history"]
+            for e in ("relational", "array")]
+    a, b = (sorted((r["iter"], r["id"], r["i"], r["j"], round(r["v"], 9)) for r in h.collect()) for h in runs)
+    assert a == b and len(a) == 3 * net.cells
+    without = jobs.prepare(ex.where("label IS NOT NULL"), ["a", "b"], "label", 3, id_col="id")
+    c = jobs.train_and_score(*without, net, 0.3, 2, encoding="relational", reduction="mean", seed=5)["history"]
+    assert sorted((r["iter"], r["id"], r["i"], r["j"], round(r["v"], 9)) for r in c.collect()) == a
+
+
+def test_long_run_reads_one_history(spark):
+    df, d = _iris_like(spark)
+    x, y, rows = jobs.prepare(df.limit(6), files.IRIS_COLUMNS, files.IRIS_LABEL, 3, div=10.0)
+    hist = jobs.train_and_score(x, y, rows, Net(4, 2, 3), 0.1, 100, encoding="array", seed=1)["history"]
+    assert hist.select("iter").distinct().count() == 101
+    assert hist._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1

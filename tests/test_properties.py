@@ -46,7 +46,7 @@ def test_one_step_of_both_trainers_matches_numpy(spark, n, d, h, c, seed, preset
     w1, w2 = rng.normal(size=(d, h)), rng.normal(size=(h, c))
     net = Net(d, h, c, preset)
     w0 = stack(cells(spark, w1), cells(spark, w2)).drop("iter")
-    g1, g2 = np_gradient(x, y, w1, w2, preset)
+    [(g1, g2)] = np_gradient(x, y, [(w1, w2)], preset)
     rel = train_relational(cells(spark, x), cells(spark, y), w0, net, 0.1, 1, reduction="mean")
     rows = spark.createDataFrame([(i + 1, x[i].tolist(), y[i].tolist()) for i in range(n)],
                                  "i long, x array<double>, y array<double>")

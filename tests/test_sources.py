@@ -47,7 +47,9 @@ def test_merge_result_logs(spark):
                               ["name", "atts", "size", "lr", "iter", "execution_time", "error"])
     merged = files.merge_logs([a, b], rename={"size": "limit"})
     got = sorted((r["name"], r["limit"]) for r in merged.collect())
-    assert got == [("DuckDB-SQL-92", 150), ("numpy", 300)]
+    assert got == [("DuckDB-SQL-92", 2), ("DuckDB-SQL-92", 150), ("numpy", 300)]
+    few = files.merge_logs([a, b], min_limit=3, rename={"size": "limit"})
+    assert sorted(r["limit"] for r in few.collect()) == [150, 300]
 
 
 def test_noop_sink_runs_plan(spark):
@@ -69,7 +71,8 @@ def test_model_store_partition_pruning(spark):
     import io
     from contextlib import redirect_stdout
     d = tempfile.mkdtemp(prefix="cg-store-")
-    _, ho = W.init_models(spark, 4, [2, 3], 2)
+    sizes = spark.createDataFrame([(2,), (3,)], "w_id long").selectExpr("w_id", "w_id AS _r", "2 AS _c")
+    ho = W.weight_cells(sizes, keep=["w_id"])
     W.write_store(ho, f"{d}/store")
     one = W.read_model(spark, f"{d}/store", 3)
     assert one.count() == 3 * 2
