@@ -68,8 +68,7 @@ judged AS (
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        n_common_lines::BIGINT AS n_common_lines, n_common_words::BIGINT AS n_common_words, base_failed,
-       NOT base_failed AND NOT (n_common_words > 0 AND (n_words - n_common_words < {quality.MIN_WORDS}
-         OR (n_words - n_common_words) * 100 < n_words * {quality.MIN_LEFT_PCT})) AS kept
+       NOT base_failed AND (n_words - n_common_words) * 100 >= n_words * {quality.MIN_LEFT_PCT} AS kept
 FROM judged
 """
 

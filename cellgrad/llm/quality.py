@@ -4,8 +4,8 @@ Every normalised line (stripped, A-Z lower-cased, with at least one word) is
 hashed; for each host the distinct documents that hold it are counted, copies
 of one text counting once.  A line held by more than ``min_docs`` documents
 and more than ``max_share`` of the host's documents is boilerplate and is
-removed; a document left with fewer than ``min_words`` words, or with less
-than ``min_left`` of its words, is depleted and rejected.  Documents are also
+removed; a document left with less than ``min_left_pct`` of its words is
+depleted and rejected.  Documents are also
 rejected by plain measures of their own text (``base_failed``).
 
 Everything is DataFrame functions.  Only hashes, counts and measures are
@@ -126,7 +126,7 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
     cut = F.coalesce(F.col("_cw"), F.lit(0))
     left = n - cut
     base_failed = (n < MIN_WORDS) | (rep * 100 > n * MAX_REPEAT_PCT)
-    depleted = (cut > 0) & ((left < MIN_WORDS) | (left * 100 < n * min_left_pct))
+    depleted = left * 100 < n * min_left_pct
     replaced = {}
     if clean_text:
         df = df.withColumn("_lines", F.when(F.col("_cpos").isNotNull(), X.lines_of(text)))

@@ -40,7 +40,7 @@ def quality(rows):
         left = len(words) - cut
         if len(words) < 20 or 100 * len(rep) > 30 * len(words):
             continue
-        if cut and (left < 20 or 100 * left < Q.MIN_LEFT_PCT * len(words)):
+        if 100 * left < Q.MIN_LEFT_PCT * len(words):
             continue
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in common) if common else t
     return out
