@@ -24,7 +24,8 @@ HEADLINE = [
     "train_and_score",           # train + score every version + best accuracy
     "train_array",               # MNIST-like, array encoding (Arrow batches)
     "train_array_tanh_softmax",  # Iris-array preset on the MNIST-like data
-    "predict_models",            # inference for hidden sizes 4/8/16 in one query
+    "predict_models",            # inference for hidden sizes 10/20/50/100 in one query
+    "predict_models_correct",    # the same models, array encoding, correct counts
     "predict_scores",            # relational inference, one model from the store
     "predict_correct",           # array inference (Arrow batches), correct flags
     "forward_all_steps",
@@ -32,6 +33,7 @@ HEADLINE = [
     "train_relational_lineitem",  # Iris-like net on all lineitem rows
     "train_and_score_lineitem",
     "train_array_lineitem",
+    "train_array_lineitem_long",  # ten steps
     "assign_ids",
     "wide_to_coo",
 ]

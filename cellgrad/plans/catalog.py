@@ -109,7 +109,10 @@ def _iris_cells(spark, sf):
 
 
 def _hist(e: Emb, steps=STEPS, lr=LR, reduction="sum", net=None) -> DataFrame:
-    return train_relational(e.x, e.y, e.w0, net or e.net, lr, steps, TRAIN_LIMIT, reduction)
+    out = train_relational(e.x, e.y, e.w0, net or e.net, lr, steps, TRAIN_LIMIT, reduction)
+    e.x.unpersist()  # the history is written; scoring reads the table again
+    e.y.unpersist()
+    return out
 
 
 def _dims(spark, sf) -> DataFrame:
@@ -599,17 +602,20 @@ def _iris(spark, sf):
     return x, y, _iris_start(spark)
 
 
-def q_train_relational_lineitem(spark, sf):
-    x, y, w0 = _iris(spark, sf)
-    hist = train_relational(x, y, w0, IRIS_NET, LR, STEPS)
+def _iris_hist(x: DataFrame, y: DataFrame, w0: DataFrame) -> DataFrame:
+    out = train_relational(x, y, w0, IRIS_NET, LR, STEPS)
     x.unpersist()
     y.unpersist()
-    return finish(hist)
+    return out
+
+
+def q_train_relational_lineitem(spark, sf):
+    return finish(_iris_hist(*_iris(spark, sf)))
 
 
 def q_train_and_score_lineitem(spark, sf):
     x, y, w0 = _iris(spark, sf)
-    hist = train_relational(x, y, w0, IRIS_NET, LR, STEPS)
+    hist = _iris_hist(x, y, w0)
     scores = E.forward_all_steps(x, hist, IRIS_NET, STEPS + 1)
     return finish(E.accuracy_per_step(scores, y))
 
