@@ -75,3 +75,28 @@ def test_empty_and_clashing_columns(spark):
     got = U.url_filter(df)
     assert got.columns == ["page_id", "url", "html", "host", "path", "rule", "verdict"]
     assert U.url_filter(df.where("false")).collect() == []
+
+
+def test_verdicts_equal_the_solved_system(spark):
+    # A chain to spam, longer than any fixed number of rounds, with host ties.
+    page = lambda k, h, to: (k, f"http://{h}/", f'<a href="https://{to}/">', None, None)
+    rows = [(0, "http://spam.net/es/", None, None, None), page(1, "h1.org", "spam.net")]
+    rows += [page(k, f"h{k}.org", f"h{k - 1}.org") for k in range(2, 16)]
+    rows += [page(20 + k, f"s{k}.farm.org", "h3.org") for k in range(4)] + [page(30, "farm.org", "spam.net")]
+    pages = U.judged(pages_of(spark, rows))
+    edges = {(r["src"], r["dst"]): r["weight"] for r in U.host_edges(pages).collect()}
+    hosts = sorted({h for e in edges for h in e})
+    at = {h: k for k, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), w in edges.items():
+        m[at[a], at[b]] = w  # reversed: distrust
+    total = m.sum(axis=0)
+    seed = np.eye(len(hosts))[at["spam.net"]]
+    solved = np.linalg.solve(np.eye(len(hosts)) - 0.6 * m / np.where(total > 0, total, 1), seed)
+    got = {r["host"]: r["distrust"] for r in U.host_scores(pages, damping=0.6, iterations=None).collect()}
+    assert all(abs(got.get(h, 0.0) - solved[at[h]]) <= U.TOLERANCE for h in hosts)
+    margin = float(solved[at["h11.org"]]) * 0.9
+    verdicts = {r["host"]: r["verdict"] for r in U.url_filter(
+        pages_of(spark, rows), margin=margin, damping=0.6, iterations=None).collect()}
+    assert verdicts == {h: "block" if h == "spam.net" or solved[at[h]] > margin else "allow" for h in verdicts}
+    assert verdicts["h11.org"] == "block" and verdicts["h15.org"] == "allow"
