@@ -173,11 +173,13 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, source
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str | None, int] | None = None,
                     source_col: str = "source", id_col: str = "doc_id",
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` in mixture order: range-partitioned and sorted by position, so
-    files written from it hold the mixture one after the other."""
+                    block_rows: int = BLOCK_ROWS, parts: int | None = None) -> DataFrame:
+    """``docs`` in mixture order: range-partitioned (to ``parts``) and sorted by
+    position, so files written from it hold the mixture one after the other.  A
+    scan of these files takes them by size; applied to the reread rows, this
+    gives the same order again, as it depends on the rows alone."""
     held, rows = _held_rows(docs, source_col, id_col, keep=True)
     rows = schedule(rows, "_source", ["_id", "_tie"], weights, block_rows)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartitionByRange(parts, "_position").sortWithinPartitions("_position")
             .select(*held.back()))

@@ -15,6 +15,8 @@ from cellgrad.llm.text import table
 from cellgrad.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Text for a packing task: about one block of tokens.
+PACK_BYTES = 4 * packing.BLOCK_TOKENS
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of the packed id matrix, from consecutive documents of the mixture."""
-    return packing.pack(docs, packing.read_ranks(BYTE_RANKS))
+    """Rows of the packed id matrix, from consecutive documents of the mixture:
+    the scan of the last stage's files loses their order, so it is made again."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    mixed = mixing.mixed_documents(docs, parts=max(1, -(-size // PACK_BYTES)))
+    return packing.pack(mixed, packing.read_ranks(BYTE_RANKS))
 
 
 STAGES = [

@@ -1,9 +1,11 @@
 """The pipeline's stages, against plain Python."""
 
 import re
+from collections import Counter
 
 import corpus_pipeline as C
 from cellgrad.llm import decontaminate as D
+from cellgrad.llm import mixing as M
 from cellgrad.llm import packing as P
 from cellgrad.llm import quality as Q
 from cellgrad.llm.queries import BYTE_RANKS
@@ -76,3 +78,30 @@ def test_stages_equal_plain_python(spark, docs001, tmp_path):
 def test_run_returns_the_packed_rows(spark):
     got = C.run(spark, SF001)
     assert got.columns == [f.name for f in P.SCHEMA] and got.count() > 0
+
+
+def test_packed_rows_follow_the_mixture(spark, docs001, tmp_path, monkeypatch):
+    # Unequal files, which a scan takes in the order of their sizes.
+    monkeypatch.setattr(C, "PACK_BYTES", 60_000)
+    path = str(tmp_path / "mixed")
+    C.mixing_stage(spark, docs001, SF001).write.parquet(path)
+    want = M.mix(docs001).orderBy("position").collect()
+    place = {r["doc_id"]: k for k, r in enumerate(want)}
+    task = {}
+    for r in C.packing_stage(spark, spark.read.parquet(path), SF001).collect():
+        for d in r["doc_ids"]:
+            task.setdefault(r["row_id"] >> 40, set()).add(d)
+    assert len(task) > 3
+    done = set()
+    sources = {r["doc_id"]: r["source"] for r in want}
+    counts = Counter(sources.values())
+    weights = M.natural_weights(counts)
+    plan = M.phases({s: -(-n // M.BLOCK_ROWS) for s, n in counts.items()}, weights)[0]
+    for t in sorted(task):
+        done |= task[t]
+        assert {place[d] for d in done} == set(range(len(done)))  # a prefix of the mixture
+        if {r["phase"] for r in want[:len(done)]} == {0}:
+            slots = want[len(done) - 1]["slot"] + 1
+            for s in plan["runs"]:
+                served = sum(sources[d] == s for d in done) / M.BLOCK_ROWS
+                assert abs(served - slots * weights[s] / plan["total"]) < 2  # the last slot may be half done
