@@ -3,8 +3,9 @@
 Every normalised line (stripped, A-Z lower-cased, with at least one word) is
 hashed; for each host the distinct documents that hold it are counted, copies
 of one text counting once.  A line held by more than ``min_docs`` documents
-and more than ``max_share`` of the host's documents is boilerplate and is
-removed; a document left with less than ``min_left_pct`` of its words is
+of a host is boilerplate and is removed, whatever the host's size; a given
+``max_share_pct`` of the host's documents has to be exceeded as well, as in the
+query's SQL; a document left with less than ``min_left_pct`` of its words is
 depleted and rejected.  Documents are also
 rejected by plain measures of their own text (``base_failed``).
 
@@ -97,17 +98,19 @@ def _lines(held: X.Held, host_col: str, text_col: str, id_col: str) -> DataFrame
 
 
 def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS,
-                 max_share_pct: int = MAX_SHARE_PCT) -> DataFrame:
+                 max_share_pct: int | None = None) -> DataFrame:
     """(_host, _h1, _h2) of the lines above the limits."""
-    texts = lines.select("_host", "_th").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     held_by = lines.select(*LINE, "_th").distinct().groupBy(*LINE).agg(F.count("*").alias("_n"))
+    if max_share_pct is None:
+        return held_by.where(F.col("_n") > min_docs).select(*LINE)
+    texts = lines.select("_host", "_th").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     return (held_by.where(F.col("_n") > min_docs).join(texts, "_host")
             .where(F.col("_n") * 100 > F.col("_docs") * max_share_pct).select(*LINE))
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text",
                   id_col: str = "doc_id",
-                  min_docs: int = MIN_DOCS, max_share_pct: int = MAX_SHARE_PCT,
+                  min_docs: int = MIN_DOCS, max_share_pct: int | None = None,
                   min_left_pct: int = MIN_LEFT_PCT, clean_text: bool = True) -> DataFrame:
     """``docs`` with the measures, ``n_common_lines`` and ``n_common_words``
     (lines above the limits and their words), ``base_failed`` and ``kept``;

@@ -27,3 +27,14 @@ def test_odd_and_empty_rows(odd, empty):
     assert got.columns[:5] == ["doc_id", "text", "source", "_doc", "n_lines"] and got.columns[-1] == "kept"
     assert got.where("text is null and kept").count() == 0
     assert quality_rules(empty).collect() == []
+
+
+def test_a_repeated_line_goes_whatever_the_size_of_its_host(spark):
+    menu = " ".join(f"menu{j}" for j in range(25))
+    for times in (1, 100):
+        docs = spark.range(30 * times).selectExpr(
+            "id AS doc_id", "'hub' AS source",
+            f"concat(if(id < 25, '{menu}\\n', ''), array_join(transform(sequence(1, 60), j -> concat('w', id, 'n', j)), ' ')) AS text")
+        got = quality_rules(docs)
+        assert got.where("doc_id < 25 and n_common_lines = 1 and n_common_words = 25").count() == 25
+        assert got.where("doc_id >= 25 and n_common_lines = 0").count() == 30 * times - 25
