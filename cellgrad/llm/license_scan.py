@@ -7,12 +7,13 @@ template's distinct shingles, rounded up) holds at least ``MIN_CONTAINED`` of
 the template's distinct shingles.
 
 1. Retrieval: documents and templates are cut into windows of ``WINDOW``
-   shingles, the documents' at every half window, the templates' at every
-   place.  A window's signature is ``BANDS`` independent minima over its shingle
+   shingles, the documents' at every half window and at the end (a shorter
+   text is one window), the templates' at every place.  A window's signature is ``BANDS`` independent minima over its shingle
    hashes, one row to a band.  Windows with Jaccard similarity j share a band
    with probability 1 - (1 - j)^BANDS: above 0.995 from j = 0.5 on.  Templates
-   with fewer shingles than a window use windows of one shingle, whose minimum
-   is the shingle itself, so these collide for certain.
+   that a document can match without such a pair of windows (``windowed``) use
+   windows of one shingle, whose minimum is the shingle itself, so these
+   collide for certain.
 2. Verification: for each retrieved document and template the matched shingle
    places, the best stretch and its containment, from the words themselves.
 
@@ -29,6 +30,8 @@ once each; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +116,8 @@ def signatures(hashes: Column, stride: int) -> list[Column]:
     """Per band an array of one minimum per window of ``WINDOW`` shingles.
     Half of the bands are maxima, the minima under the reversed order."""
     n = F.size(hashes)
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1), F.lit(stride)))
+    end = F.greatest(n - (WINDOW - 1), F.lit(1))
+    starts = F.when(n > 0, F.array_union(F.sequence(F.lit(1), end, F.lit(stride)), F.array(end)))
     return [F.transform(starts, lambda k: F.array_min(F.slice(hashes, k, WINDOW))),
             F.transform(starts, lambda k: F.array_max(F.slice(hashes, k, WINDOW)))]
 
@@ -142,11 +146,26 @@ def template_table(templates: DataFrame) -> list[dict]:
         shingles = sorted(set(r["_sh"]))
         if shingles:
             bands = [sorted(set(r[f"_b{k}"] or [])) for k in range(BANDS)]
-            out.append({"id": r["template_id"], "license": r["license"], "shingles": shingles,
+            out.append({"id": r["template_id"], "license": r["license"], "shingles": shingles, "places": len(r["_sh"]),
                         "texts": sorted(set(r["_ss"])), "bands": bands})
     return out
 
 
+def windowed(template: dict, least: float) -> bool:
+    """Whether every match has a run of ``WINDOW`` - 1 shingles in the
+    template's order.  Of such a run some document window holds ``WINDOW`` - 2
+    shingles, and some template window these: J = 6/10 at least.
+
+    Where a run breaks off inside the stretch, a new word has come and the
+    ``SHINGLE`` - 1 shingles over the joint are not the template's, which
+    bounds the joints by the places that the stretch has to spare.  A template
+    that repeats a shingle may hold such shingles and is left out."""
+    n = len(template["shingles"])
+    kept = math.ceil(n * least)
+    runs = (math.ceil(n * 1.25) - kept) // (SHINGLE - 1) + 1
+    return n >= WINDOW and n == template["places"] and -(-kept // runs) >= WINDOW - 1
+
+
 def blocks(table: list[dict], most: int = BLOCK_VALUES) -> list[list[dict]]:
     out, size = [], most + 1
     for t in table:
@@ -187,8 +206,8 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, id_col: st
 
 
 def _scan(base: DataFrame, block: list[dict], least: float) -> DataFrame:
-    wide = [t for t in block if len(t["shingles"]) >= WINDOW]
-    slim = [t for t in block if len(t["shingles"]) < WINDOW]
+    wide = [t for t in block if windowed(t, least)]
+    slim = [t for t in block if not windowed(t, least)]
     # Retrieved bands: window signatures that some template window shares.
     met = [F.array_intersect(F.coalesce(F.col(f"_b{k}"), longs([])),
                              longs([v for t in wide for v in t["bands"][k]])) for k in range(BANDS)]

@@ -57,3 +57,29 @@ def test_odd_and_empty_rows(spark, odd, empty):
     assert (4, "d") in got
     assert L.license_scan(empty, tpl).collect() == []
     assert L.license_scan(odd, tpl.where("false")).collect() == []
+
+
+def test_notices_at_any_end_equal_brute_force(spark):
+    rows = []
+    for k, (_, _, t) in enumerate(L.TEMPLATES):
+        w = re.sub("[^A-Za-z0-9]+", " ", t).split()
+        for j in range(12):  # every start offset, with nothing behind the notice
+            body = " ".join(f"f{j}x{i}" for i in range(j))
+            for c, cut in enumerate((w, w[1:], w[:-1], w[:8] + w[4:])):  # the last: a stutter, as far as it matches
+                rows.append((1000 * k + 10 * j + c, f"{body} {' '.join(cut)}"))
+    gpl = L.TEMPLATES[2][2].split()
+    rows.append((90000, " ".join(gpl[:11])))
+    got = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["template_id"], r["n_found"], r["first_word"], r["last_word"]) for r in got} \
+        == brute(rows, L.TEMPLATES)
+    assert (90000, "gpl-3.0-line") in {(r["doc_id"], r["template_id"]) for r in got}
+
+
+def test_templates_that_match_in_short_runs_are_probed_by_single_shingles(spark):
+    w = [f"w{k}" for k in range(13)]  # 9 shingles, matched by two runs of 4
+    tpl = spark.createDataFrame([("t", "T", " ".join(w))], "template_id string, license string, text string")
+    assert not L.windowed(L.template_table(tpl)[0], L.MIN_CONTAINED)
+    rows = [(k, " ".join([f"f{k}"] * k + w[:8] + w[4:12])) for k in range(8)]
+    got = L.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), tpl).collect()
+    assert {(r["doc_id"], r["template_id"], r["n_found"], r["first_word"], r["last_word"]) for r in got} \
+        == brute(rows, [("t", "T", " ".join(w))]) and len(got) == 8
