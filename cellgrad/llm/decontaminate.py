@@ -2,7 +2,7 @@
 
 Texts are normalised to their letters and digits, lower-cased.  A benchmark
 item contaminates a document when some window of the item (half of it, 50
-characters at least, the whole of a shorter item) lies within ``rate`` edits
+characters at least and 200 at most, the whole of a shorter item) lies within ``rate`` edits
 per character of some stretch of the document.
 
 1. Filter: for a window of w characters and e edits, two such regions share at
@@ -41,6 +41,7 @@ from cellgrad.session import ship_package
 Q = 10
 RATE = 0.05
 MIN_WINDOW = 50
+MAX_WINDOW = 200
 BLOCK_CHARS = 2_000_000
 SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -116,7 +117,7 @@ class Benchmark:
             if len(codes) < q:
                 self.short.append((item_id, "".join(map(chr, codes))))
                 continue
-            w = min(len(codes), max(min_window, -(-len(codes) // 2)))
+            w = min(len(codes), max(min_window, min(-(-len(codes) // 2), MAX_WINDOW)))
             e = min(int(rate * w), w // q - 1)
             k = len(self.ids)
             self.ids.append(item_id)

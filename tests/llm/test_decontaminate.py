@@ -110,3 +110,17 @@ def test_odd_and_empty_rows(spark, odd, empty):
     assert D.contaminations(empty, bench).collect() == []
     assert D.contaminations(odd, bench.where("false")).collect() == []
     assert D.decontaminate(odd, bench.where("false")).count() == odd.count()
+
+
+@pytest.mark.parametrize("size", [600, 4000])
+def test_a_partial_passage_of_a_long_item_is_found(size):
+    rng = random.Random(size)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=5)) for _ in range(n))
+    item = words(size // 5)
+    index = D.Benchmark([(7, item)])
+    for lo in (0, 37, size * 6 // 5 - 300):
+        passage = item[lo:lo + 300]  # 250 letters
+        got = index.matches(f"{words(80)} {passage} {words(40)}")
+        assert [m[0] for m in got] == [7] and got[0][3] - got[0][2] >= 200
+        assert index.matches(f"{words(80)} {changed(rng, passage, 4)} {words(40)}")
+        assert index.matches(f"{words(80)} {passage[:150]} {words(40)}") == []
