@@ -230,8 +230,9 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     batch.column(0).slice(at, len(held)), pa.array([len(w) for w in held], pa.int64()),
                     pa.array([[{"start": s, "length": n, "period": q} for s, n, q in own] for own in runs], kind),
                     pa.array([b" ".join(kept_words(w, own)).decode("utf-8", "replace") for w, own in zip(held, runs)],
-                             pa.string())], [id_col, "n_words", "runs", "collapsed"])
+                             pa.string())], ["_id", "n_words", "runs", "collapsed"])
                 at += len(held)
 
-    slim = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text"))
-    return slim.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, {RESULT}")
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    found = slim.mapInArrow(run, f"_id {dict(docs.dtypes)[id_col]}, {RESULT}")
+    return found.toDF(id_col, *found.columns[1:])

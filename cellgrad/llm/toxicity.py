@@ -35,6 +35,7 @@ source and id are in no score, and columns of other names are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,6 +72,7 @@ DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7":
 FEATURES = ["log_words", "hit_density", "top_weight", "weight_density", "log_hits", "disguised_density",
             "second_person_density", "second_person_near", "capitals", "capital_words", "exclamations",
             "punctuation", "disguise_rate", "stretched_rate", "letter_rate"]
+STRETCHED = re.compile(r"([^\W\d_])\1\1")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 LEADS = bytes(range(0xC2, 0xF5))  # first bytes of non-ASCII characters
 
@@ -94,10 +96,13 @@ class Reader:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.heads = {t.rstrip("*")[:PREFIXES[0]] for t in lexicon}  # most words begin like no entry
         self.table: dict[bytes, tuple] = {}
 
     def weight(self, core: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms_of(core)), default=0.0) if core else 0.0
+        if core[:PREFIXES[0]] not in self.heads:
+            return 0.0
+        return max(self.lexicon.get(t, 0.0) for t in terms_of(core))
 
     def token(self, token: bytes) -> tuple:
         """(weight, weight under disguise, second person, capitals, disguised,
@@ -105,18 +110,18 @@ class Reader:
         got = self.table.get(token)
         if got is None:
             core = core_of(token)
-            plain = "".join(c for c in core if c.isalpha())
-            odd = len(plain) < len(core) and any(c.isalpha() for c in core)
-            weight = self.weight(core)
-            hidden = 0.0
-            if odd and not weight:
-                bare = core.translate(DISGUISE)
-                hidden = max(self.weight(plain), self.weight("".join(c for c in bare if c.isalpha())))
-            stretched = any(a == b == c and a.isalpha() for a, b, c in zip(core, core[1:], core[2:]))
+            weight, hidden, odd, plain = self.weight(core), 0.0, False, core
+            if not core.isalpha():
+                plain = "".join(c for c in core if c.isalpha())
+                odd = bool(plain)
+                if odd and not weight:
+                    bare = core.translate(DISGUISE)
+                    hidden = max(self.weight(plain), self.weight("".join(c for c in bare if c.isalpha())))
+            stretched = STRETCHED.search(core) is not None
             if stretched and not weight and not hidden:
                 hidden = self.weight("".join(c for c, d in zip(core, " " + core) if c != d))
-            shouted = len(plain) > 1 and token.isupper()
-            got = (weight, hidden, core in SECOND_PERSON, shouted, odd, stretched, len(core) == 1 and core.isalpha())
+            got = (weight, hidden, core in SECOND_PERSON, len(plain) > 1 and token.isupper(), odd, stretched,
+                   len(plain) == len(core) == 1)
             if len(self.table) < TABLE_ENTRIES:
                 self.table[token] = got
         return got
@@ -160,9 +165,8 @@ class Reader:
         """Weights of lexicon words made of three or more single letters."""
         found, run = [], ""
         for t in [*words, b""]:
-            core = core_of(t)
-            if len(core) == 1 and core.isalpha():
-                run += core
+            if self.token(t)[6]:
+                run += core_of(t)
             else:
                 if len(run) > 2 and (w := self.weight(run)):
                     found.append(w)

@@ -181,7 +181,7 @@ def leading_components(v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarr
 
 # -------------------------------------------------------------- Spark passes
 def lattice(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(id_col, _x): the valid rows as lattice points, all of one length."""
+    """(_id, _x): the valid rows as lattice points, all of one length."""
     entry = lambda c: (F.floor(F.lit(float(SCALE)) * c.cast("double")) + F.lit(OFFSET)).cast("long")
     finite = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) != float("inf"))
     c = F.col(vector_col)
@@ -189,7 +189,7 @@ def lattice(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "ve
     lengths = valid.groupBy(F.size(c).alias("_d")).agg(F.count("*").alias("_n"))
     top = lengths.orderBy(F.desc("_n"), F.desc("_d")).limit(1).collect()
     width = top[0]["_d"] if top else 0
-    return valid.where(F.size(c) == width).select(F.col(id_col), F.transform(c, entry).alias("_x"))
+    return valid.where(F.size(c) == width).select(F.col(id_col).alias("_id"), F.transform(c, entry).alias("_x"))
 
 
 def _rows(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
@@ -271,13 +271,13 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * k, pa.int32()),
                                                            pa.array(w.reshape(-1), pa.float64())),
-                 batch.column(2)], [id_col, "whitened", "deviation"])
+                 batch.column(2)], ["_id", "whitened", "deviation"])
 
     # Whole numbers: more than a long holds is an error, not a wrong result.
     gap = F.zip_with("_x", F.array(*[F.lit(s).cast("long") for s in total]), lambda x, s: F.lit(n).cast("long") * x - s)
     squares = F.aggregate(gap, F.lit(0).cast("long"), lambda a, g: a + g * g)
-    out = points.select(id_col, "_x", squares.alias("_deviation")).mapInArrow(
-        run, f"`{id_col}` {kind}, whitened array<double>, deviation long")
-    return out.select(id_col, F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+    out = points.select("_id", "_x", squares.alias("_deviation")).mapInArrow(
+        run, f"_id {kind}, whitened array<double>, deviation long")
+    return out.select(F.col("_id").alias(id_col), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
                       F.array(*[F.lit(e) for e in explained]).cast("array<double>").alias("explained"),
                       F.lit(error).alias("identity_error"))
