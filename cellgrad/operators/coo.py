@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cellgrad.session import CELL_ROW_BYTES, broadcast_cap, shuffle_partitions
 
 def contract_join(left: DataFrame, right: DataFrame, on: list[str], bound: int | None,
-                  salt_by: str) -> DataFrame:
+                  salt_by: str, row_bytes: int = CELL_ROW_BYTES) -> DataFrame:
     """Join of a large side with weights on the contracted index ``_k``.
 
     Within the broadcast cap ``right`` is broadcast.  Beyond it both sides are
@@ -28,7 +28,7 @@ def contract_join(left: DataFrame, right: DataFrame, on: list[str], bound: int |
     ``salt_by`` and the weights are repeated once per salt: the join then
     spreads over keys x salts, whatever the size of the weights."""
     spark = left.sparkSession
-    if bound is not None and bound * CELL_ROW_BYTES <= broadcast_cap(spark):
+    if bound is not None and bound * row_bytes <= broadcast_cap(spark):
         return left.join(F.broadcast(right), on)
     salts = shuffle_partitions(spark)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))

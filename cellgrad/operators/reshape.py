@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrad.functions import arrays as A
-from cellgrad.session import bounded_broadcast, materialize, shuffle_partitions
+from cellgrad.session import CELL_ROW_BYTES, bounded_broadcast, materialize, partitions_for, shuffle_partitions
 
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index
 
@@ -115,10 +117,28 @@ def densify(grid: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def matrix_avg(df: DataFrame, mat_col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Cell-wise mean ``(*by, i, j, v)`` of a nested-array column per group:
-    cells are averaged with partial sums per partition."""
-    return (matrix_to_coo(df.select(*by, mat_col), mat_col, by).groupBy(*by, "i", "j")
-            .agg(F.avg("v").alias("v")))
+    """Cell-wise mean ``(*by, i, j, v)`` of a nested-array column per group; a
+    NULL cell does not count, rows may differ in shape.
+
+    Each row's matrix is one vector, and the summariser adds vectors up inside
+    the partitions: no row per cell before the aggregate, and one vector per
+    group, shape and partition after it.  Cells come out of the sums only."""
+    by = list(by)
+    flat = F.flatten(mat_col)
+    present = F.transform(flat, lambda c: c.isNotNull().cast("double"))
+    filled = F.transform(flat, lambda c: F.coalesce(c.cast("double"), F.lit(0.0)))
+    shape = F.transform(mat_col, lambda r: F.size(r))
+    rows = df.where(F.col(mat_col).isNotNull() & F.forall(mat_col, lambda r: r.isNotNull()))
+    sums = rows.groupBy(*by, shape.alias("_shape")).agg(
+        Summarizer.sum(array_to_vector(filled)).alias("_s"), Summarizer.sum(array_to_vector(present)).alias("_n"))
+    places = F.flatten(F.transform("_shape", lambda n, r: F.transform(
+        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
+        lambda c: F.struct((r + 1).cast("long").alias("i"), c.cast("long").alias("j")))))
+    cells = sums.select(*by, F.explode(F.arrays_zip(places.alias("at"), vector_to_array("_s").alias("s"),
+                                                    vector_to_array("_n").alias("n"))).alias("_c"))
+    total = F.sum("_c.n")
+    return (cells.groupBy(*by, F.col("_c.at.i").alias("i"), F.col("_c.at.j").alias("j"))
+            .agg(F.when(total > 0, F.sum("_c.s") / F.when(total > 0, total)).alias("v")))
 
 
 def coo_to_array(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -165,6 +185,7 @@ def partition_examples(df: DataFrame, n_partitions: int | None = None,
     product with a broadcast weight matrix, every (i, j) aggregate and every
     cell-wise join is exchange-free; only contractions over examples shuffle,
     and those only their partial sums.  Rows are sorted within a partition, so
-    a cached side is joined on the id without sorting again."""
-    n = n_partitions or shuffle_partitions(df.sparkSession)
+    a cached side is joined on the id without sorting again.  Without a given
+    number the partitions follow from the number of rows, which is counted."""
+    n = n_partitions or partitions_for(df.count(), CELL_ROW_BYTES, df.sparkSession)
     return df.repartition(n, F.col(id_col)).sortWithinPartitions(*[c for c in (id_col, "j") if c in df.columns])

@@ -21,9 +21,12 @@ from cellgrad.functions import arrays as A
 from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF, register_sql_functions, sigmoid, tanh
 from cellgrad.operators import coo
 from cellgrad.operators import reshape as R
+from cellgrad.operators import tiles as TI
 from cellgrad.operators import weights as W
 from cellgrad.plans import arrays as AP
 from cellgrad.plans import evaluate as E
+from cellgrad.plans import minibatch as MB
+from cellgrad.plans import tiled as TL
 from cellgrad.plans.relational import (
     Net, cells_per_step, distinct_steps, forward, gradient, hidden_delta, loss_gradient,
     output_delta, train_relational, update)
@@ -636,6 +639,87 @@ def q_train_array_lineitem_long(spark, sf):
     return finish(AP.train_array(_iris_rows(spark, sf), _iris_start(spark), IRIS_NET, MEAN_LR, LONG_STEPS, None, "mean"))
 
 
+def _y(e: Emb) -> DataFrame:
+    return e.y.select("i", "j", F.col("v").cast("double").alias("v"))
+
+
+def q_matmul_tiled(spark, sf):
+    e = Emb(spark, sf)
+    out = TI.matmul(TI.to_tiles(e.x), TI.to_tiles(e.w_xh), b_bound=TI.tiles_in(e.net.n_in, H))
+    return finish(TI.to_cells(out, cols=H).join(e.ex.select("i"), "i", "left_semi"))
+
+
+def q_matmul_bt_tiled(spark, sf):
+    e = Emb(spark, sf)
+    out = TI.matmul_bt(TI.to_tiles(_y(e)), TI.to_tiles(e.w_ho), b_bound=TI.tiles_in(H, e.classes))
+    return finish(TI.to_cells(out, cols=H).join(e.ex.select("i"), "i", "left_semi"))
+
+
+def q_matmul_at_tiled(spark, sf):
+    e = Emb(spark, sf)
+    out = TI.matmul_at(TI.to_tiles(e.x), TI.to_tiles(_y(e)))
+    return finish(TI.to_cells(out, rows=e.net.n_in, cols=e.classes))
+
+
+def q_train_tiled_lineitem(spark, sf):
+    """The Iris-shaped training run over tiles."""
+    li, x = _iris_cells(spark, sf)
+    y = R.one_hot_coo(li, "species", IRIS_NET.n_out, id_col="id")
+    return finish(TL.train_tiled(x, y, _iris_start(spark), IRIS_NET, LR, STEPS))
+
+
+# A sweep: settings of their own size, rate, number of steps and row limit.
+SWEEP = (TL.Setting(1, H, 0.01, 3), TL.Setting(2, 4, 0.02, 2, 102), TL.Setting(3, H, 0.005, 3, 258),
+         TL.Setting(4, 16, 0.01, 1, 51))
+
+
+def q_train_sweep(spark, sf):
+    """Four settings trained at once, all versions of each."""
+    e = Emb(spark, sf)
+    start = None
+    for k in SWEEP:
+        w = W.stack(W.init_coo(spark, e.net.n_in, k.n_hidden, W_XH_COEF),
+                    W.init_coo(spark, k.n_hidden, e.classes, W_HO_COEF)).drop("iter")
+        w = W.tag(w, w_id=k.w_id)
+        start = w if start is None else start.unionByName(w)
+    return finish(TL.train_sweep(e.x, e.y, start, SWEEP, e.net.n_in, e.classes))
+
+
+BATCH = 130                    # does not divide the rows; with the wrap below
+BATCH_STEPS = 6
+
+
+def q_train_minibatch(spark, sf):
+    """Sliding batches, past the last one to the first again."""
+    e = Emb(spark, sf)
+    return finish(MB.train_minibatch(MB.ExampleStore(e.x, e.y, BATCH), e.w0, e.net, MEAN_LR, BATCH_STEPS))
+
+
+LINE_NUMBERS = 7
+
+
+def _sparse_lineitem(spark, sf) -> tuple[DataFrame, DataFrame, Net]:
+    """Eight features of which seven are a one-hot line number: mostly zeros."""
+    li = R.assign_ids(TB.lineitem_raw(spark, sf), TB.LINEITEM_KEY, "id")
+    wide = li.select("id", "species", F.array(
+        *[(F.col("l_linenumber") == k).cast("double") for k in range(1, LINE_NUMBERS + 1)],
+        F.col("l_quantity") / 50.0).alias("x"))
+    x = R.vector_to_coo(wide, "x", "id")
+    return x, R.one_hot_coo(wide, "species", IRIS_C, id_col="id"), Net(LINE_NUMBERS + 1, H, IRIS_C)
+
+
+def q_train_sparse_lineitem(spark, sf):
+    """Training on stored non-zero cells only."""
+    x, y, net = _sparse_lineitem(spark, sf)
+    w0 = W.stack(W.init_coo(spark, net.n_in, H, W_XH_COEF), W.init_coo(spark, H, IRIS_C, W_HO_COEF)).drop("iter")
+    with loop_settings(spark):
+        x, y = (R.partition_examples(c).persist() for c in (x.where("v <> 0"), y))
+    out = train_relational(x, y, w0, net, LR, 2, reduction="mean", sparse=True)
+    x.unpersist()
+    y.unpersist()
+    return finish(out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -104,10 +104,10 @@ def slope(v: str, preset: str) -> str:
     return f"(1.0 - {v} * {v})" if preset == "tanh_softmax" else f"({v} * (1.0 - {v}))"
 
 
-def passed(net: str, preset: str = "sigmoid", extra: str = "") -> str:
+def passed(net: str, preset: str = "sigmoid", extra: str = "", rows: str = "ex") -> str:
     """Each example with its hidden values ``a`` and output values ``o``."""
     return (f"SELECT *, {scores_of(preset)} AS o FROM (SELECT {extra}i, x, y, cls, u1, u2, {hidden_of(preset)} AS a "
-            f"FROM ex, {net})")
+            f"FROM {rows}, {net})")
 
 
 def errors(source: str, preset: str = "sigmoid") -> str:
@@ -141,13 +141,15 @@ def folded_net(weights: str) -> str:
             f"FROM ({cols})")
 
 
-def descent(steps: int, lr: float, hidden: int, preset: str = "sigmoid", mean: bool = False) -> list[tuple[str, str]]:
-    """Parts up to ``versions`` (iter, id, i, j, v) and ``nets`` (iter, u1, u2)."""
-    rate = f"({real(lr)} / (SELECT count(*) FROM ex))" if mean else real(lr)
+def descent(steps: int, lr: float, hidden: int, preset: str = "sigmoid", mean: bool = False,
+            rows_of=lambda step: "ex") -> list[tuple[str, str]]:
+    """Parts up to ``versions`` (iter, id, i, j, v) and ``nets`` (iter, u1, u2);
+    ``rows_of``: the examples of a step."""
     parts = [("net0", f"SELECT {start_net(str(hidden))} FROM shape"), ("flat0", flat_net("net0"))]
     for k in range(1, steps + 1):
+        rate = f"({real(lr)} / (SELECT count(*) FROM pass{k}))" if mean else real(lr)
         parts += [
-            (f"pass{k}", passed(f"net{k - 1}", preset)), (f"err{k}", errors(f"pass{k}", preset)),
+            (f"pass{k}", passed(f"net{k - 1}", preset, rows=rows_of(k))), (f"err{k}", errors(f"pass{k}", preset)),
             (f"sum{k}", summed(f"err{k}")),
             (f"flat{k}", f"SELECT id, i, j, f.v - {rate} * s.v AS v FROM flat{k - 1} f JOIN sum{k} s USING (id, i, j)"),
             (f"net{k}", folded_net(f"flat{k}"))]

@@ -176,6 +176,25 @@ def build() -> dict[str, str]:
 
     q["train_relational_lineitem"] = query(iris(), VERSIONS)
     q["train_and_score_lineitem"] = query(iris() + [O.scored()], per_step)
+    q["matmul_tiled"], q["matmul_bt_tiled"], q["matmul_at_tiled"] = q["matmul"], q["matmul_bt"], q["matmul_at"]
+    q["train_tiled_lineitem"] = q["train_relational_lineitem"]
+
+    def swept(s) -> str:
+        ex = EMB[1][1] if s.limit is None else f"SELECT * FROM ({EMB[1][1]}) WHERE i < {s.limit}"
+        run = EMB[:1] + [("ex", ex)] + O.descent(s.steps, s.lr, s.n_hidden)
+        return f"SELECT {big(str(s.w_id), 'w_id')}, * FROM ({query(run, VERSIONS)})"
+
+    q["train_sweep"] = " UNION ALL ".join(map(swept, K.SWEEP))
+    batch = lambda step: (f"(SELECT * FROM ex WHERE (i - 1) // {K.BATCH} = {step - 1} % (SELECT "
+                          f"CAST(ceil(max(i) / {K.BATCH}.0) AS BIGINT) FROM ex))")
+    q["train_minibatch"] = query(EMB + O.descent(K.BATCH_STEPS, K.MEAN_LR, K.H, "sigmoid", True, batch), VERSIONS)
+    numbers = [f"CAST(l_linenumber = {k} AS INT)::DOUBLE" for k in range(1, K.LINE_NUMBERS + 1)]
+    wide8 = (f"SELECT row_number() OVER (ORDER BY {O.LINEITEM_ORDER}) AS i, [{', '.join(numbers)}, "
+             f"CAST(l_quantity AS DOUBLE) / 50] AS x, {O._CLASS} AS species FROM lineitem")
+    one_hot = each("range(c)", "k", "CAST(k = species AS INT)::DOUBLE")
+    eight = [("shape", f"SELECT {K.LINE_NUMBERS + 1} AS d, {K.IRIS_C} AS c"),
+             ("ex", f"SELECT i, x, {one_hot} AS y, species + 1 AS cls FROM ({wide8}), shape")]
+    q["train_sparse_lineitem"] = query(eight + O.descent(2, K.LR, K.H, "sigmoid", True), VERSIONS)
     q["train_array_lineitem"] = query(iris(K.MEAN_LR, True), VERSIONS)
     q["train_array_lineitem_long"] = query(iris(K.MEAN_LR, True, K.LONG_STEPS), VERSIONS)
     return q

@@ -128,19 +128,26 @@ def step_gradient(x: DataFrame, y: DataFrame, w_xh: DataFrame, w_ho: DataFrame,
     return gradient(x, hidden, hidden_delta(out_err, w_ho, hidden, net), out_err)
 
 
-def update(w: DataFrame, g: DataFrame, lr: float, net: Net, divisor: float = 1.0) -> DataFrame:
+def update(w: DataFrame, g: DataFrame, lr: float, net: Net, divisor: float = 1.0,
+           keep_all: bool = False) -> DataFrame:
     """``w - lr * g / divisor`` joined on (id, i, j).  Inner join as recorded:
-    a weight without a gradient cell does not carry over."""
-    wb = bounded_broadcast(w.select("id", "i", "j", F.col("v").alias("_w")), net.cells)
+    a weight without a gradient cell does not carry over.  ``keep_all``: it
+    does, its gradient is zero (cells that are zero need not be stored)."""
     factor = F.lit(float(lr) / float(divisor))
-    return (g.select("id", "i", "j", F.col("v").alias("_g")).join(wb, ["id", "i", "j"])
-            .select("id", "i", "j", (F.col("_w") - factor * F.col("_g")).alias("v")))
+    key = ["id", "i", "j"]
+    if keep_all:
+        bound = bounded_broadcast(g.select(*key, F.col("v").alias("_g")), net.cells)
+        return w.select(*key, F.col("v").alias("_w")).join(bound, key, "left").select(
+            *key, (F.col("_w") - factor * F.coalesce("_g", F.lit(0.0))).alias("v"))
+    wb = bounded_broadcast(w.select(*key, F.col("v").alias("_w")), net.cells)
+    return (g.select(*key, F.col("v").alias("_g")).join(wb, key)
+            .select(*key, (F.col("_w") - factor * F.col("_g")).alias("v")))
 
 
 # -------------------------------------------------------------------- loop
 def train_relational(x: DataFrame, y: DataFrame, w0: DataFrame, net: Net, lr: float,
                      steps: int, limit: int | None = None, reduction: str = "sum",
-                     n_train: int | None = None) -> DataFrame:
+                     n_train: int | None = None, sparse: bool = False, path: str | None = None) -> DataFrame:
     """Full-batch gradient descent; returns all versions ``(iter, id, i, j, v)``
     for iter 0..steps.
 
@@ -148,26 +155,42 @@ def train_relational(x: DataFrame, y: DataFrame, w0: DataFrame, net: Net, lr: fl
     ``i`` (see ``prepare``).  ``w0`` is the stacked start ``(id, i, j, v)``.
     ``limit`` keeps examples with ``i < limit``.  ``reduction`` "mean" divides
     the gradient by the number of labelled training examples.
+
+    ``sparse``: feature cells that are zero are left out of every product (or
+    need not be there at all) and weights that get no gradient stay; the
+    versions are those of the dense run.  An example needs one feature cell to
+    train.
+
+    ``path``: a folder of the run's own in shared storage.  A later call with it
+    goes on after the last complete step; a half-written step is done again.
     """
     if reduction not in ("sum", "mean"):
         raise ValueError("reduction must be 'sum' or 'mean'")
     spark = x.sparkSession
-    store = VersionStore(spark)
+    store = VersionStore(spark, path=path)
+    done = store.last_step() if path else -1
     with loop_settings(spark):
         x_t = first_rows(x, limit) if limit is not None else x
         divisor = 1.0
-        if reduction == "mean":
+        if reduction == "mean" and done < steps:
             # Only labelled examples train.
             divisor = float(n_train if n_train is not None else
                             x_t.select("i").distinct().join(y.select("i").distinct(), "i", "left_semi").count())
-        w = store.write(0, w0, net.cells)
-        for step in range(1, steps + 1):
+        if sparse:
+            x_t = nonzero(x_t)
+        w = store.write(0, w0, net.cells) if done < 0 else store.read(done)
+        for step in range(max(done, 0) + 1, steps + 1):
             keep: list = []
             g = step_gradient(x_t, y, unstack(w, XH), unstack(w, HO), net, keep)
-            w = store.write(step, update(w, g, lr, net, divisor or 1.0), net.cells)
+            w = store.write(step, update(w, g, lr, net, divisor or 1.0, keep_all=sparse), net.cells)
             for df in keep:
                 df.unpersist()
-    return store.history()
+    return store.history(steps)
+
+
+def nonzero(cells: DataFrame) -> DataFrame:
+    """Sparse storage of a cell table."""
+    return cells.where(F.col("v") != 0)
 
 
 def cells_per_step(history: DataFrame) -> DataFrame:

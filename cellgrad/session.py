@@ -24,6 +24,8 @@ BROADCAST_CAP_CONF = "cellgrad.broadcast.maxBytes"
 DEFAULT_BROADCAST_CAP = 256 * 1024 * 1024
 # Bytes we budget per broadcast cell row (two longs, one double, row overhead).
 CELL_ROW_BYTES = 48
+# What a task of a training loop holds of the examples.
+PARTITION_BYTES = 128 * 1024 * 1024
 
 
 def build_session(master: str | None = None, app: str = "cellgrad",
@@ -131,23 +133,50 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 class VersionStore:
-    """Weight versions ``(iter, id, i, j, v)`` in one shared folder with a
-    sub-folder per step, so a history of any length is read by one scan."""
+    """Weight versions ``(iter, *columns)`` in one shared folder with a
+    sub-folder per step, so a history of any length is read by one scan.
+
+    A step counts once its folder has the marker that the writer leaves when
+    all its files are there.  With a ``path`` of its own a store is found again
+    by a later run: ``last_step`` is the last step up to which all are complete,
+    and a half-written one is written over."""
 
     CELLS = "id long, i long, j long, v double"
+    DONE = "_SUCCESS"
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, columns: str = CELLS, path: str | None = None):
         self.spark = spark
-        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrad/history-{uuid.uuid4().hex}"
+        self.columns = columns
+        self.names = [c.split()[0] for c in columns.split(", ")]
+        self.path = (path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrad/history-{uuid.uuid4().hex}").rstrip("/")
+
+    def _step(self, step: int) -> str:
+        return f"{self.path}/iter={step}"
 
     def write(self, step: int, weights: DataFrame, cells: int) -> DataFrame:
         """``cells``: the model's size, a file for each half million."""
-        weights.select("id", "i", "j", "v").coalesce(-(-cells // 500_000) or 1).write.parquet(f"{self.path}/iter={step}")
-        return self.spark.read.schema(self.CELLS).parquet(f"{self.path}/iter={step}")
+        weights.select(*self.names).coalesce(-(-cells // 500_000) or 1).write.mode("overwrite").parquet(self._step(step))
+        return self.read(step)
+
+    def read(self, step: int) -> DataFrame:
+        return self.spark.read.schema(self.columns).parquet(self._step(step))
+
+    def complete(self, step: int) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{self._step(step)}/{self.DONE}")
+        return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
-    def history(self) -> DataFrame:
-        return self.spark.read.schema(f"{self.CELLS}, iter long").parquet(self.path) \
-            .select("iter", "id", "i", "j", "v")
+    def last_step(self) -> int:
+        """The last step of an unbroken row of complete ones, -1 for none."""
+        step = -1
+        while self.complete(step + 1):
+            step += 1
+        return step
+
+    def history(self, steps: int | None = None) -> DataFrame:
+        """All versions, those up to ``steps`` where it is given."""
+        kept = self.spark.read.schema(f"{self.columns}, iter long").parquet(self.path).select("iter", *self.names)
+        return kept if steps is None else kept.where(F.col("iter") <= steps)
 
 
 def broadcast_cap(spark: SparkSession) -> int:
@@ -167,5 +196,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int,
     return df
 
 
+def partitions_for(rows: int, row_bytes: int, spark: SparkSession) -> int:
+    """Partitions of about ``PARTITION_BYTES`` for a table of known size, as
+    many as the session shuffles into at least."""
+    return max(shuffle_partitions(spark), -(-rows * row_bytes // PARTITION_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
