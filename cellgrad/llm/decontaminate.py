@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrad.session import ship_package
+from cellgrad.llm import text as X
+from cellgrad.session import materialize, ship_package
 
 Q = 10
 RATE = 0.05
@@ -301,9 +302,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                    min_window: int = MIN_WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item found in it: the edits, the item's part
     (in normalised characters) and the document's part (in characters)."""
-    spark = docs.sparkSession
+    return _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")),
+                  benchmark, item_id, item_text, q, rate, min_window, block_chars)
+
+
+def _found(slim: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", q: int = Q,
+           rate: float = RATE, min_window: int = MIN_WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The matches of rows ``(doc_id, text)``; ``doc_id`` may be any long."""
+    spark = slim.sparkSession
     ship_package(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], MATCH)
     for block in _blocks(benchmark, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most block_chars and one item
@@ -324,7 +331,16 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    leaks = contaminations(docs, benchmark, id_col, text_col, **options).select(
-        F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """``docs`` without the documents that hold a benchmark item.
+
+    Whether a row goes depends on its text alone, so rows are told by a
+    64-bit hash of the text (a clash with one of the leaks has a chance of rows x
+    leaks / 2^64): a row without an id, or
+    with the id of another, stays or goes by its own text.  Column names may be
+    any; ``id_col`` is not read."""
+    held = X.Held(docs)
+    text = held(text_col)
+    rows = held.df.withColumn("_h", F.xxhash64(text))
+    hits = _found(rows.select(F.col("_h").alias("doc_id"), text.alias("text")), benchmark, **options)
+    leaks = materialize(hits.select(F.col("doc_id").alias("_h")).distinct(), "leaks")
+    return rows.join(leaks, "_h", "left_anti").select(*held.back())

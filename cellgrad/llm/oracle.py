@@ -50,10 +50,8 @@ worded AS (
   FROM line WHERE trim(x, {WS}) <> ''),
 dup AS (
   SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM worded GROUP BY doc_id),
-size AS (SELECT host, count(DISTINCT t) AS docs FROM worded GROUP BY host),
 common AS (
-  SELECT host, k FROM (SELECT host, k, count(DISTINCT t) AS c FROM worded GROUP BY host, k) JOIN size USING (host)
-  WHERE c > {quality.MIN_DOCS} AND c * 100 > docs * {quality.MAX_SHARE_PCT}),
+  SELECT host, k FROM worded GROUP BY host, k HAVING count(DISTINCT doc_id) > {quality.MIN_DOCS}),
 cut AS (
   SELECT doc_id, count(*) AS n, sum(lw) AS w FROM worded JOIN common USING (host, k) GROUP BY doc_id),
 m AS (
@@ -104,22 +102,19 @@ FROM best WHERE r = 1 AND found >= ceil(n * {license_scan.MIN_CONTAINED})
 """
 
 
+# Rounds after which what is still on its way is below 10^-9 of the seeds.
+ROUNDS = 130
+
+
 def _url_filter() -> str:
     rules = sorted(url_filter.RULES, key=lambda r: (len(r[0]), len(r[1]), r), reverse=True)
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in rules]
     name = " ".join(f"WHEN {f} THEN '{h + p}'" for f, (h, p, _) in zip(fits, rules))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, rules))
     keep, move = 1 - url_filter.DAMPING, url_filter.DAMPING
-    steps = ["r0 AS (SELECT kind, host, seed * %r AS rank FROM seeds)" % keep]
-    for k in range(1, url_filter.ITERATIONS + 1):
-        steps.append(f"""r{k} AS MATERIALIZED (
-  SELECT kind, host, sum(rank) AS rank FROM (
-    SELECT r.kind, s.dst AS host, r.rank * s.p * {move!r} AS rank FROM r{k - 1} r
-    JOIN step s ON s.kind = r.kind AND s.src = r.host
-    UNION ALL SELECT * FROM r0) GROUP BY kind, host)""")
     link = url_filter.LINK.replace("'", "''")
     return rf"""
-WITH cutoff AS (
+WITH RECURSIVE cutoff AS (
   SELECT *, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS tail
   FROM pages),
 placed AS (
@@ -145,9 +140,13 @@ shares AS (
   FROM ruled WHERE host <> '' GROUP BY host),
 seeds AS MATERIALIZED (
   SELECT 0 AS kind, host, t AS seed FROM shares WHERE t > 0 UNION ALL SELECT 1, host, d FROM shares WHERE d > 0),
-{", ".join(steps)},
+moved AS (
+  SELECT 0 AS k, kind, host, seed * {keep!r} AS rank FROM seeds
+  UNION ALL
+  SELECT m.k + 1, m.kind, s.dst, sum(m.rank * s.p * {move!r}) FROM moved m
+  JOIN step s ON s.kind = m.kind AND s.src = m.host WHERE m.k < {ROUNDS} GROUP BY m.k, m.kind, s.dst),
 bad AS (
-  SELECT host FROM r{url_filter.ITERATIONS} GROUP BY host
+  SELECT host FROM moved GROUP BY host
   HAVING round(sum(CASE WHEN kind = 1 THEN rank ELSE -rank END) / {keep!r}, 9) > {url_filter.MARGIN})
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict

@@ -1,20 +1,19 @@
 """Quality rules by cross-document line frequency.
 
 Every normalised line (stripped, A-Z lower-cased, with at least one word) is
-hashed; for each host the distinct documents that hold it are counted, copies
-of one text counting once.  A line held by more than ``min_docs`` documents
-of a host is boilerplate and is removed, whatever the host's size; a given
-``max_share_pct`` of the host's documents has to be exceeded as well, as in the
-query's SQL; a document left with less than ``min_left_pct`` of its words is
-depleted and rejected.  Documents are also
+hashed; for each host the distinct documents that hold it are counted, copies of
+one text each.  A line held by more than ``min_docs`` documents of a host is
+boilerplate and is removed, whatever the host's size; a document left with less
+than ``min_left_pct`` of its words is depleted and rejected.  Documents are also
 rejected by plain measures of their own text (``base_failed``).
 
 Everything is DataFrame functions.  Only hashes, counts and measures are
 shuffled, never texts.
 
 Defined cases: a null text has no words and fails; an empty text likewise;
-rows without a host form one host of their own; repeated rows count once and
-each get the same verdict; an empty table gives an empty result; input columns
+rows without a host form one host of their own; repeated rows (equal id and text;
+rows without an id are told apart by their text) count once and each get the same
+verdict; an empty table gives an empty result; input columns
 named like a result column give way to it.
 """
 
@@ -30,7 +29,6 @@ MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 WINDOW = 8
 MIN_DOCS = 20
-MAX_SHARE_PCT = 10
 MIN_LEFT_PCT = 30
 LINE = ["_host", "_h1", "_h2"]
 
@@ -97,21 +95,15 @@ def _lines(held: X.Held, host_col: str, text_col: str, id_col: str) -> DataFrame
     return lines.select(*ROW, "_pos", h1.alias("_h1"), h2.alias("_h2"), "_lw")
 
 
-def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS,
-                 max_share_pct: int | None = None) -> DataFrame:
-    """(_host, _h1, _h2) of the lines above the limits."""
-    held_by = lines.select(*LINE, "_th").distinct().groupBy(*LINE).agg(F.count("*").alias("_n"))
-    if max_share_pct is None:
-        return held_by.where(F.col("_n") > min_docs).select(*LINE)
-    texts = lines.select("_host", "_th").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    return (held_by.where(F.col("_n") > min_docs).join(texts, "_host")
-            .where(F.col("_n") * 100 > F.col("_docs") * max_share_pct).select(*LINE))
+def common_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(_host, _h1, _h2) of the lines above the limit."""
+    held_by = lines.select(*LINE, "_doc", "_th").distinct().groupBy(*LINE).agg(F.count("*").alias("_n"))
+    return held_by.where(F.col("_n") > min_docs).select(*LINE)
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text",
                   id_col: str = "doc_id",
-                  min_docs: int = MIN_DOCS, max_share_pct: int | None = None,
-                  min_left_pct: int = MIN_LEFT_PCT, clean_text: bool = True) -> DataFrame:
+                  min_docs: int = MIN_DOCS, min_left_pct: int = MIN_LEFT_PCT, clean_text: bool = True) -> DataFrame:
     """``docs`` with the measures, ``n_common_lines`` and ``n_common_words``
     (lines above the limits and their words), ``base_failed`` and ``kept``;
     with ``clean_text`` the common lines are gone from the text."""
@@ -120,7 +112,7 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
     lines = materialize(_lines(held, host_col, text_col, id_col), "quality-lines")
     # Written out, so that its size is known to the planner and the hot lines,
     # which are just these, are a plain join side that can be split.
-    common = materialize(common_lines(lines, min_docs, max_share_pct), "common-lines")
+    common = materialize(common_lines(lines, min_docs), "common-lines")
     hits = (lines.join(common, LINE).dropDuplicates([*ROW, "_pos"])
             .groupBy(*ROW).agg(F.sum("_lw").alias("_cw"), F.collect_list("_pos").alias("_cpos")))
     df = with_measures(_identified(held, host_col, text_col, id_col), text)

@@ -121,6 +121,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str =
                              "_size": (F.octet_length(text) + ROW_BYTES).cast("long")})
     joined = rows.join(at, rows["_id"].eqNullSafe(at["doc_id"]) & (rows["_crc"] == at["text_crc32"])
                        & (rows["_size"] == at["size"]))
-    (joined.select(*held.back(), F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("_slot"))
-     .repartition("shard", F.floor(F.col("_slot") / BUCKET_ROWS)).sortWithinPartitions("shard", "_slot").drop("_slot")
-     .write.partitionBy("shard").parquet(path))
+    placed = joined.repartition(F.col("_at.shard"), F.floor(F.col("_at.slot") / BUCKET_ROWS)) \
+        .sortWithinPartitions("_at.shard", "_at.slot")
+    placed.select(*held.back({}, {"shard": F.col("_at.shard")})).write.partitionBy("shard").parquet(path)

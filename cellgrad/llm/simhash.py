@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrad.llm.components import components
-from cellgrad.llm.text import MAX_LONG
+from cellgrad.llm.text import MAX_LONG, Held
 from cellgrad.session import materialize, ship_package
 
 SHINGLE = 3
@@ -297,14 +297,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component left, the one with the
-    smallest id; of repeats of this row, any one."""
+    smallest id; of several rows with this id and text, the one whose row hash
+    is smallest.  Column names may be any."""
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    keep = (_groups(marked, radius).where("_first").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
+    keep = (_groups(marked, radius).where("_first").groupBy(F.col("doc_id").alias("_kid"), F.col("text_hash").alias("_kth"))
             .agg(F.count("*").alias("_rows")))
     keep = materialize(keep, "kept-ids")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_th"))
-    stay = docs.join(keep.where("_rows = 1"), same, "left_semi")
+    held = Held(docs)
+    rows = held.df.withColumns({"_id": held(id_col).cast("long"), "_th": F.xxhash64(held(text_col))})
+    same = F.col("_id").eqNullSafe(F.col("_kid")) & (F.col("_th") == F.col("_kth"))
+    stay = rows.join(keep.where("_rows = 1"), same, "left_semi").select(*held.df.columns)
     if not keep.where("_rows > 1").isEmpty():
-        again = docs.join(keep.where("_rows > 1"), same, "left_semi")
-        stay = stay.unionByName(again.dropDuplicates([id_col, text_col]))
-    return stay
+        again = rows.join(keep.where("_rows > 1"), same, "left_semi")
+        hashable = [c for c, t in held.df.dtypes if not t.startswith(("map", "variant"))]
+        one = again.groupBy("_id", "_th").agg(F.min_by(F.struct(*held.df.columns), F.xxhash64(*hashable)).alias("_one"))
+        stay = stay.unionByName(one.select("_one.*"))
+    return stay.select(*held.back())

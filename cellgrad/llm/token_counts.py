@@ -1,7 +1,10 @@
 """Token counts of a unigram tokenizer, without building the tokens.
 
-The text is cut at spaces; each piece, with a leading space mark, is segmented
-on its own.  An Aho-Corasick automaton enumerates the vocabulary entries that
+Spaces become marks, and a text that does not begin with one gets one.  The text
+is searched whole; it is cut only where that cannot matter: before a mark that
+follows another character, if no entry goes across such a place and the mark is
+an entry itself.  A run of marks stays with the word behind it, so entries of
+several marks match.  An Aho-Corasick automaton enumerates the vocabulary entries that
 end at each character; dynamic programming carries, for each end, the best
 score and the number of pieces on the way there.  Ties follow the tokenizer:
 candidates for an end are met from the longest entry to the shortest and only
@@ -14,12 +17,14 @@ Counts of short pieces are kept in a bounded table per worker, since words
 repeat; nothing is shuffled and the vocabulary is the only thing broadcast.
 
 Defined cases: null and empty texts have no tokens; a text of spaces has a
-token for each mark; repeated rows each get a row; an empty table gives an
+token for each piece of marks; a long text without spaces is one piece, whose
+lists take some 100 bytes a character; repeated rows each get a row; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -29,6 +34,7 @@ from pyspark.sql import functions as F
 from cellgrad.session import ship_package
 
 MARK = "▁"
+PIECES = re.compile(f"{MARK}+[^{MARK}]*")
 UNKNOWN = 10.0
 TABLE_ENTRIES = 200_000
 TABLE_CHARS = 48
@@ -55,6 +61,8 @@ class Counter:
         entries = {entry for entry, _ in vocabulary}
         self.bytes_known = all(f"<0x{b:02X}>" in entries for b in range(256))
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN
+        self.cut = MARK in entries and not any(
+            b == MARK != a for entry in entries for a, b in zip(entry, entry[1:]))
         self.table: dict[str, tuple[int, float]] = {}
 
     def best(self, piece: str) -> tuple[int, float]:
@@ -88,7 +96,7 @@ class Counter:
     def of(self, piece: str) -> tuple[int, float]:
         got = self.table.get(piece)
         if got is None:
-            got = self.best(MARK + piece)
+            got = self.best(piece)
             if len(piece) <= TABLE_CHARS and len(self.table) < TABLE_ENTRIES:
                 self.table[piece] = got
         return got
@@ -97,9 +105,10 @@ class Counter:
         """(tokens, score) of a text."""
         if not text:
             return 0, 0.0
-        pieces = text.replace(MARK, " ").split(" ")
-        if not pieces[0]:
-            pieces = pieces[1:]  # a text that begins with a mark gets no second one
+        marked = text.replace(" ", MARK)
+        if not marked.startswith(MARK):
+            marked = MARK + marked
+        pieces = PIECES.findall(marked) if self.cut else [marked]
         total, score = 0, 0.0
         for n, s in map(self.of, pieces):
             total += n

@@ -17,9 +17,9 @@ Edges: hyperlinks (absolute or protocol-relative href / src) between different
 hosts, weighted by the number of pages that link, and the ties of the host
 hierarchy (a host and its parent domain, both ways, weight 1), down to two
 labels.  Edges, ranks and seeds stay in Spark; an iteration is one join on the
-source host and one pre-aggregated sum, written to the shared checkpoint
-folder.  ``iterations`` None goes on until no score can still move by
-``TOLERANCE``; the default is the number of rounds that the query's SQL runs.
+source host and one pre-aggregated sum, ``ROUNDS_PER_WRITE`` of them a job whose
+ranks are written to the shared checkpoint folder.  It goes on until no score can
+still move by ``TOLERANCE``; ``iterations`` stops after a number of rounds.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is allowed (no host, no evidence); null html has no links; repeated rows count
@@ -30,8 +30,6 @@ way to it.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +45,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DAMPING = 0.85
-# Rounds of the query's SQL, which op10_url_filter has to equal.
-ITERATIONS = 8
+ROUNDS_PER_WRITE = 8
 # How far a score may be from the converged one (1: a fully seeded host).
 TOLERANCE = 1e-6
 MARGIN = 0.5
@@ -112,7 +109,7 @@ def host_edges(pages: DataFrame, html_col: str = "html", id_col: str = "page_id"
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
-              iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+              iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of every kind at once.
 
     ``edges``: (kind, src, dst, weight); ``seeds``: (kind, host, seed).  The
@@ -120,33 +117,37 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING,
     rank that reaches a host without out-edges stays there unspent.  Seeds are
     not normalised, so one fully seeded host alone ranks 1 - damping.
 
-    With ``iterations`` None, until converged: ranks only grow from round to
-    round and a round hands on at most ``damping`` times the last one's growth,
-    so all that is still to come to any host is bounded by the growth of the
-    sum of ranks, the one number the driver reads per round."""
+    Until converged: ranks only grow from round to round and a round hands on at
+    most ``damping`` times the last one's growth, so all that is still to come to
+    any host is bounded by the growth of the sum of ranks over the last rounds,
+    the one number the driver reads per job."""
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("_total"))
     step = materialize(edges.join(out, ["kind", "src"])
                        .select("kind", "src", "dst", (F.col("weight") / F.col("_total")).alias("p")), "host-edges")
     seeds = materialize(seeds.where(F.col("seed") > 0), "host-seeds")
     base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    total = lambda ranks: ranks.agg(F.sum("rank")).first()[0] or 0.0
-    rank, before = base, None if iterations is not None else total(base)
-    enough = tolerance * (1 - damping) ** 2 / damping
-    for _ in itertools.count() if iterations is None else range(iterations):
-        moved = (rank.withColumnRenamed("host", "src").join(step, ["kind", "src"])
-                 .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank")))
-        rank = materialize(moved.unionByName(base).groupBy("kind", "host")
-                           .agg(F.sum("rank").alias("rank")), "host-ranks")
-        if iterations is None:
-            now = total(rank)
-            if now - before <= enough:
-                break
-            before = now
+    rank, left, before = base, iterations, 0.0
+    while left is None or left > 0:
+        rounds = ROUNDS_PER_WRITE if left is None else min(left, ROUNDS_PER_WRITE)
+        for _ in range(rounds):
+            moved = (rank.withColumnRenamed("host", "src").join(step, ["kind", "src"])
+                     .select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p") * damping).alias("rank")))
+            rank = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = materialize(rank, "host-ranks")
+        if left is not None:
+            left -= rounds
+            continue
+        now = rank.agg(F.sum("rank")).first()[0] or 0.0
+        # Each later job adds at most damping^rounds of what this one has added.
+        shrink = damping ** rounds
+        if (now - before) * shrink / (1 - shrink) <= tolerance * (1 - damping):
+            break
+        before = now
     return rank
 
 
 def host_scores(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
-                damping: float = DAMPING, iterations: int | None = ITERATIONS) -> DataFrame:
+                damping: float = DAMPING, iterations: int | None = None) -> DataFrame:
     """(host, trust, distrust) of every host reached, from ``judged`` pages."""
     edges = materialize(host_edges(pages, html_col, id_col), "host-links")
     seeds = (pages.where(F.col("host") != "").groupBy("host")
@@ -165,9 +166,8 @@ def host_scores(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url_col: str = "url",
                html_col: str = "html", id_col: str = "page_id", margin: float = MARGIN,
-               damping: float = DAMPING, iterations: int | None = ITERATIONS) -> DataFrame:
-    """``pages`` with host, path, rule (null if none fits) and verdict;
-    ``iterations`` None judges by converged ranks."""
+               damping: float = DAMPING, iterations: int | None = None) -> DataFrame:
+    """``pages`` with host, path, rule (null if none fits) and verdict."""
     pages = judged(pages, rules, url_col)
     scores = host_scores(pages, html_col, id_col, damping, iterations)
     bad = materialize(scores.where(F.round(F.col("distrust") - F.col("trust"), 9) > margin)

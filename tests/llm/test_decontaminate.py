@@ -106,7 +106,7 @@ def test_odd_and_empty_rows(spark, odd, empty):
     assert left.columns == odd.columns
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in left.collect()) == sorted(
         (r["doc_id"] or -1, r["text"] or "") for r in odd.collect()
-        if "common footer" not in (r["text"] or "").lower() and r["doc_id"] is not None)
+        if "common footer" not in (r["text"] or "").lower())
     assert D.contaminations(empty, bench).collect() == []
     assert D.contaminations(odd, bench.where("false")).collect() == []
     assert D.decontaminate(odd, bench.where("false")).count() == odd.count()
@@ -124,3 +124,17 @@ def test_a_partial_passage_of_a_long_item_is_found(size):
         assert [m[0] for m in got] == [7] and got[0][3] - got[0][2] >= 200
         assert index.matches(f"{words(80)} {changed(rng, passage, 4)} {words(40)}")
         assert index.matches(f"{words(80)} {passage[:150]} {words(40)}") == []
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards box with liquor jugs in the evening"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = "an entirely different text about gardens and rivers that shares nothing with any question at all"
+    rows = [(None, "see: " + item, 1, "a", 0), (None, clean, 2, "b", 0), (7, item + " indeed", 3, "c", 0),
+            (7, clean, 4, "d", 0), (8, None, 5, "e", 0), (9, clean, 6, "f", 0), (9, clean, 6, "f", 0), (None, None, 7, "g", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _leak long, _h string, _c0 long")
+    got = D.decontaminate(docs, bench)
+    assert got.columns == docs.columns
+    assert sorted(r["_leak"] for r in got.collect()) == [2, 4, 5, 6, 6, 7]
+    assert D.decontaminate(docs.where("false"), bench).collect() == []
+    assert D.decontaminate(docs, bench.where("false")).count() == 8

@@ -20,24 +20,21 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def quality(rows):
     hosts = {}
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
-    for _, t, s in rows:
-        texts, held = hosts.setdefault(s, (set(), {}))
-        texts.add(t)
+    for i, t, s in rows:
+        held = hosts.setdefault(s, {})
         for x in t.split("\n"):
             if WORD.search(x):
-                held.setdefault(key(x), set()).add(t)
+                held.setdefault(key(x), set()).add(i)
     out = {}
     for i, t, s in rows:
-        texts, held = hosts[s]
-        texts = {x for x in texts if WORD.search(x)}
+        held = hosts[s]
         words = WORD.findall(t)
         wins = {}
         for k in range(len(words) - 7):
             wins.setdefault(tuple(words[k:k + 8]), []).append(k)
         rep = {p for ks in wins.values() if len(ks) > 1 for k in ks for p in range(k, k + 8)}
         lines = t.split("\n")
-        common = [k for k, x in enumerate(lines) if WORD.search(x) and len(held[key(x)]) > Q.MIN_DOCS
-                  and 100 * len(held[key(x)]) > Q.MAX_SHARE_PCT * len(texts)]
+        common = [k for k, x in enumerate(lines) if WORD.search(x) and len(held[key(x)]) > Q.MIN_DOCS]
         cut = sum(len(WORD.findall(lines[k])) for k in common)
         left = len(words) - cut
         if len(words) < 20 or 100 * len(rep) > 30 * len(words):

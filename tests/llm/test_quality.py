@@ -14,11 +14,15 @@ def test_depleted_documents_go_and_common_lines_are_cut(spark):
     assert got[102]["kept"]
 
 
-def test_copies_of_a_text_count_once(spark):
+def test_documents_count_and_repeated_rows_do_not(spark):
     text = " ".join(f"t{j}" for j in range(40))
-    rows = [(k, text, "hub") for k in range(60)] + [(100, " ".join(f"u{j}" for j in range(40)), "hub")]
+    other = " ".join(f"u{j}" for j in range(40))
+    rows = [(k, text, "hub") for k in range(21)] + [(100, other, "hub")] * 30 + [(None, other + " x", "hub")] * 30
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    assert got.where("kept and n_common_lines = 0").count() == 61
+    assert got.where("doc_id < 21 and n_common_lines = 1 and not kept").count() == 21
+    assert got.where("kept and n_common_lines = 0").count() == 60
+    got = quality_rules(spark.createDataFrame(rows[1:], "doc_id long, text string, source string"))
+    assert got.where("kept and n_common_lines = 0").count() == 80
 
 
 def test_odd_and_empty_rows(odd, empty):

@@ -55,3 +55,10 @@ def test_written_shards_hold_every_row(spark, odd, tmp_path):
     got = spark.read.parquet(path)
     assert got.columns == [*odd.drop("kept").columns, "shard"]
     assert sorted(map(repr, got.drop("shard").collect())) == sorted(map(repr, odd.drop("kept").collect()))
+
+
+def test_clashing_names_are_written(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", f"s{k}", k) for k in range(50)], "doc_id long, text string, shard string, _slot long")
+    write_shards(docs, str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 50 and {r["shard"] for r in back.collect()} == {0, 1, 2} and "_slot" in back.columns

@@ -120,3 +120,12 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs001, rows001, odd):
         [(k, plain_fingerprint(x)) for k, x in rows]) if f == f"{plain_fingerprint(t):016x}"}
     assert sorted((i for i, _ in kept), key=str) == sorted(set(groups.values()), key=str) and len(set(kept)) == len(kept)
     assert S.near_dedup(docs001.where(F.lit(False))).collect() == []
+
+
+def test_near_dedup_keeps_the_same_row_under_any_partitioning(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, text, f"src{k}", k, {"a": k}) for k in range(6)] + [(None, "other words entirely here", "x", 9, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _th long, _kid map<string,long>")
+    kept = {tuple((r["doc_id"], r["_id"]) for r in S.near_dedup(docs.repartition(n)).orderBy("_id").collect()) for n in (1, 3, 8)}
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+    assert S.near_dedup(docs).columns == docs.columns

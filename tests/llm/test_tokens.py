@@ -11,7 +11,7 @@ from cellgrad.llm.queries import BYTE_RANKS, UNIGRAM_VOCABULARY
 
 def reference(vocabulary, byte_fallback):
     t = Tokenizer(models.Unigram(list(vocabulary), unk_id=0, byte_fallback=byte_fallback))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=T.MARK, prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=T.MARK, prepend_scheme="always", split=False)
     t.decoder = decoders.ByteFallback()
     return t
 
@@ -39,10 +39,20 @@ def test_ties_and_unknowns_equal_the_tokenizer(fallback):
         vocab = list(entries.items())
         ref, own = reference(vocab, fallback), T.Counter(vocab)
         for _ in range(40):
-            text = "".join(rng.choice("aabbé c\n") for _ in range(rng.randrange(0, 14)))
+            text = "".join(rng.choice("aabbé  c\n") for _ in range(rng.randrange(0, 14)))
             assert own.count(text)[0] == len(ref.encode(text, add_special_tokens=False).ids), (vocab, text)
 
 
+def test_runs_of_spaces_equal_the_tokenizer(vocabulary):
+    ref, own = reference(vocabulary, True), T.Counter(vocabulary)
+    assert own.cut
+    texts = [" " * 8 + "return the value", "a" + " " * 5 + "b", "  ", " ", "x  y   z    ", "\n    if a:\n        b = 1",
+             "wordwithoutspaces" * 300, "▁▁ a ▁", "tab\t  two"]
+    for text in texts:
+        assert own.count(text)[0] == len(ref.encode(text, add_special_tokens=False).ids), text
+    assert own.count(" " * 8 + "return the value")[0] == 8  # 15 when cut at every space
+
+
 def test_odd_counts(odd, empty, vocabulary):
     got = T.token_counts(odd, vocabulary)
     assert got.columns == ["doc_id", "n_tokens", "score"] and got.count() == odd.count()
