@@ -128,7 +128,7 @@ def matrix_avg(df: DataFrame, mat_col: str, by: Sequence[str] = ()) -> DataFrame
     present = F.transform(flat, lambda c: c.isNotNull().cast("double"))
     filled = F.transform(flat, lambda c: F.coalesce(c.cast("double"), F.lit(0.0)))
     shape = F.transform(mat_col, lambda r: F.size(r))
-    rows = df.where(F.col(mat_col).isNotNull() & F.forall(mat_col, lambda r: r.isNotNull()))
+    rows = df.where(F.forall(mat_col, lambda r: r.isNotNull()) & (F.size(flat) > 0))
     sums = rows.groupBy(*by, shape.alias("_shape")).agg(
         Summarizer.sum(array_to_vector(filled)).alias("_s"), Summarizer.sum(array_to_vector(present)).alias("_n"))
     places = F.flatten(F.transform("_shape", lambda n, r: F.transform(
