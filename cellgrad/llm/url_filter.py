@@ -45,9 +45,9 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DAMPING = 0.85
-ROUNDS_PER_WRITE = 8
+ROUNDS_PER_WRITE = 4
 # How far a score may be from the converged one (1: a fully seeded host).
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 MARGIN = 0.5
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
