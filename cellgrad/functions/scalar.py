@@ -66,3 +66,16 @@ def register_sql_functions(spark: SparkSession) -> None:
               "RETURN a * (1.0D - a)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION d_tanh(a DOUBLE) RETURNS DOUBLE "
               "RETURN 1.0D - a * a")
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """SQL-body table functions for index grids, for use in SQL text:
+    ``LATERAL index_row(n)`` gives j in 1..n per row, ``index_grid(r, c)`` all
+    (i, j) with i in 1..r and j in 1..c; none where a bound is null or below
+    one.  They inline into a generator: no join, no exchange."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION index_row(n BIGINT) RETURNS TABLE (j BIGINT) "
+              "RETURN SELECT explode(CASE WHEN n > 0 THEN sequence(1L, n) END)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION index_grid(r BIGINT, c BIGINT) "
+              "RETURNS TABLE (i BIGINT, j BIGINT) RETURN SELECT k.i, k.j FROM (SELECT explode("
+              "CASE WHEN r > 0 AND c > 0 THEN transform(sequence(0L, r * c - 1), "
+              "k -> struct(k div c + 1 AS i, k % c + 1 AS j)) END) AS k)")

@@ -11,6 +11,7 @@ is covered by the tests and by the ``row_limit_filter`` operator).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellgrad.functions import arrays as A
-from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF, register_sql_functions, sigmoid, tanh
+from cellgrad.functions.scalar import (
+    W_HO_COEF, W_XH_COEF, register_sql_functions, register_table_functions, sigmoid, tanh)
 from cellgrad.operators import coo
 from cellgrad.operators import reshape as R
 from cellgrad.operators import tiles as TI
@@ -26,11 +28,15 @@ from cellgrad.operators import weights as W
 from cellgrad.plans import arrays as AP
 from cellgrad.plans import evaluate as E
 from cellgrad.plans import minibatch as MB
+from cellgrad.plans import script as SC
 from cellgrad.plans import tiled as TL
 from cellgrad.plans.relational import (
     Net, cells_per_step, distinct_steps, forward, gradient, hidden_delta, loss_gradient,
     output_delta, train_relational, update)
-from cellgrad.session import loop_settings
+from cellgrad.session import ensure_checkpoint_dir, loop_settings, materialize
+from cellgrad.sources import buckets as BK
+from cellgrad.sources import files as FI
+from cellgrad.sources import models as MO
 from cellgrad.sources import tables as TB
 
 # Fixed parameters of the checked fixtures; feature and class counts are read
@@ -720,6 +726,157 @@ def q_train_sparse_lineitem(spark, sf):
     return finish(out)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder of a query's own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrad/{name}-{uuid.uuid4().hex}"
+
+
+def _csv_round_trip(spark, sf, header: bool) -> DataFrame:
+    li = TB.lineitem_raw(spark, sf)
+    flat = li.select(*[F.col(src).cast("double").alias(c) for c, (_, src, _, _) in zip(FI.IRIS_COLUMNS, TB.LINEITEM_FEATURES)],
+                     F.col("species").cast("int").alias(FI.IRIS_LABEL))
+    path = _folder(spark, "csv")
+    FI.write_features(flat, path, header=header)
+    back = FI.read_features(spark, path, FI.iris_schema(), header=header)
+    return finish(back.groupBy(FI.IRIS_LABEL).agg(F.count("*").alias("n_rows"), *[
+        F.sum(c).alias(c) for c in FI.IRIS_COLUMNS], *[F.max(c).alias(f"max_{c}") for c in FI.IRIS_COLUMNS]))
+
+
+def q_scan_csv_header(spark, sf):
+    """All lineitem rows written as CSV files with headers and scanned again."""
+    return _csv_round_trip(spark, sf, True)
+
+
+def q_scan_csv_plain(spark, sf):
+    """The same without headers."""
+    return _csv_round_trip(spark, sf, False)
+
+
+def q_scan_csv_wide(spark, sf):
+    """The embeddings as wide CSV rows, label first, to cells."""
+    e = Emb(spark, sf)
+    schema = FI.mnist_schema(e.net.n_in)
+    pixels = schema.names[1:]
+    path = _folder(spark, "csv")
+    FI.write_features(e.ex.select(F.col("label").cast("double").alias("label"),
+                                  *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(pixels)]), path, header=False)
+    back = FI.read_features(spark, path, schema, header=False)
+    packed = back.select("label", A.pack(pixels).alias("x"))
+    return finish(R.matrix_avg(packed.select("label", F.array("x").alias("m")), "m", ["label"])
+                  .select("label", "j", "v"))
+
+
+def _log_run(hist: DataFrame, name: str, lr: float) -> DataFrame:
+    """Log lines of a scored run, a version each."""
+    share = hist.groupBy("id").agg((F.sum(F.when(F.col("correct"), F.col("count")).otherwise(0)) / F.sum("count")).alias("hit"))
+    return share.select(F.concat_ws(",", F.lit(name), F.lit(H), F.lit(0), F.lit(lr), F.col("id").cast("string"), F.lit(0.5),
+                                    F.col("hit").cast("string")).alias("line"))
+
+
+def q_merge_result_logs(spark, sf):
+    """Two trained and scored runs logged by two writers, one file with a header
+    per run and a line that was cut off; scanned, told apart and merged."""
+    e = Emb(spark, sf)
+    runs = []
+    for net, lr in ((e.net, MEAN_LR), (e.net_ts, ARRAY_LR)):
+        hist = AP.train_array(e.vectors(), e.w0, net, lr, STEPS, TRAIN_LIMIT, "mean")
+        runs.append(materialize(AP.score_history(e.vectors(), hist, net, STEPS + 1), "scored"))
+    columns = FI.RESULT_LOG_COLUMNS + ["accuracy"]
+    head = spark.range(1).select(F.lit(",".join(columns)).alias("line"))
+    cut = spark.range(1).select(F.lit("cellgrad-sigmoid,8,").alias("line"))
+    other = spark.range(1).select(F.lit("Operator,atts,size,lr,iter,execution_time,accuracy").alias("line"))
+    first, second = _log_run(runs[0], "cellgrad-sigmoid", MEAN_LR), _log_run(runs[1], "cellgrad-softmax", ARRAY_LR)
+    paths = _folder(spark, "log"), _folder(spark, "log")
+    # A line per version: one file each, as a writer on one machine leaves it.
+    head.union(first).union(head).union(cut).coalesce(1).write.text(paths[0])
+    other.union(second).coalesce(1).write.text(paths[1])
+    scans = [FI.scan_log(spark, p, columns) for p in paths]
+    counts = FI.log_counts(scans[0].unionByName(scans[1])).agg(F.sum("headers").alias("h"), F.sum("bad").alias("b"))
+    counts = materialize(counts, "log-counts")
+    return finish(FI.merge_scans(scans, ["accuracy"]).select(
+        "name", "atts", F.col("limit").alias("row_limit"), "lr", "iter", "accuracy",
+        counts.select("h").scalar().alias("headers"), counts.select("b").scalar().alias("bad_lines")))
+
+
+# Models of a store: one append each, a region's key as the wanted id.
+STORED = (TL.Setting(1, H, 0.01, 2), TL.Setting(2, 4, 0.02, 1), TL.Setting(3, 16, 0.005, 1))
+WANTED = ("AMERICA", "EUROPE")
+
+
+def stored_models(spark, e: Emb, path: str) -> MO.ModelStore:
+    """``STORED`` trained on the embeddings in one sweep and appended, each
+    twice (the repeat adds nothing)."""
+    start = None
+    for k in STORED:
+        w = W.tag(W.stack(W.init_coo(spark, e.net.n_in, k.n_hidden, W_XH_COEF),
+                          W.init_coo(spark, k.n_hidden, e.classes, W_HO_COEF)).drop("iter"), w_id=k.w_id)
+        start = w if start is None else start.unionByName(w)
+    hist = materialize(TL.train_sweep(e.x, e.y, start, STORED, e.net.n_in, e.classes), "sweep")
+    store = MO.ModelStore(spark, path)
+    for k in (*STORED, *STORED):
+        last = hist.where((F.col("w_id") == k.w_id) & (F.col("iter") == k.steps)).drop("iter")
+        store.append(last, f"model-{k.w_id}")
+    return store
+
+
+def wanted_regions(spark, sf) -> DataFrame:
+    regions = TB.table(spark, sf, "region").where(F.col("r_name").isin(*WANTED))
+    return regions.select(F.col("r_regionkey").cast("long").alias("w_id"))
+
+
+def q_score_wanted_models(spark, sf):
+    """Models trained on the embeddings, kept in a store, and those that the
+    region table asks for scored on all examples."""
+    e = Emb(spark, sf)
+    kept = stored_models(spark, e, _folder(spark, "models")).wanted(wanted_regions(spark, sf))
+    xh, ho = (kept.where(F.col("id") == m).select("w_id", "i", "j", "v") for m in (0, 1))
+    return finish(E.predict_models(e.x, xh, ho, e.net.n_in, [k.n_hidden for k in STORED], e.classes))
+
+
+def _bucketed(spark, e: Emb) -> tuple[DataFrame, DataFrame]:
+    n = BK.buckets_for(e.x.count(), spark)
+    out = []
+    for cells in (e.x, e.y):
+        name = f"cellgrad_cells_{uuid.uuid4().hex}"
+        out.append(BK.write_cells(cells, _folder(spark, "cells"), name, n))
+        spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return out[0], out[1]
+
+
+def q_hadamard_bucketed(spark, sf):
+    x, _ = _bucketed(spark, Emb(spark, sf))
+    with loop_settings(spark):
+        return finish(materialize(coo.hadamard(x, x), "hadamard"))
+
+
+def q_gradient_bucketed(spark, sf):
+    e = Emb(spark, sf)
+    e.x, e.y = _bucketed(spark, e)
+    with loop_settings(spark):
+        return finish(materialize(_train_gradient(e), "gradient"))
+
+
+def q_train_script(spark, sf):
+    """The run of ``train_relational`` as one SQL script."""
+    e = Emb(spark, sf)
+    return finish(SC.train_script(e.x, e.y, e.w0, e.net, LR, STEPS))
+
+
+def q_index_grid_sql(spark, sf):
+    """Class positions of every example by a table function in SQL text."""
+    register_table_functions(spark)
+    TB.embedding_examples(spark, sf).createOrReplaceTempView("cg_grid_examples")
+    return finish(spark.sql("SELECT e.i, g.j FROM cg_grid_examples e, LATERAL index_row(e.label + 1) g"))
+
+
+def q_matrix_grid_sql(spark, sf):
+    """All cell positions of each example's features by its class."""
+    register_table_functions(spark)
+    TB.embedding_examples(spark, sf).createOrReplaceTempView("cg_grid_examples")
+    return finish(spark.sql("SELECT g.i, g.j, count(*) AS examples, sum(e.x[CAST(g.i - 1 AS INT)]) AS total "
+                            "FROM cg_grid_examples e, LATERAL index_grid(size(e.x), e.label + 1) g GROUP BY g.i, g.j"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -6,7 +6,8 @@ from cellgrad.functions.scalar import W_HO_COEF, W_XH_COEF
 from cellgrad.plans import catalog as K
 from cellgrad.plans import oracle as O
 from cellgrad.plans.oracle import big, cells, each, logistic, query, r6
-from cellgrad.sources.tables import LINEITEM_KEY
+from cellgrad.sources import files as FI
+from cellgrad.sources.tables import LINEITEM_FEATURES, LINEITEM_KEY
 
 EMB = O.EMBEDDINGS
 NET0 = EMB + [("net", f"SELECT {O.start_net(str(K.H))} FROM shape")]
@@ -197,6 +198,35 @@ def build() -> dict[str, str]:
     q["train_sparse_lineitem"] = query(eight + O.descent(2, K.LR, K.H, "sigmoid", True), VERSIONS)
     q["train_array_lineitem"] = query(iris(K.MEAN_LR, True), VERSIONS)
     q["train_array_lineitem_long"] = query(iris(K.MEAN_LR, True, K.LONG_STEPS), VERSIONS)
+    named = [(c, f"CAST({src} AS DOUBLE)") for c, (_, src, _, _) in zip(FI.IRIS_COLUMNS, LINEITEM_FEATURES)]
+    q["scan_csv_header"] = q["scan_csv_plain"] = (
+        f"SELECT {big(O._CLASS, 'species')}, {big('count(*)', 'n_rows')}, "
+        + ", ".join(f"{r6(f'sum({v})')} AS {c}, {r6(f'max({v})')} AS max_{c}" for c, v in named) + " FROM lineitem GROUP BY 1")
+    q["scan_csv_wide"] = query(EMB, f"SELECT {r6('CAST(cls - 1 AS DOUBLE)')} AS label, {big('j', 'j')}, {r6('avg(v)')} AS v FROM ("
+                               "SELECT cls, generate_subscripts(x, 1) AS j, unnest(x) AS v FROM ex) GROUP BY cls, j")
+
+    def logged(name, lr, preset):
+        run = EMB + O.descent(K.STEPS, lr, K.H, preset, True) + [O.scored(preset)]
+        return query(run, f"SELECT '{name}' AS name, {big(str(K.H), 'atts')}, {big('0', 'row_limit')}, {r6(O.real(lr))} AS lr, "
+                     f"{big('iter', 'iter')}, {r6(f'avg(CAST({O.FIRST_BEST} = cls AS INT))')} AS accuracy, "
+                     f"{big('3', 'headers')}, {big('1', 'bad_lines')} FROM scored GROUP BY iter")
+
+    q["merge_result_logs"] = (f"SELECT * FROM ({logged('cellgrad-sigmoid', K.MEAN_LR, 'sigmoid')}) UNION ALL "
+                              f"SELECT * FROM ({logged('cellgrad-softmax', K.ARRAY_LR, 'tanh_softmax')})")
+
+    def stored(s) -> str:
+        scores = query(EMB + O.descent(s.steps, s.lr, s.n_hidden) + [O.scored()],
+                       cells(f"(SELECT * FROM scored WHERE iter = {s.steps})", "o"))
+        asked = f"{s.w_id} IN (SELECT r_regionkey FROM region WHERE r_name IN ({', '.join(map(repr, K.WANTED))}))"
+        return f"SELECT {big(str(s.w_id), 'w_id')}, * FROM ({scores}) WHERE {asked}"
+
+    q["score_wanted_models"] = " UNION ALL ".join(map(stored, K.STORED))
+    q["hadamard_bucketed"], q["gradient_bucketed"] = q["hadamard"], q["gradient"]
+    q["train_script"] = q["train_relational"]
+    q["index_grid_sql"] = query(EMB, f"SELECT {big('i', 'i')}, {big('unnest(range(1, cls + 1))', 'j')} FROM ex")
+    q["matrix_grid_sql"] = query(EMB, f"SELECT {ij}, {big('count(*)', 'examples')}, {r6('sum(x[i])')} AS total FROM ("
+                                 "SELECT i, x, unnest(range(1, cls + 1)) AS j FROM ("
+                                 "SELECT generate_subscripts(x, 1) AS i, x, cls FROM ex)) GROUP BY i, j")
     return q
 
 

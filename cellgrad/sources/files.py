@@ -83,3 +83,40 @@ def merge_logs(logs: Sequence[DataFrame], min_limit: int | None = None,
                          F.col("execution_time").cast("double"))
         out = log if out is None else out.unionByName(log)
     return out if min_limit is None else out.filter(F.col("limit") >= F.lit(min_limit))
+
+
+def scan_log(spark: SparkSession, path: str, columns: Sequence[str] = RESULT_LOG_COLUMNS) -> DataFrame:
+    """A result log as it lies there, one row per line: the typed columns,
+    ``kind`` (row, header or bad), ``line`` and ``file``.
+
+    Header lines may stand anywhere in a file.  A line with too few or too many
+    fields, or with a field of another type, is bad: its text is in ``line``, its
+    columns are null.  Blank lines are left out."""
+    typed = {f.name: f.dataType for f in result_log_schema().fields}
+    ddl = ", ".join(f"`{c}` {typed.get(c, T.DoubleType()).simpleString()}" for c in columns) + ", `_bad` string"
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    parsed = lines.where(F.trim("line") != "").withColumn(
+        "_row", F.from_csv("line", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    first = F.trim(F.element_at(F.split("line", ","), 1))
+    kind = (F.when(first.isin(LOG_HEADER_NAME, "name"), "header")
+            .when(F.col("_row._bad").isNotNull(), "bad").otherwise("row"))
+    told = parsed.withColumn("kind", kind)
+    return told.select(*[F.when(F.col("kind") == "row", F.col(f"_row.`{c}`")).alias(c) for c in columns],
+                       "kind", "line", "file")
+
+
+def log_counts(scan: DataFrame) -> DataFrame:
+    """Lines per file and kind: ``file, rows, headers, bad``."""
+    return scan.groupBy("file").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(n)
+                                      for k, n in (("row", "rows"), ("header", "headers"), ("bad", "bad"))])
+
+
+def merge_scans(scans: Sequence[DataFrame], keep: Sequence[str] = ()) -> DataFrame:
+    """The rows of several scanned logs (no headers, no bad lines): the six
+    common columns and those of ``keep``, null in a log without them."""
+    out = None
+    for scan in scans:
+        rows = scan.where(F.col("kind") == "row").select(
+            *RESULT_LOG_COLUMNS, *[(F.col(c) if c in scan.columns else F.lit(None).cast("double")).alias(c) for c in keep])
+        out = rows if out is None else out.unionByName(rows)
+    return out
