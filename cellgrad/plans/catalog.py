@@ -223,38 +223,45 @@ def q_init_weights_array(spark, sf):
     return finish(R.matrix_to_coo(models, "m", ["w_id", "id"]))
 
 
+CLASS_MODEL = 3
+
+
+def _products(spark, sf) -> DataFrame:
+    """The cells of xᵀy, a weight matrix that the data give."""
+    e = Emb(spark, sf)
+    return coo.matmul_at(e.x, e.y.select("i", "j", F.col("v").cast("double").alias("v")))
+
+
+def _class_models(spark, sf) -> DataFrame:
+    """A model per class: the mean of x ⊗ y over its examples."""
+    e = Emb(spark, sf)
+    rows = e.ex.select(F.col("label").alias("w_id"), A.outer("x", A.one_hot("label", e.classes)).alias("m"))
+    return R.matrix_avg(rows, "m", ["w_id"])
+
+
 def q_literal_weights(spark, sf):
-    xh, _ = _store(spark, sf, (H,))
-    text = W.matrix_json(R.coo_to_array(xh, ["w_id"]), "m").select("w_id", "text")
-    parsed = W.weights_from_json(text, "text")
-    return finish(R.matrix_to_coo(parsed, "m").select("i", "j", "v"))
+    """The data's matrix xᵀy as literal text and back."""
+    text = W.matrix_json(R.coo_to_array(_products(spark, sf)), "m").select("text")
+    return finish(R.matrix_to_coo(W.weights_from_json(text, "text"), "m").select("i", "j", "v"))
 
 
 def q_append_models(spark, sf):
-    xh, _ = _store(spark, sf, (H,))
-    more, _ = _store(spark, sf, (4, 16))
-    return finish(W.append(xh, more))
+    models = _class_models(spark, sf)
+    return finish(W.append(models.where("w_id < 3"), models.where("w_id >= 3")))
 
 
 def q_select_model(spark, sf):
-    xh, _ = _store(spark, sf)
-    return finish(W.select_model(xh, H))
-
-
-def _data_model(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """The hidden-8 model with its shape read from the data."""
-    xh, ho = _store(spark, sf, (H,))
-    return xh.drop("w_id"), ho.drop("w_id")
+    return finish(W.select_model(_class_models(spark, sf), CLASS_MODEL))
 
 
 def q_tag_weights(spark, sf):
-    xh, _ = _data_model(spark, sf)
-    return finish(W.tag(xh, iter=0, id=0))
+    return finish(W.tag(_products(spark, sf), iter=0, id=0))
 
 
 def q_stack_weights(spark, sf):
-    xh, ho = _data_model(spark, sf)
-    return finish(W.stack(xh, ho))
+    """Both matrices of the data's gradient in one table."""
+    g = _train_gradient(Emb(spark, sf))
+    return finish(W.stack(W.unstack(g, 0), W.unstack(g, 1)))
 
 
 def q_coo_to_array(spark, sf):
@@ -506,10 +513,10 @@ def q_array_softmax(spark, sf):
 
 
 def q_array_mat_mul(spark, sf):
-    """Product of two whole matrices, w_xh · w_ho, mapped cell by cell (× 1)."""
+    """Product of two whole matrices, (xᵀy)ᵀ · w_xh, mapped cell by cell (× 1)."""
     e = Emb(spark, sf)
-    both = R.coo_to_array(e.w_xh).select(F.col("m").alias("a"),
-                                         R.coo_to_array(e.w_ho).select("m").scalar().alias("b"))
+    both = R.coo_to_array(_products(spark, sf)).select(
+        A.mat_t("m").alias("a"), R.coo_to_array(e.w_xh).select("m").scalar().alias("b"))
     out = both.select(A.mat_map(A.mat_mul("a", "b"), lambda t: t * F.lit(1.0)).alias("m"))
     return finish(R.matrix_to_coo(out, "m"))
 

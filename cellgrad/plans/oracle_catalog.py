@@ -41,11 +41,6 @@ def _store(sizes, matrices=(0, 1)) -> list[tuple[str, str]]:
     return EMB[:1] + [("store", " UNION ALL ".join(parts))]
 
 
-def _store_cells(keys: str = "w_id, ") -> str:
-    lead = f"{big('w_id', 'w_id')}, " if keys else ""
-    return f"SELECT {lead}{big('i', 'i')}, {big('j', 'j')}, {r6('v')} AS v FROM store"
-
-
 def _models(preset: str = "sigmoid") -> list[tuple[str, str]]:
     """Every example under the nets of all hidden sizes."""
     nets = " UNION ALL ".join(f"SELECT {h} AS w_id, {O.start_net(str(h))} FROM shape" for h in K.MODEL_SIZES)
@@ -85,12 +80,6 @@ def build() -> dict[str, str]:
     q["series_grid"] = query(EMB, f"SELECT {big('i', 'i')}, {big('unnest(range(1, c + 1))', 'j')} FROM ex, shape")
     q["init_weights"] = q["init_weights_array"] = query(
         _store(K.HIDDEN_SIZES), f"SELECT {big('w_id', 'w_id')}, {IDS}, {r6('v')} AS v FROM store")
-    q["literal_weights"] = query(_store((K.H,), (0,)), _store_cells(""))
-    q["append_models"] = query(_store((K.H, 4, 16), (0,)), _store_cells())
-    q["select_model"] = query(_store(K.HIDDEN_SIZES, (0,)), _store_cells("") + f" WHERE w_id = {K.H}")
-    zero = big("0", "iter")
-    q["tag_weights"] = query(_store((K.H,), (0,)), f"SELECT {zero}, {IDS}, {r6('v')} AS v FROM store")
-    q["stack_weights"] = query(_store((K.H,)), f"SELECT {zero}, {IDS}, {r6('v')} AS v FROM store")
     ij = f"{big('i', 'i')}, {big('j', 'j')}"
     q["coo_to_array"] = q["matmul_at"] = query(EMB + [("g", PRODUCT)], f"SELECT {ij}, {r6('v')} AS v FROM g")
     q["array_transpose"] = query(EMB + [("g", PRODUCT)],
@@ -99,6 +88,12 @@ def build() -> dict[str, str]:
     q["matrix_avg_by_class"] = query(
         EMB + [("g", PRODUCT.replace("GROUP BY r, k", "GROUP BY cls, r, k").replace("SELECT r AS i", "SELECT cls - 1 AS label, r AS i"))],
         f"SELECT {big('label', 'label')}, {ij}, {r6('m')} AS v FROM g")
+    q["literal_weights"] = q["matmul_at"]
+    zero = big("0", "iter")
+    q["tag_weights"] = query(EMB + [("g", PRODUCT)], f"SELECT {zero}, {big('0', 'id')}, {ij}, {r6('v')} AS v FROM g")
+    q["stack_weights"] = query(GRAD, f"SELECT {zero}, {IDS}, {r6('v')} AS v FROM g")
+    q["append_models"] = f"SELECT label AS w_id, i, j, v FROM ({q['matrix_avg_by_class']})"
+    q["select_model"] = f"SELECT i, j, v FROM ({q['matrix_avg_by_class']}) WHERE label = {K.CLASS_MODEL}"
     plain = each("u1", "u", "list_dot_product(x, u)")
     q["matmul"] = q["array_matmul"] = query(NET0 + [("s", f"SELECT i, {plain} AS s FROM ex, net")], cells("s", "s"))
     back = each("range(1, len(u2[1]) + 1)", "k", "list_sum(" + each("range(1, len(y) + 1)", "n", "y[n] * u2[n][k]") + ")")
@@ -122,10 +117,8 @@ def build() -> dict[str, str]:
         GRAD + [("f", O.flat_net("net"))],
         f"SELECT {IDS}, {r6(moved)} AS v FROM f JOIN g USING (id, i, j)")
     q["array_mat_mul"] = query(
-        NET0, f"SELECT {big('i', 'i')}, {big('j', 'j')}, {r6('v')} AS v FROM (SELECT generate_subscripts(m, 1) AS j, "
-        "unnest(m) AS col FROM (SELECT " + each("u2", "w", each(
-            "range(1, len(u1[1]) + 1)", "r", "list_sum(" + each("range(1, len(w) + 1)", "k", "u1[k][r] * w[k]") + ")"))
-        + " AS m FROM net)) t, LATERAL (SELECT generate_subscripts(t.col, 1) AS i, unnest(t.col) AS v)")
+        EMB + [("g", PRODUCT)], f"SELECT {big('g.j', 'i')}, {big('k', 'j')}, "
+        f"{r6('sum(v * (' + O.rule('g.i', 'k', W_XH_COEF) + '))')} AS v FROM g, range(1, {K.H + 1}) t(k) GROUP BY g.j, k")
 
     def trained(lr=K.LR, mean=False, preset="sigmoid", steps=K.STEPS):
         return EMB + O.descent(steps, lr, K.H, preset, mean)
