@@ -29,6 +29,7 @@ named like a result column give way to it.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
@@ -41,9 +42,11 @@ BLOCK_ROWS = 16
 PERIOD = 1000
 
 
-def period_schedule(weights: Mapping[str | None, int]) -> dict:
+def period_schedule(weights: Mapping[str | None, int], blocks: Mapping[str | None, int] | None = None) -> dict:
     """Slots 0..W-1 of one period: source -> list of its slots, ascending.
-    Ties in the deadline go to the source named first in ``weights``."""
+    Ties in the deadline go to the source named first in ``weights``.  With
+    ``blocks``, the schedule ends after the slot in which a source has run all
+    of its blocks, if that is within the period."""
     total = sum(weights.values())
     names = list(weights)
     waiting = [(0, -(-total // weights[s]), i, 1) for i, s in enumerate(names)]  # release, deadline, source, k
@@ -55,31 +58,38 @@ def period_schedule(weights: Mapping[str | None, int]) -> dict:
             _, due, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (due, i, k))
         _, i, k = heapq.heappop(ready)
-        w = weights[names[i]]
-        slots[names[i]].append(t)
+        s, w = names[i], weights[names[i]]
+        slots[s].append(t)
+        if blocks is not None and k == blocks[s]:
+            break
         if k < w:
             heapq.heappush(waiting, (k * total // w, -(-(k + 1) * total // w), i, k + 1))
     return slots
 
 
 def phases(blocks: Mapping[str | None, int], weights: Mapping[str | None, int]) -> list[dict]:
-    """Phases in order, each {start, total, runs: {source: (first block, number
-    of blocks, slots of a period)}}.  A phase ends with the slot in which one
-    of its sources runs out."""
+    """Phases in order, each {start, total, weights, runs: {source: (first block,
+    number of blocks, slots)}}.  A phase ends with the slot in which one of its
+    sources runs out; it holds the slots of one period, or fewer where it is
+    shorter than a period, and only sources that get a block in it."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     out, start = [], 0
     while left:
         w = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        total, slots = sum(w.values()), period_schedule(w)
-        end = min((left[s] - 1) // w[s] * total + slots[s][(left[s] - 1) % w[s]] for s in w) + 1
+        shared = math.gcd(*w.values())
+        w = {s: n // shared for s, n in w.items()}
+        total, slots = sum(w.values()), period_schedule(w, left)
+        end = min((left[s] - 1) // w[s] * total + slots[s][(left[s] - 1) % w[s]]
+                  for s in w if len(slots[s]) == min(w[s], left[s])) + 1
         runs = {}
         for s in w:
             n = end // total * w[s] + sum(x < end % total for x in slots[s])
-            runs[s] = (done[s], n, slots[s])
+            if n:
+                runs[s] = (done[s], n, slots[s][:n])
             done[s] += n
             left[s] -= n
-        out.append({"start": start, "total": total, "runs": runs})
+        out.append({"start": start, "total": total, "weights": w, "runs": runs})
         start += end
         left = {s: n for s, n in left.items() if n > 0}
     return out
@@ -130,12 +140,12 @@ def schedule(df: DataFrame, source: str, order: list[str],
     runs, offsets = [], []
     for p, ph in enumerate(plan):
         for s, (first, n, slots) in ph["runs"].items():
-            runs.append((s, p, first, first + n, ph["start"], ph["total"], len(slots)))
+            runs.append((s, p, first, first + n, ph["start"], ph["total"], ph["weights"][s]))
             offsets += [(s, p, j, t) for j, t in enumerate(slots)]
     runs_df = spark.createDataFrame(runs, "_s string, _phase long, _first long, _end long, _start long, "
                                           "_total long, _w long")
     offsets_df = spark.createDataFrame(offsets, "_s string, _phase long, _j long, _t long")
-    # Sized by sources and period alone; past the cap the joins shuffle.
+    # At most a period per source, and no more than there are blocks; past the cap the joins shuffle.
     runs_df = bounded_broadcast(runs_df, len(runs), 96)
     offsets_df = bounded_broadcast(offsets_df, len(offsets), 64)
     rows = rows.withColumn("_block", F.floor(F.col("_row") / block_rows).cast("long"))

@@ -1,7 +1,10 @@
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
+import pytest
+import xxhash
 
 from cellgrad.llm.sharding import assign_shards, place, write_shards
 
@@ -62,3 +65,58 @@ def test_clashing_names_are_written(spark, tmp_path):
     write_shards(docs, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50 and {r["shard"] for r in back.collect()} == {0, 1, 2} and "_slot" in back.columns
+
+
+def signed(data, seed=42):
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h, h - (1 << 64) if h >> 63 else h
+
+
+def plain_shards(rows, shards, grain=256, split=2, piece=64, weights=(1, Fraction(1, 10), Fraction(1, 10))):
+    """Shard of each row by the stated rules, one row at a time in exact
+    fractions: items are pieces of large groups and bundles of small ones, the
+    largest share goes first, each to the highest dot product."""
+    def size(text):
+        return np.array([len((text or "").encode()) + 8, len((text or "").split()), 1], dtype=object)
+
+    def group(text):
+        null = (text is None).to_bytes(4, "little")
+        first = signed((text or "").encode(), signed(null)[0])[1]
+        second = signed((text or "").encode(), signed(null, signed(b"second")[0])[0])[1]
+        return first, second
+
+    capacity = [Fraction(int(t), shards) for t in sum(size(t) for _, t in rows)]
+    groups = defaultdict(lambda: 0)
+    for _, t in rows:
+        groups[group(t)] = groups[group(t)] + size(t)
+    items, of_row = defaultdict(lambda: 0), []
+    for k, t in rows:
+        g = group(t)
+        share = max(n / c for n, c in zip(groups[g], capacity))
+        if share * grain <= 1:
+            item = (0, g[0] % (shards * grain), 0)
+        else:
+            pieces = -(-share * piece // 1) if share > Fraction(1, split) else 1
+            item = (*g, 1 + signed(k.to_bytes(8, "little", signed=True))[1] % int(pieces))
+        of_row.append(item)
+        items[item] = items[item] + size(t)
+    shares = {i: [n / c for n, c in zip(items[i], capacity)] for i in sorted(items)}
+    residual = [[Fraction(1)] * 3 for _ in range(shards)]
+    at = {}
+    for i in sorted(shares, key=lambda i: (-max(x * w for x, w in zip(shares[i], weights)), -sum(shares[i]), i)):
+        dots = [sum(r * w * x for r, w, x in zip(left, weights, shares[i])) for left in residual]
+        at[i] = dots.index(max(dots))
+        residual[at[i]] = [r - x for r, x in zip(residual[at[i]], shares[i])]
+    return [at[i] for i in of_row]
+
+
+@pytest.mark.parametrize("shards", [3, 8])
+def test_shards_are_those_of_a_plain_placement(spark, shards):
+    # Sizes with no common measure, so that no two dot products are equal;
+    # one group over half a shard, some large ones, many small ones, nulls.
+    rows = [(k, "one text that many hold " * 3) for k in range(0, 400, 2)]
+    rows += [(1000 + k, "w " * (k * k % 89) + "x" * (k * 37 % 1013)) for k in range(300)]
+    rows += [(2000 + k, f"large group {k % 3} " * (90 + 7 * (k % 3))) for k in range(9)] + [(3000, None), (3001, None)]
+    got = {r["doc_id"]: r["shard"] for r in assign_shards(
+        spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()}
+    assert [got[k] for k, _ in rows] == plain_shards(rows, shards)
