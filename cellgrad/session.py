@@ -53,11 +53,11 @@ def build_session(master: str | None = None, app: str = "cellgrad",
 
 
 @contextmanager
-def loop_settings(spark: SparkSession):
-    """``LOOP_CONF`` while a training loop builds and runs its steps; the
-    caller's settings are back afterwards, so no later plan depends on it."""
-    before = {k: spark.conf.get(k, None) for k in LOOP_CONF}
-    for k, v in LOOP_CONF.items():
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """``conf`` while a block builds and runs its plans; the caller's settings
+    are back afterwards, so no later plan depends on it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -69,6 +69,11 @@ def loop_settings(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
+def loop_settings(spark: SparkSession):
+    """``LOOP_CONF`` while a training loop builds and runs its steps."""
+    return settings(spark, LOOP_CONF)
+
+
 _SHIPPED: set = set()
 
 
