@@ -6,6 +6,11 @@ is merge-anti-joined with the runs and its unseen keys become a run of level
 0; when a level holds ``fanout`` runs they are merged into one run of the next
 level.  Keys are disjoint between runs, so a merge never has to reconcile.
 
+A run is bucketed by its key, with a sorted file per bucket and one number of
+buckets for all runs.  The anti-join shuffles and sorts the keys of the new
+batch alone and streams the runs' files past them, and a merge streams two runs
+past each other, whatever their size.
+
 A line is dropped when its key (stripped, A-Z lower-cased, at least
 ``min_chars`` code points) belongs to a smaller document.  Batches have to
 arrive in ascending document order for "smaller" to hold across batches;
@@ -20,15 +25,21 @@ text are returned untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrad.llm import text as X
-from cellgrad.session import materialize
+from cellgrad.session import ensure_checkpoint_dir, materialize, partitions_for, settings
 
 MIN_CHARS = 10
 KEY = ["_h1", "_h2"]
 DOC = ["_doc", "_th"]
+RUN = "_h1 long, _h2 long, _first long"
+RUN_ROW_BYTES = 48
+# A bucket is one sorted file, so a scan by bucket is in key order.
+IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def _identified(held: X.Held, id_col: str, text_col: str) -> DataFrame:
@@ -51,45 +62,73 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lines.select(*DOC, "_pos", h1.alias("_h1"), h2.alias("_h2"))
 
 
+class Run:
+    """One run: ``sorted`` is read by bucket and in order, ``rows`` as plain
+    files, for joins that have to split hot keys."""
+
+    def __init__(self, keys: DataFrame, buckets: int, level: int):
+        spark = keys.sparkSession
+        name = f"line_run_{level}_{uuid.uuid4().hex}"
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellgrad/{name}"
+        (keys.write.format("parquet").bucketBy(buckets, *KEY).sortBy(*KEY)
+         .option("path", path).saveAsTable(name))
+        self.sorted = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # the name only: the folder is the run's own
+        self.rows = spark.read.schema(RUN).parquet(path)
+
+
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one: no key is in both, so the full join lists them in turn,
+    each bucket in the task that reads it."""
+    both = a.alias("a").join(b.alias("b").hint("merge"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in KEY], "full")
+    return both.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in [*KEY, "_first"]])
+
+
 class LineRuns:
-    """The levelled runs.  ``levels[k]`` lists the runs of level k, as frames
-    over files that are never rewritten, so frames handed out stay valid."""
+    """The levelled runs.  ``levels[k]`` lists the runs of level k, over files
+    that are never rewritten, so frames handed out stay valid.  ``buckets``:
+    the files of a run, a sorted stretch of keys each."""
 
-    def __init__(self, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
+        self.spark = spark
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+        self.buckets = buckets or partitions_for(0, RUN_ROW_BYTES, spark)
+        self.levels: list[list[Run]] = []
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
     def frame(self) -> DataFrame:
         """Every key so far with its first document (after the first add)."""
         first, *more = self.runs()
+        out = first.rows
         for run in more:
-            first = first.unionByName(run)
-        return first
-
-    def _write(self, keys: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        run = materialize(keys.sortWithinPartitions(*KEY), f"line-run-{level}")
-        self.levels[level].append(run)
+            out = out.unionByName(run.rows)
+        return out
 
-    def add(self, lines: DataFrame) -> None:
-        """Add the keys of a batch that no run has yet, then compact."""
+    def unseen(self, lines: DataFrame) -> DataFrame:
+        """The keys of a batch that no run has yet, with their first document."""
         keys = lines.groupBy(*KEY).agg(F.min("_doc").alias("_first"))
         for run in self.runs():
-            keys = keys.join(run.select(*KEY), KEY, "left_anti")
-        self._write(keys, 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            old = self.levels[level]
-            merged = old[0]
-            for run in old[1:]:
-                merged = merged.unionByName(run)
-            self.levels[level] = []
-            self._write(merged.repartition(*[F.col(c) for c in KEY]), level + 1)
-            level += 1
+            keys = keys.join(run.sorted.select(*KEY).hint("merge"), KEY, "left_anti")
+        return keys.repartition(self.buckets, *KEY)
+
+    def add(self, lines: DataFrame) -> None:
+        """Add the unseen keys of a batch as a run, then compact."""
+        with settings(self.spark, IN_ORDER):
+            run = Run(self.unseen(lines), self.buckets, 0)
+            level = 0
+            while True:
+                while len(self.levels) <= level:
+                    self.levels.append([])
+                self.levels[level].append(run)
+                if len(self.levels[level]) < self.fanout:
+                    return
+                run, *more = self.levels[level]
+                for other in more:
+                    run = Run(merged(run.sorted, other.sorted), self.buckets, level + 1)
+                self.levels[level] = []
+                level += 1
 
     def dropped(self, lines: DataFrame) -> DataFrame:
         """Lines of an added batch whose key belongs to a smaller document."""
@@ -121,10 +160,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_chars: int = MIN_CHARS, batches: int = 4, fanout: int = 2) -> DataFrame:
     """``docs`` with the text replaced by the kept lines, plus ``n_lines`` and
     ``n_dropped`` (long)."""
-    store = LineRuns(fanout)
-    drops = None
+    spark = docs.sparkSession
+    store = drops = None
     for batch in id_batches(docs, id_col, batches):
         lines = materialize(line_table(batch, id_col, text_col, min_chars), "lines")
+        if store is None:
+            # By all lines to come: the batches are about equal.
+            store = LineRuns(spark, fanout, partitions_for(batches * lines.count(), RUN_ROW_BYTES, spark))
         store.add(lines)
         d = store.dropped(lines)
         drops = d if drops is None else drops.unionByName(d)

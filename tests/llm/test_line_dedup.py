@@ -2,7 +2,8 @@ from collections import defaultdict
 
 import pytest
 
-from cellgrad.llm.line_dedup import LineRuns, dedup_lines, line_table
+from cellgrad.llm.line_dedup import IN_ORDER, LineRuns, dedup_lines, line_table, merged
+from cellgrad.session import settings
 
 WS = " \t\n\x0b\f\r"
 
@@ -42,7 +43,7 @@ def test_small_table_with_every_fanout(docs001, rows001):
 
 
 def test_runs_are_levelled_sorted_and_disjoint(spark, docs001):
-    store = LineRuns(fanout=2)
+    store = LineRuns(spark, fanout=2)
     for lo in range(0, 200, 40):
         store.add(line_table(docs001.where(f"doc_id >= {lo} and doc_id < {lo + 40}")))
     assert [len(level) for level in store.levels] == [1, 0, 1]  # five batches, in twos
@@ -50,9 +51,31 @@ def test_runs_are_levelled_sorted_and_disjoint(spark, docs001):
     assert len(keys) == len(set(keys))
     for run in store.runs():
         by_file = defaultdict(list)
-        for r in run.selectExpr("input_file_name() f", "_h1", "_h2").collect():
+        for r in run.rows.selectExpr("input_file_name() f", "_h1", "_h2").collect():
             by_file[r["f"]].append((r["_h1"], r["_h2"]))
         assert all(v == sorted(v) for v in by_file.values())
+        assert len(by_file) <= store.buckets  # a file per bucket
+        assert sorted(map(repr, run.sorted.collect())) == sorted(map(repr, run.rows.collect()))
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("buckets", [4, 8])
+def test_the_runs_are_neither_shuffled_nor_sorted_again(spark, docs001, buckets):
+    store = LineRuns(spark, fanout=9, buckets=buckets)
+    for lo in (0, 40, 80):
+        store.add(line_table(docs001.where(f"doc_id >= {lo} and doc_id < {lo + 40}")))
+    a, b, c = store.runs()
+    conf = {**IN_ORDER, "spark.sql.adaptive.enabled": "false"}
+    with settings(spark, conf):
+        plan = physical(merged(a.sorted, b.sorted))
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        plan = physical(store.unseen(line_table(docs001.where("doc_id >= 120"))))
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Sort [") == 1
+    # The new batch's keys alone, once more where its partitions are not the buckets.
+    assert plan.count("Exchange hash") <= 2 and plan.count("Bucketed: true") == 3
 
 
 def test_empty(empty):
