@@ -134,9 +134,34 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/cellgrad/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.parquet(path)
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def written_tables():
+    """The folders that ``materialize`` writes within the block, in order: a job
+    can drop its intermediate tables once those who read them are done."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        _WRITTEN.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``materialize`` wrote.  Frames that still read them
+    fail from then on."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class VersionStore:
     """Weight versions ``(iter, *columns)`` in one shared folder with a
     sub-folder per step, so a history of any length is read by one scan.

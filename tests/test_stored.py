@@ -12,7 +12,7 @@ from cellgrad.plans import catalog as K
 from cellgrad.plans.relational import Net, step_gradient, train_relational
 from cellgrad.plans.script import train_script
 from cellgrad.operators.weights import HO, XH, unstack
-from cellgrad.session import loop_settings
+from cellgrad.session import drop_tables, loop_settings, materialize, written_tables
 from cellgrad.sources import buckets as BK
 from cellgrad.sources import files as FI
 from cellgrad.sources.models import ModelStore
@@ -168,3 +168,18 @@ def test_log_scan_tells_rows_headers_and_bad_lines(spark):
     merged = FI.merge_scans([scan, six], ["accuracy"]).collect()
     assert sorted((r["name"], r["limit"] or 0, r["accuracy"] or 0.0) for r in merged) == [
         ("a", 0, 0.7), ("a", 150, 0.6), ("b", 7, 0.0), ("b", 7, 0.1)]
+
+
+# -------------------------------------------------------- intermediate tables
+def test_written_tables_are_listed_and_dropped(spark):
+    with written_tables() as outer:
+        first = materialize(spark.range(5), "first")
+        with written_tables() as inner:
+            second = materialize(spark.range(7), "second")
+    materialize(spark.range(1), "not listed")
+    assert [len(outer), len(inner)] == [1, 1] and "first-" in outer[0] and "second-" in inner[0]
+    drop_tables(spark, [*inner, *inner])  # a folder that is gone is no error
+    assert first.count() == 5 and spark.read.parquet(outer[0]).count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inner[0])
+    assert second.columns == ["id"]
