@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellgrad.llm import decontaminate, mixing, packing, quality, simhash
 from cellgrad.llm.queries import BYTE_RANKS
 from cellgrad.llm.text import table
-from cellgrad.session import materialize
+from cellgrad.session import drop_tables, materialize, written_tables
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Text for a packing task: about one block of tokens.
@@ -64,9 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    """Rows of the last stage.  Once a stage's result is written, its input and the
+    tables it wrote on the way are dropped, so that two copies of the corpus lie in
+    the checkpoint folder at most; those of the last stage stay, as its rows are
+    read after the call."""
+    docs, done = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        with written_tables() as written:
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_tables(spark, [*done, *written[:-1]])
+        done = written[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
