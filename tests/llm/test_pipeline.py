@@ -77,6 +77,22 @@ def test_run_returns_the_packed_rows(spark):
     assert got.columns == [f.name for f in P.SCHEMA] and got.count() > 0
 
 
+def test_run_keeps_what_its_rows_read(spark, monkeypatch):
+    written, dropped = [], []
+    write, drop = C.materialize, C.drop_tables
+
+    def materialize(df, label):
+        written.append(label)
+        return write(df, label)
+
+    monkeypatch.setattr(C, "materialize", materialize)
+    monkeypatch.setattr(C, "drop_tables", lambda spark, paths: (dropped.append(paths), drop(spark, paths)))
+    rows = C.run(spark, SF001)
+    assert rows.count() == rows.count() > 0
+    gone = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for paths in dropped for p in paths]
+    assert [n for n in gone if n.startswith("stage-")] == written[:-1]
+
+
 def test_packed_rows_follow_the_mixture(spark, docs001, tmp_path, monkeypatch):
     # Unequal files, which a scan takes in the order of their sizes.
     monkeypatch.setattr(C, "PACK_BYTES", 60_000)
