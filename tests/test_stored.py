@@ -12,7 +12,7 @@ from cellgrad.plans import catalog as K
 from cellgrad.plans.relational import Net, step_gradient, train_relational
 from cellgrad.plans.script import train_script
 from cellgrad.operators.weights import HO, XH, unstack
-from cellgrad.session import drop_tables, loop_settings, materialize, written_tables
+from cellgrad.session import VersionStore, drop_tables, loop_settings, materialize, settings, written_tables
 from cellgrad.sources import buckets as BK
 from cellgrad.sources import files as FI
 from cellgrad.sources.models import ModelStore
@@ -183,3 +183,14 @@ def test_written_tables_are_listed_and_dropped(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(inner[0])
     assert second.columns == ["id"]
+
+
+def test_a_version_is_not_summed_by_the_task_that_writes_it(spark):
+    """The final aggregate stays on the shuffle's own tasks, one partition each."""
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}):
+        summed = spark.range(70).selectExpr("0L AS id", "id AS i", "1L AS j").groupBy("id", "i", "j").agg(F.count("*").alias("n"))
+        store = VersionStore(spark)
+        kept = store.write(0, summed.select("id", "i", "j", F.spark_partition_id().cast("double").alias("v")), 70)
+    rows = kept.collect()
+    assert sorted(r["i"] for r in rows) == list(range(70)) and len({r["v"] for r in rows}) == 7
+    assert len(kept.inputFiles()) == 1
