@@ -188,7 +188,7 @@ def test_written_tables_are_listed_and_dropped(spark):
 def test_a_version_is_not_summed_by_the_task_that_writes_it(spark):
     """The final aggregate stays on the shuffle's own tasks, one partition each."""
     with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}):
-        summed = spark.range(70).selectExpr("0L AS id", "id AS i", "1L AS j").groupBy("id", "i", "j").agg(F.count("*").alias("n"))
+        summed = spark.range(0, 70, 1, 7).selectExpr("0L AS id", "id AS i", "1L AS j").groupBy("id", "i", "j").agg(F.count("*").alias("n"))
         store = VersionStore(spark)
         kept = store.write(0, summed.select("id", "i", "j", F.spark_partition_id().cast("double").alias("v")), 70)
     rows = kept.collect()

@@ -11,7 +11,9 @@ from cellgrad.operators import tiles as T
 from cellgrad.operators import weights as W
 from cellgrad.plans import minibatch as MB
 from cellgrad.plans import tiled as TL
-from cellgrad.plans.relational import Net, train_relational
+from cellgrad.operators.weights import HO, XH, unstack
+from cellgrad.plans import evaluate as E
+from cellgrad.plans.relational import Net, forward, step_gradient, train_relational, update
 
 CELL = "i long, j long, v double"
 
@@ -152,3 +154,57 @@ def test_partitions_follow_the_data(spark):
     base = shuffle_partitions(spark)
     assert partitions_for(10, 48, spark) == base
     assert partitions_for(100 * partitions_for(10**7, 48, spark) * 10**6, 48, spark) > 10 * base
+
+
+def by_cells(x, y, w0, net, lr, steps):
+    """The descent by the cell operators."""
+    out, w = {}, w0
+    for step in range(steps + 1):
+        if step:
+            w = update(w, step_gradient(x, y, unstack(w, XH), unstack(w, HO), net), lr, net)
+            w = x.sparkSession.createDataFrame(w.collect(), w.schema)
+        out.update({(step, *k): v for k, v in cells(w, "id").items()})
+    return out
+
+
+def odd_examples(spark):
+    """Repeated and missing cells, values and ids that are null, a feature that no
+    trained example has, an unlabelled example."""
+    x, y = examples(spark, n=9, d=5)  # 6 has no label
+    x = x.withColumn("v", F.when((F.col("i") == 3) | ((F.col("i") == 4) & (F.col("j") < 3)), None).otherwise(F.col("v")))
+    x = x.where("(i <> 5 OR j <> 2) AND i <> 7 AND (j <> 4 OR i = 6)")
+    x = x.unionByName(x.where("i IN (2, 8)")).unionByName(spark.createDataFrame([(None, 1, 0.4), (None, 2, 0.3)], CELL))
+    return x, y.select("i", "j", "v").unionByName(y.where("i IN (2, 9)").select("i", "j", "v"))
+
+
+@pytest.mark.parametrize("preset", ["sigmoid", "tanh_softmax"])
+def test_training_and_scores_of_odd_examples_equal_the_cell_operators(spark, preset):
+    x, y = odd_examples(spark)
+    net, w0 = Net(5, 6, 3, preset), start(spark, 5, 6, 3)
+    got = train_relational(x, y, w0, net, 0.1, 2)
+    want = by_cells(x, y, w0, net, 0.1, 2)
+    assert {k[2] for k in want if k[:2] == (1, 0)} == {1, 2, 3, 5}  # feature 4 does not carry over
+    close(cells(got, "iter", "id"), want)
+    one = got.where("iter = 0")
+    scores = cells(E.forward_all_steps(x, one, net, 1))
+    plain = cells(forward(x, unstack(one, XH), unstack(one, HO), net)[1])
+    assert scores.keys() == plain.keys() and scores[3, 1] is None and (None, 1) in scores
+    close(*({k: -9.0 if v is None else v for k, v in m.items()} for m in (scores, plain)))
+
+
+def test_training_and_scoring_join_blocks_not_cells(spark, monkeypatch):
+    """Joined rows of a step and of the scores, against single multiplications."""
+    x, y = examples(spark, n=80, d=4)
+    joined, join = [], coo.contract_join
+
+    def counted(left, right, on, *rest):
+        out = join(left, right, on, *rest)
+        joined.append(left.join(right, on).count())
+        return out
+
+    for module in (coo, T, E):
+        monkeypatch.setattr(module, "contract_join", counted)
+    net = Net(4, 8, 3)
+    hist = train_relational(x, y, start(spark, 4, 8, 3), net, 0.1, 1)
+    E.forward_all_steps(x, hist, net, 2).count()
+    assert joined and sum(joined) < 80 * (4 * 8 + 2 * 8 * 3) / 4
