@@ -194,3 +194,13 @@ def test_a_version_is_not_summed_by_the_task_that_writes_it(spark):
     rows = kept.collect()
     assert sorted(r["i"] for r in rows) == list(range(70)) and len({r["v"] for r in rows}) == 7
     assert len(kept.inputFiles()) == 1
+
+
+def test_a_log_is_not_summed_by_the_task_that_writes_it(spark):
+    """What the one writing task reads are lines, not the shares' aggregate."""
+    hist = spark.createDataFrame([(k, hit, n) for k in range(20) for hit, n in ((True, 3), (False, 1))],
+                                 "id long, correct boolean, count long")
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "7"}):
+        lines = K._log_run(hist, "run", 0.5)
+        assert "Aggregate" not in plan(lines.coalesce(1))
+    assert sorted(r["line"] for r in lines.collect()) == sorted(f"run,{K.H},0,0.5,{k},0.5,0.75" for k in range(20))
